@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from modlark.llm.lm_scores import lm_scores
 from modlark.llm.near_dedup import near_duplicates
+from modlark.llm.packing import pack
+from modlark.llm.quality import quality_rules
+from modlark.llm.sharding import shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +21,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder():
+    """crc32 of the id as text, modulo 5."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(_table(spark, sf_dir, "documents"), trusted)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents").withColumn("held_out", _remainder() == 1))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(_table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("group_key")
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op10_near_dedup,)}
+    return {q.__name__: q for q in (op3_quality_rules, op4_best_fit_packing, op6_lm_scoring, op7_sharding, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
