@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlark.llm.lm_scores import lm_scores
+from modlark.llm.media import media_digest
 from modlark.llm.near_dedup import near_duplicates
 from modlark.llm.packing import pack
 from modlark.llm.quality import quality_rules
 from modlark.llm.sharding import shard
+from modlark.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +28,10 @@ def _remainder():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() == 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(_table(spark, sf_dir, "documents"), trusted)
@@ -35,6 +41,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(_table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents").withColumn("held_out", _remainder() == 1))
 
@@ -49,7 +59,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_quality_rules, op4_best_fit_packing, op6_lm_scoring, op7_sharding, op10_near_dedup)}
+    return {q.__name__: q for q in (op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
