@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlark.llm.html_text import extract
 from modlark.llm.lm_scores import lm_scores
 from modlark.llm.media import media_digest
 from modlark.llm.near_dedup import near_duplicates
@@ -54,12 +55,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("group_key")
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op10_near_dedup)}
+    return {q.__name__: q for q in (op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op9_html_extraction, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
