@@ -62,8 +62,8 @@ def _signed(size: int):
                 regs = hyperminhash.registers(np.concatenate(sets), np.repeat(np.arange(len(n)), n), len(n))
                 some = [bool(k) for k in n]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array([_digest(s) if k else None for s, k in zip(sets, some)], pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, some)], pa.binary())],
-                    names=["id", "n_shingles", "digest", "registers"],
+                    [part.column(0), part.column(2), pa.array(n), pa.array([_digest(s) if k else None for s, k in zip(sets, some)], pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, some)], pa.binary())],
+                    names=["id", "text_key", "n_shingles", "digest", "registers"],
                 )
 
     return sign
@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     their sets of ``size``-word shingles (A-Z lower-cased).  Returns per row of
     ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id
     that links lead to, its own included), ``kept`` (the id is that smallest)
-    and ``group_key`` (the same for all rows of a component; null if empty).
+    ``group_key`` (the same for all rows of a component; null if empty) and
+    ``text_key`` (a hash of the text).
 
     * Null or wordless text: no shingles, linked with nothing, kept.
     * Null id: takes part in its component, whose id is the smallest of the
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     scratch = Scratch(spark, "near")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = percent / 100 - 5 * (percent * (100 - percent) / 1e4 / hyperminhash.BUCKETS) ** 0.5
-    signed = scratch.keep(given.mapInArrow(_signed(size), "id long, n_shingles long, digest binary, registers binary"), "signed")
+    signed = scratch.keep(given.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signed(size), "id long, text_key long, n_shingles long, digest binary, registers binary"), "signed")
     alike = signed.where("digest is not null").groupBy("digest")
     classes = scratch.keep(alike.agg(F.min("id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")).withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = scratch.keep(classes.select("node", "registers").mapInArrow(_banded, "key long, band int, node long"), "banded")
@@ -214,6 +215,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     rooted = classes.select("digest", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(least, "root").select("digest", "root", "component_id")
-    out = signed.select("id", "n_shingles", "digest").join(found, "digest", "left")
+    out = signed.select("id", "text_key", "n_shingles", "digest").join(found, "digest", "left")
     own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), F.col("root").alias("group_key"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"), F.col("root").alias("group_key"), "text_key")
+
+
+def keep_one(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay if each group of near-duplicates keeps one.
+
+    Of a group the row with the smallest id stays; of rows that share this id,
+    and of those that repeat an id and a text, one.  Texts without words are
+    no duplicates of others.  All columns are returned as they are.
+    """
+    found = near_duplicates(docs, percent, size, id_col, text_col).where("kept").select("doc_id", "text_key", "group_key")
+    named = F.struct("doc_id", "text_key")
+    grouped = found.where("group_key is not null").groupBy("group_key").agg(F.min(named).alias("k")).select("k.*")
+    stay = grouped.unionByName(found.where("group_key is null").select("doc_id", "text_key").distinct())
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    given = docs.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
+    met = given.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    return met.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from modlark.llm.html_text import extract
 from modlark.llm.lm_scores import lm_scores
 from modlark.llm.media import media_digest
+from modlark.llm.mixing import mix
 from modlark.llm.near_dedup import near_duplicates
 from modlark.llm.packing import pack
 from modlark.llm.quality import quality_rules
+from modlark.llm.secrets import scan
 from modlark.llm.sharding import shard
 from modlark.llm.toxicity import toxicity
 
@@ -29,6 +31,11 @@ def _remainder():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "epoch", "mix_position", "source_weight", "alpha")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() == 0)
 
@@ -55,16 +62,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).drop("group_key")
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("group_key", "text_key")
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op9_html_extraction, op10_near_dedup)}
+    return {q.__name__: q for q in (op1_source_mixing, op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op8_secret_scans, op9_html_extraction, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
