@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from modlark.plans import message_queries  # noqa: F401  registers its queries
+from modlark.plans.registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
