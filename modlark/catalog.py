@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlark.plans import message_queries  # noqa: F401  registers its queries
+from modlark.plans import message_queries, model_queries, table_queries  # noqa: F401  they register queries
 from modlark.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -86,7 +86,8 @@ _BASE = {KICK: "Critical spam (p=%s). Banned.", DELETE: "Evident spam (p=%s). De
 
 def explain(action: Column, p: Column, applied: Column) -> Column:
     """A sentence for the action, with the probability in per cent, and the multipliers used."""
-    percent = F.concat(F.format_number(p * 100, "0.00"), F.lit("%"))
+    hundredths = F.floor(p * 10000 + 0.5)
+    percent = F.format_string("%d.%02d%%", F.floor(hundredths / 100), hundredths % 100)
     base = F.lit(None).cast("string")
     for name, text in _BASE.items():
         base = F.when(action == name, F.concat(F.lit(text.split("%s")[0]), percent, F.lit(text.split("%s")[1]))).otherwise(base)

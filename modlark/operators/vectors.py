@@ -179,7 +179,7 @@ def representatives(df: DataFrame, prototypes: DataFrame, id_col: str, vec_col:
     """The row nearest to each prototype, ties by id."""
     p = prototypes.select("family", F.col("vec").alias("_centre"))
     far = _sum(F.zip_with(F.col(vec_col), F.col("_centre"), lambda x, y: (x - y) * (x - y)))
-    near = df.where(F.col(vec_col).isNotNull()).crossJoin(F.broadcast(p)).withColumn("distance", F.sqrt(far))  # a row per family
+    near = df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).crossJoin(F.broadcast(p)).withColumn("distance", F.sqrt(far))  # a row per family
     return near.groupBy("family").agg(F.min_by(F.col(id_col), F.struct("distance", id_col)).alias(id_col), F.min("distance").alias("distance"))
 
 

@@ -91,7 +91,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = _table(spark, sf_dir, "events"), F.col("event_id")
     action = F.when(F.col("event_type") == "click", "notify").when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "signup", "kick").otherwise("approve")
     return e.select(
-        i.alias("id"), F.col("ts").alias("created_at"), (i % 8).alias("chat_id"), i.alias("message_id"), "user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
+        i.alias("id"), F.col("ts").cast("timestamp").alias("created_at"), (i % 8).alias("chat_id"), i.alias("message_id"), "user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
         F.sha2(F.concat(F.lit("m"), i.cast("string")), 256).alias("text_hash"), (i % 300).alias("text_length"), action.alias("action"), F.round(F.col("value") / (F.col("value") + 50), 6).alias("action_confidence"),
         F.when(F.col("event_type") != "error", 0.5).alias("filter_embedding_score"),
     )

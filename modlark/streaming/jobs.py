@@ -42,7 +42,7 @@ def stream_history(messages: DataFrame, rows: int = CHAT_HISTORY, idle_ms: int =
 
     Rows of a micro-batch are ordered by time; the state of idle chats expires.
     Needs the RocksDB state store."""
-    return messages.groupBy("chat_id").transformWithStateInPandas(_ChatHistory(rows, idle_ms), HISTORY, "Update", "None")
+    return messages.groupBy("chat_id").transformWithStateInPandas(_ChatHistory(rows, idle_ms), HISTORY, "Update", "ProcessingTime")
 
 
 def stream_snapshots(events: DataFrame, late: str = "2 hours", period: str = "1 hour") -> DataFrame:
