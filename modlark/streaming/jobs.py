@@ -17,7 +17,7 @@ HISTORY = "chat_id long, message_id long, history_size int, last_texts string"
 class _ChatHistory(StatefulProcessor):
     """The last texts of a chat, as a list state of bounded length."""
 
-    def __init__(self, rows: int, idle_ms: int):
+    def __init__(self, rows: int, idle_ms: int | None):
         self.rows, self.idle_ms = rows, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -37,12 +37,14 @@ class _ChatHistory(StatefulProcessor):
         pass
 
 
-def stream_history(messages: DataFrame, rows: int = CHAT_HISTORY, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def stream_history(messages: DataFrame, rows: int = CHAT_HISTORY, idle_ms: int | None = None) -> DataFrame:
     """For each message, how much history its chat has, and its newest texts.
 
-    Rows of a micro-batch are ordered by time; the state of idle chats expires.
-    Needs the RocksDB state store."""
-    return messages.groupBy("chat_id").transformWithStateInPandas(_ChatHistory(rows, idle_ms), HISTORY, "Update", "ProcessingTime")
+    Rows of a micro-batch are ordered by time.  With ``idle_ms`` the state of
+    chats that are idle for so long expires, by the clock; such a stream never
+    runs out of batches, so it is for continuous triggers.  Needs the RocksDB
+    state store."""
+    return messages.groupBy("chat_id").transformWithStateInPandas(_ChatHistory(rows, idle_ms), HISTORY, "Update", "None" if idle_ms is None else "ProcessingTime")
 
 
 def stream_snapshots(events: DataFrame, late: str = "2 hours", period: str = "1 hour") -> DataFrame:
