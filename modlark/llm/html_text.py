@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 _RAW = "script|style|title|textarea|noscript|template|svg|math|iframe|object|select|button|datalist|audio|video|canvas|map"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
@@ -151,11 +151,14 @@ LABELLED = np.array(
 
 
 def labelled() -> np.ndarray:
-    """The table, and its main text once more as if in a region of the rest,
-    where it is none."""
+    """The table; its main text once more as if in a region of the rest, where
+    it is none; and unknown blocks that aren't links as if in an article, where
+    they are main text."""
     rest = LABELLED[LABELLED[:, -1] == 1].copy()
     rest[:, -2:] = REST, 0
-    return np.concatenate([LABELLED, rest])
+    main = LABELLED[(LABELLED[:, -1] == 0) & (LABELLED[:, -2] == UNKNOWN) & (LABELLED[:, 1] < 0.5)].copy()
+    main[:, -2:] = MAIN, 1
+    return np.concatenate([LABELLED, rest, main])
 
 
 @dataclass

@@ -28,9 +28,9 @@ from modlark.llm import words
 from modlark.llm.scratch import Scratch
 
 #: A block's bytes of text: a hundredth of the corpus, within these bounds.
-BLOCK_BYTES = (1 << 16, 1 << 24)
+BLOCK_BYTES = (1 << 16, 1 << 23)
 #: Bytes of text for each range of n-gram hashes, and so for each task that adds up.
-BYTES_PER_RANGE = 1 << 23
+BYTES_PER_RANGE = 1 << 24
 #: One block in so many is held out when mixture weights are learned.
 HELD_OUT = 10
 #: Steps per power of two to which held-out probabilities are rounded.
@@ -43,12 +43,12 @@ PRIOR = np.array([0.5, 0.4, 0.1])
 
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers byte by byte, high bytes apart from low ones: compresses well."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
 
 
 def _numbers(planes: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, len(planes) // width).T).view(kind).ravel()
 
 
 _BLOCK = "block long, held boolean, n_train long, doc_id array<bigint>, train array<boolean>, counts binary, vocabulary binary, ids binary"
@@ -106,7 +106,8 @@ def _asked(ranges: int):
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # blocks are large: one at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 tokens = _Tokens(row)
                 word, pair = tokens.keys()
                 for level, keys, weight in ((1, word, np.bincount(tokens.ids, tokens.train, len(word))), (2, pair, tokens.train)):

@@ -38,6 +38,9 @@ PACK_ROWS = 20_000
 PACK_TEXTS = 3_000
 #: Texts whose words are numbered together.
 GROUP = 2_000
+#: Blocks with more pairs than this for each of their texts are counted at once, so many shingles at a time.
+MANY = 8
+COLUMNS = 4096
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -129,6 +132,25 @@ def _met(cut: float):
     return meet
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles any two sets of a block share, by products of columns
+    of the table of which set has which shingle."""
+    n, flat = len(sets), np.concatenate(sets)
+    of = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    new = np.diff(flat[order], prepend=flat[order[0]] ^ np.uint64(1)) != 0
+    shingle = np.cumsum(new) - 1
+    often = np.bincount(shingle)[shingle] > 1
+    column, row = np.unique(shingle[often], return_inverse=True)[1], of[order][often]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        inside = (column >= at) & (column < at + COLUMNS)
+        table = np.zeros((n, COLUMNS), np.float32)
+        table[row[inside], column[inside] - at] = 1
+        out += table @ table.T
+    return out
+
+
 def _confirmed(size: int, percent: int, cut: float):
     """Links of the blocks' members, confirmed on the full sets."""
 
@@ -156,10 +178,12 @@ def _confirmed(size: int, percent: int, cut: float):
                 return x
 
             a, b, _ = _pairs(regs[rows], n[rows], chunk[rows], int(band[rows[0]]) if len(rows) else 0, i != j, cut)
+            sets = [known[x] for x in node[rows].tolist()]
+            shared = _common(sets) if len(a) > MANY * len(sets) else None
             for x, y in zip(a.tolist(), b.tolist()):
                 if (p := top(x)) != (q := top(y)):
-                    s, t = known[int(node[rows[x]])], known[int(node[rows[y]])]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    s, t = sets[x], sets[y]
+                    both = int(shared[x, y]) if shared is not None else len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
                         root[p] = q
                         links.append((int(node[rows[x]]), int(node[rows[y]])))
