@@ -106,7 +106,9 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the packets' byte ranges.  Null text: empty.  Equal texts give equal
     values; an empty table gives no rows; other columns are not read.
     """
-    read = read_samples(parse_media(store_texts(docs, id_col, text_col)))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = "doc_id long, n_bytes long, media binary, cues array<struct<timestamp_ns: bigint, track: bigint, cluster: bigint>>, clusters bigint, n_packets long, payload binary, wave string"
+    read = given.mapInArrow(lambda batches: _read(_parsed(_stored(batches))), kind)  # the three steps in one worker
     feature = F.concat_ws(";", F.concat(F.lit("packets="), "n_packets"), F.concat(F.lit("clusters="), "clusters"), F.concat(F.lit("cues="), F.size("cues")), "wave")
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),

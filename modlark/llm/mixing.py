@@ -125,7 +125,7 @@ def mix(docs: DataFrame, max_passes: float | None = 2.0, target_entropy: float |
     scratch.drop("rows")
 
     own = [c for c in docs.columns if c not in ("epoch", "mix_position", "source_weight", "alpha")]
-    keyed = docs.select(*own, source.alias("_source"), block.alias("_block"), _spread(F.col(id_col), F.lit("within")).alias("_at"))
+    keyed = docs.select(F.struct(*own).alias("_row"), source.alias("_source"), block.alias("_block"), _spread(F.col(id_col), F.lit("within")).alias("_at"))
     plan = plan.select(F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in ("whole", "part", "edge", "cut", "source_weight")))
     met = keyed.join(_sized(plan, len(names)), "_source")
     last = _rank(F.col("_source"), F.col("_block"), F.col("_whole") + 1)
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, max_passes: float | None = 2.0, target_entropy: float |
     n = F.col("_whole") + F.when((F.col("_part") > 0) & more, 1).otherwise(0)
     each = met.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     place = (F.col("epoch") - 1 + (_rank(F.col("_source"), F.col("_block"), F.col("epoch")) + F.col("_at")) / N_BLOCKS) / F.ceil(F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0))
-    return each.select(*own, "epoch", place.alias("mix_position"), F.col("_source_weight").alias("source_weight"), F.lit(float(alpha)).alias("alpha"))
+    return each.select("_row.*", "epoch", place.alias("mix_position"), F.col("_source_weight").alias("source_weight"), F.lit(float(alpha)).alias("alpha"))
 
 
 def _sized(plan: DataFrame, n: int) -> DataFrame:

@@ -256,6 +256,6 @@ def keep_one(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "d
     grouped = found.where("group_key is not null").groupBy("group_key").agg(F.min(named).alias("k")).select("k.*")
     stay = grouped.unionByName(found.where("group_key is null").select("doc_id", "text_key").distinct())
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    given = docs.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
-    met = given.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return met.dropDuplicates([id_col, "_text_key"]).select(*docs.columns)
+    given = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own_key"))
+    met = given.join(stay, F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key")), "left_semi")
+    return met.dropDuplicates(["own_id", "own_key"]).select("row.*")

@@ -181,9 +181,10 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     All rows, columns and other text stay as they are; null texts stay null.
     """
     model = model or fit(example_findings(docs.sparkSession))
-    text = F.col(text_col)
+    text = F.col(f"row.{text_col}")
     judged = F.when(text.rlike(CANDIDATE), _judged(text.cast("string"), model))
-    parts = F.transform(F.col("_found"), lambda x: F.concat(x["gap"], F.when(x["votes"] >= VOTES, F.concat(x["d"]["name"], F.lit(mask), F.substr(x["d"]["candidate"], F.length(x["d"]["name"]) + F.length(x["d"]["value"]) + 1))).otherwise(x["d"]["candidate"])))
-    rest = F.substr(text, F.aggregate(F.col("_found"), F.lit(1), lambda n, x: n + F.length(x["gap"]) + F.length(x["d"]["candidate"])))
-    new = F.when(F.col("_found").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return docs.withColumn("_found", judged).withColumn(text_col, new).select(*docs.columns)
+    parts = F.transform(F.col("found"), lambda x: F.concat(x["gap"], F.when(x["votes"] >= VOTES, F.concat(x["d"]["name"], F.lit(mask), F.substr(x["d"]["candidate"], F.length(x["d"]["name"]) + F.length(x["d"]["value"]) + 1))).otherwise(x["d"]["candidate"])))
+    rest = F.substr(text, F.aggregate(F.col("found"), F.lit(1), lambda n, x: n + F.length(x["gap"]) + F.length(x["d"]["candidate"])))
+    new = F.when(F.col("found").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), rest))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("found", judged)
+    return rows.select(*(new.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))

@@ -66,20 +66,20 @@ def _pooled(logit: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np
 class _Batch:
     """Some labelled texts as index arrays: texts > segments > words > n-grams."""
 
-    def __init__(self, texts: list[str | None], labels: np.ndarray, known: dict[bytes, list[int]]):
+    def __init__(self, texts: list[str | None], labels: np.ndarray, known: dict[bytes, np.ndarray]):
         self.labels = labels
         self.ids, counts, vocabulary = words.numbered(texts)
-        known.update((w, subwords(w)) for w in vocabulary if w not in known)
+        known.update((w, np.asarray(subwords(w), np.int32)) for w in vocabulary if w not in known)
         rows = [known[w] for w in vocabulary]
         self.length = np.asarray([len(r) for r in rows], np.float32)[:, None]
-        self.gram = np.fromiter((b for r in rows for b in r), np.int64)
+        self.gram = np.concatenate(rows)
         self.gram_at = words.starts(np.asarray([len(r) for r in rows]))[:-1]
         self.begin, self.text = _segments(counts)
         self.size = np.diff(np.append(self.begin, len(self.ids))).astype(np.float32)[:, None]
         # the same relations the other way, to sum gradients
-        self.by_gram = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[np.argsort(self.gram, kind="stable")]
+        self.by_gram = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[np.argsort(self.gram, kind="stable")]
         self.grams, self.grams_at = np.unique(np.sort(self.gram), return_index=True)
-        self.by_word = np.repeat(np.arange(len(self.begin)), self.size[:, 0].astype(int))[np.argsort(self.ids, kind="stable")]
+        self.by_word = np.repeat(np.arange(len(self.begin), dtype=np.int32), self.size[:, 0].astype(int))[np.argsort(self.ids, kind="stable")]
         self.words_at = np.unique(np.sort(self.ids), return_index=True)[1]
 
     def gradients(self, table: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> list[np.ndarray]:
@@ -108,7 +108,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 8, least_ste
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
     order = rng.permutation([i for i, t in enumerate(texts) if words.split(t)])
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, np.ndarray] = {}
     batches = [_Batch([texts[i] for i in part], y[part], known) for part in np.array_split(order, max(1, len(order) // batch))]
     theta = [rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)]
     theta = [p.astype(np.float32) for p in theta]

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, id long, node long, epoch int, shard int, tokens long, _source string, text_key long, digest binary"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, id long, node long, epoch int, shard int, tokens long, _source string, found long, row binary"
 
 
 def prose(seed: int, n: int) -> str:
