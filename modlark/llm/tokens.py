@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words that a worker remembers; further ones are encoded each time.
-REMEMBERED = 1_500_000
+REMEMBERED = 250_000
 _PARTS = re.compile(r"([^\W\d_]*)([.,;:!?*$%&#|]*)")
 
 

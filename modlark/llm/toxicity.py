@@ -28,7 +28,7 @@ NGRAMS = (3, 4, 5)
 SEGMENT = 3
 SIGNS = ".,;:!?\"'()[]{}|*#$%&<>"
 #: Words whose score a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def subwords(word: bytes) -> list[int]:
