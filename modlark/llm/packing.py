@@ -5,7 +5,8 @@ solved on ``ISLANDS`` islands, which are groups of their own in a shuffle:
 every island evolves its population, sends its elite to the next one, and
 evolves on with what it got; the fittest elite of a cell packs it.  Pieces of
 ill-filled sequences leave their cell and are packed again in fewer cells,
-until one cell is left.
+until one cell is left or a level hardly lowers the number of cells; the cells
+of that level settle all their sequences.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ GENERATIONS = 4
 END = np.asarray([1], "<u4").tobytes()
 #: Cells other than the last give up sequences filled below this share.
 WELL_FILLED = 0.98
+#: A level with more than this share of the cells before it is the last: its pieces can't fill sequences well.
+FEWER = 0.75
 _ITEM = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
@@ -128,7 +131,7 @@ def _placed(capacity: int, level: int, last: bool):
     return place
 
 
-def _solve(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame:
+def _solve(items: DataFrame, cells: int, capacity: int, level: int, last: bool) -> DataFrame:
     """Items with ``sequence_id``, ``offset`` and whether their sequence stays."""
     dealt = items.withColumn("cell", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(cells)).cast("long"))
     narrow = dealt.select("cell", "uid", "length").withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
@@ -137,7 +140,7 @@ def _solve(items: DataFrame, cells: int, capacity: int, level: int) -> DataFrame
     given = states.join(elite, ["cell", "island"]).select("cell", "island", "elites", "migrant")
     states = narrow.groupBy("cell", "island").cogroup(given.groupBy("cell", "island")).applyInArrow(_evolved(capacity), _STATE)
     best = states.groupBy("cell").agg(F.min_by(F.col("elites")[0], F.struct("bins", -F.col("fill"), "island")).alias("best"))
-    return dealt.groupBy("cell").cogroup(best.groupBy("cell")).applyInArrow(_placed(capacity, level, cells == 1), f"{_ITEM}, sequence_id long, offset long, settled boolean")
+    return dealt.groupBy("cell").cogroup(best.groupBy("cell")).applyInArrow(_placed(capacity, level, last), f"{_ITEM}, sequence_id long, offset long, settled boolean")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,17 +158,18 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, cell: int = CELL, id_
     scratch = Scratch(docs.sparkSession, "pack")
     items = scratch.keep(pieces(docs, path, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     alone = items.where(F.col("length") == capacity).select(*_COLUMNS[:5], F.expr("uid | (1L << 62)").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest, level, done = items.where(F.col("length") < capacity), 0, [alone]
+    rest, level, before, done = items.where(F.col("length") < capacity), 0, 0, [alone]
     while True:
         cells = -(-rest.count() // cell)
         if not cells:
             break
         level += 1
-        solved = scratch.keep(_solve(rest.select("uid", *_COLUMNS[:5]), cells, capacity, level), f"level{level}")
+        last = cells == 1 or (level > 1 and cells > FEWER * before)
+        solved = scratch.keep(_solve(rest.select("uid", *_COLUMNS[:5]), cells, capacity, level, last), f"level{level}")
         done.append(solved.where("settled").select(*_COLUMNS))
-        if cells == 1:
+        if last:
             break
-        rest = solved.where("not settled")
+        rest, before = solved.where("not settled"), cells
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

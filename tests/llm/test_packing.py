@@ -42,6 +42,17 @@ def test_many_cells(documents, vocabulary):
     assert used <= least * 1.06 + 1
 
 
+def test_pieces_that_fill_no_sequence_well_end(spark, vocabulary, monkeypatch):
+    """Far more copies of 0.6 x capacity than a cell has: no level settles any before the last."""
+    levels = []
+    solve = packing._solve
+    monkeypatch.setattr(packing, "_solve", lambda *a: levels.append(a[1]) or (solve(*a) if len(levels) < 6 else pytest.fail(f"cells {levels}")))
+    text = " ".join(["the"] * 59)
+    docs = [(i, text) for i in range(400)] + [(1000 + i, "a b c") for i in range(40)]
+    used, _ = check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary, capacity=100, cell=50).collect(), docs, vocabulary, 100)
+    assert levels[0] == 9 and 400 <= used <= 400 + levels[-1]
+
+
 def test_odd_rows(odd, empty, vocabulary):
     docs = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     check(packing.pack(odd, vocabulary).collect(), docs, vocabulary)
