@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = "script|style|title|textarea|noscript|template|svg|math|iframe|object|select|button|datalist|audio|video|canvas|map"
+# Elements whose text is no part of the page's: those whose tags inside count for nothing, and the others.
+_RAW = frozenset("script style title textarea".split())
+_DROPPED = frozenset("noscript template svg math iframe object select button datalist audio video canvas map".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|</?[a-zA-Z][^<>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -62,12 +65,51 @@ def _region(tag: str, attrs: str, outer: int) -> int:
     return MAIN if tag in _MAIN_TAGS or "main" in names else outer
 
 
+@dataclass
+class Tag:
+    """A tag, comment (no ``name``), or element without text of its own (" "), from ``start`` to ``end``."""
+
+    start: int
+    end: int
+    name: str = ""
+    closes: bool = False
+    attrs: str = ""
+    #: Of a dropped element that is closed: the number of its end tag.
+    until: int = -1
+
+
+def tags(page: str) -> list[Tag]:
+    """The page's tags, in order.  Script, style, title and textarea run to their
+    end tag or the end of the page, and other dropped elements to their own end
+    tag: where there is none, only the tag is dropped."""
+    out: list[Tag] = []
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        name, closes, attrs = (m["tag"] or "").lower(), bool(m["end"]), m["attrs"] or ""
+        foreign, empty = bool(opened.get("svg") or opened.get("math")), attrs.endswith("/")
+        if name in _RAW and not closes:
+            if not (empty and foreign):
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
+            name = " "
+        elif name in ("svg", "math") and empty:
+            name = " "
+        elif name in _DROPPED and not closes:
+            opened.setdefault(name, []).append(len(out))
+        elif name in _DROPPED and opened.get(name):
+            out[opened[name].pop()].until = len(out)
+        out.append(Tag(start, at, name, closes, attrs))
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks, in order (null: none)."""
     page, out = page or "", []
     open_tags: list[tuple[str, int]] = []
     parts: list[tuple[str, bool]] = []
-    link, at = False, 0
+    link, at, skip = False, 0, -1
 
     def flush() -> None:
         text = " ".join(html.unescape("".join([p for p, _ in parts])).split())
@@ -76,38 +118,46 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(text, len(text.split()), linked, open_tags[-1][1] if open_tags else UNKNOWN))
         parts.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((page[at : m.start()], link))
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"] and m["raw"].lower() not in ("button", "select"):
+    found = tags(page)
+    for k, m in enumerate(found):
+        if k <= skip:
+            at = m.end
+            continue
+        if m.start > at:
+            parts.append((page[at : m.start], link))
+        at, tag = m.end, m.name
+        if tag in _DROPPED and not m.closes:
+            skip = m.until
+            if tag not in ("button", "select") or m.until < 0:
+                parts.append((" ", False))
+            continue
+        if not tag.strip():
+            if tag:
                 parts.append((" ", False))
             continue
         if tag == "a":
-            link = not m["end"]
+            link = not m.closes
         if tag == "br":
             parts.append((" ", False))
         outer = open_tags[-1][1] if open_tags else UNKNOWN
         if tag in _INLINE:  # goes on with the block, unless it opens or ends a region of its own
-            if m["end"]:
+            if m.closes:
                 if all(t != tag for t, _ in open_tags):
                     continue
-            elif outer == REST or not m["attrs"] or _region(tag, m["attrs"], outer) != REST:
+            elif outer == REST or not m.attrs or _region(tag, m.attrs, outer) != REST:
                 continue
         if parts:
             flush()
         link = link and tag == "a"
-        if m["end"]:
+        if m.closes:
             if any(t == tag for t, _ in open_tags):
                 while open_tags.pop()[0] != tag:
                     pass
-        elif tag not in _VOID and not (m["attrs"] or "").endswith("/"):
+        elif tag not in _VOID and not m.attrs.endswith("/"):
             while open_tags and open_tags[-1][0] in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and (open_tags[-1][0] == tag or open_tags[-1][0] == "p"):
                 open_tags.pop()
             outer = open_tags[-1][1] if open_tags else UNKNOWN
-            open_tags.append((tag, _region(tag, m["attrs"] or "", outer)))
+            open_tags.append((tag, _region(tag, m.attrs, outer)))
     if at < len(page):
         parts.append((page[at:], link))
     flush()

@@ -33,6 +33,32 @@ def test_pages(page, expected):
     assert H.main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("a<svg/>b<p>c", "a b c"),
+        ("a<svg width='1'/>b<math/>c", "a b c"),
+        ("a<video-player></video-player>b<p>c", "a b c"),
+        ("a<map-view x=1></map-view><button-group>b</button-group><template-x>c</template-x>d", "a b c d"),
+        ("a<button>x<p>c", "a x c"),
+        ("a<select><option>x<p>b<object>c<p>d", "a x b c d"),
+        ("a<button>x<p>b</p><button>no</button>c", "a x b c"),
+        ("a<object>no<object>no</object>no</object>b", "a b"),
+        ("a<video>no</video >b<script>'</video>'</script>c", "a b c"),
+        ("a<svg><title/><style/><path/></svg>b", "a b"),
+        ("a<script>no<p>no", "a"),
+        ("a<title/>no", "a"),
+        ("a<!-- no <p>no", "a"),
+    ],
+)
+def test_elements_without_text_end_where_they_do(page, expected):
+    assert H.main_text(f"<article>{page}").split() == expected.split()
+
+
+def test_unclosed_elements_take_linear_time():
+    assert H.main_text("<article>" + "<button><object>x " * 30_000).split() == ["x"] * 30_000
+
+
 def test_blocks_know_their_links():
     found = H.blocks("<p>one <a href=x>two three</a> four</p><ul><li><a>five</a><li>six</ul>")
     assert [(b.text, b.words, b.linked) for b in found] == [("one two three four", 4, 2), ("five", 1, 1), ("six", 1, 0)]
