@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,10 +31,10 @@ _TOKEN = re.compile(
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _REST_TAGS = frozenset("nav header footer aside form menu head dialog figcaption".split())
 _MAIN_TAGS = frozenset("article main".split())
-_SPLIT = re.compile(r"[^a-z]+")
+_SPLIT = re.compile(r"[-_]+")
 # Words in class, id and role names of elements that hold no main text.
 _REST_NAMES = frozenset(
     "ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright "
@@ -41,6 +42,11 @@ _REST_NAMES = frozenset(
     "popup promo promotion promoted recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "tagcloud tags teaser toolbar topbar widget widgets complementary advertorial alert warning feedback reviews responses".split()
 )
+# Of these, the names of what readers write: an article among them is a comment.
+_TALK_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+# Words that follow such a name without changing it, and words before which it tells of a state or topic.
+_PLACES = frozenset("area bar block box bottom buttons container group icons inner item items left links list posts primary right secondary slot top unit wrap wrapper".split())
+_STATES = frozenset("has no with without is not hide overflow tag category cat topic supports enable disable".split())
 UNKNOWN, MAIN, REST = 0, 1, -1
 
 
@@ -52,17 +58,54 @@ class Block:
     region: int
 
 
-def _region(tag: str, attrs: str, outer: int) -> int:
+@dataclass(frozen=True)
+class Names:
+    """What an element's class, id, role and style tell of it."""
+
+    rest: bool = False
+    #: A class is such a name as a whole.
+    plainly: bool = False
+    talk: bool = False
+    main: bool = False
+    role_main: bool = False
+    hidden: bool = False
+
+
+@lru_cache(maxsize=4096)
+def names(attrs: str) -> Names:
+    """Whole names count, and ends of them, but for those of a state or topic:
+    ``cookie-notice`` and ``comments-area``, not ``has-sidebar`` or ``related-work``."""
+    rest = plainly = talk = main = role_main = hidden = False
+    for m in _ATTRIBUTE.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
+        if key not in ("class", "id", "role"):
+            continue
+        role_main |= key == "role" and value.strip() == "main"
+        for token in value.split():
+            parts = [p for p in _SPLIT.split(token) if p]
+            main |= "main" in parts
+            while len(parts) > 1 and (parts[-1] in _PLACES or parts[-1].isdigit()):
+                parts.pop()
+            if not parts or (len(parts) > 1 and (parts[0] in _STATES or parts[-1] == "hidden")):
+                continue
+            plainly |= token in _REST_NAMES
+            rest |= parts[-1] in _REST_NAMES
+            talk |= parts[-1] in _TALK_NAMES or parts[0] == "comment"
+    return Names(rest, plainly, talk, main, role_main, hidden)
+
+
+def _region(tag: str, attrs: str, outer: int, holds: bool = False) -> int:
     """The region inside an element: rest stays rest; a page header within the
-    main text is a part of it."""
+    main text is a part of it.  What ``holds`` an article isn't rest by name."""
     if outer == REST or tag in ("html", "body"):
         return outer
-    if tag in _REST_TAGS and not (tag in ("header", "figcaption") and outer == MAIN):
+    if tag in _REST_TAGS and not (tag in ("header", "figcaption") and outer == MAIN) and not (tag == "form" and holds):
         return REST
-    names = [w for m in _NAMES.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())]
-    if not _REST_NAMES.isdisjoint(names) or re.search(r"\shidden\b|display\s*:\s*none", attrs, re.I):
+    told = names(attrs)
+    if told.hidden or (told.rest and not holds):
         return REST
-    return MAIN if tag in _MAIN_TAGS or "main" in names else outer
+    return MAIN if tag in _MAIN_TAGS or told.main else outer
 
 
 @dataclass
@@ -76,6 +119,8 @@ class Tag:
     attrs: str = ""
     #: Of a dropped element that is closed: the number of its end tag.
     until: int = -1
+    #: It is or has an article or main element.
+    holds: bool = False
 
 
 def tags(page: str) -> list[Tag]:
@@ -104,6 +149,38 @@ def tags(page: str) -> list[Tag]:
     return out
 
 
+def _find_articles(found: list[Tag]) -> None:
+    """Set ``holds``.  Articles within articles or among comments are comments,
+    and those named as rest speak for themselves only."""
+    open_tags: list[tuple[Tag, bool]] = []
+    depth: Counter[str] = Counter()
+    skip = -1
+    for k, t in enumerate(found):
+        if k <= skip or not t.name.strip() or t.name in _INLINE or t.name in _VOID:
+            continue
+        if t.name in _DROPPED and not t.closes:
+            skip = t.until
+        elif t.closes:
+            while depth[t.name]:
+                last = open_tags.pop()[0].name
+                depth[last] -= 1
+                if last == t.name:
+                    break
+        elif not t.attrs.endswith("/"):
+            told = names(t.attrs)
+            talk = bool(open_tags) and open_tags[-1][1] or (told.talk and t.name not in ("html", "body"))
+            main = t.name == "main" or told.role_main
+            if main or (t.name == "article" and not depth["article"] and not talk):
+                t.holds = True
+                if main or not told.plainly:
+                    for outer, _ in reversed(open_tags):
+                        if outer.holds and outer.name != "article":
+                            break
+                        outer.holds = True
+            open_tags.append((t, talk))
+            depth[t.name] += 1
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks, in order (null: none)."""
     page, out = page or "", []
@@ -119,6 +196,7 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
 
     found = tags(page)
+    _find_articles(found)
     for k, m in enumerate(found):
         if k <= skip:
             at = m.end
@@ -157,7 +235,7 @@ def blocks(page: str | None) -> list[Block]:
             while open_tags and open_tags[-1][0] in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and (open_tags[-1][0] == tag or open_tags[-1][0] == "p"):
                 open_tags.pop()
             outer = open_tags[-1][1] if open_tags else UNKNOWN
-            open_tags.append((tag, _region(tag, m.attrs, outer)))
+            open_tags.append((tag, _region(tag, m.attrs, outer, m.holds)))
     if at < len(page):
         parts.append((page[at:], link))
     flush()

@@ -59,6 +59,31 @@ def test_unclosed_elements_take_linear_time():
     assert H.main_text("<article>" + "<button><object>x " * 30_000).split() == ["x"] * 30_000
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='overflow-hidden'><article><p>a</p></article></div>",
+        "<body class='has-sidebar'><div class='page no-sidebar'><article><p>a</p></article></div>",
+        "<article class='post category-news tag-search'><p>a</p></article>",
+        "<article><section id='related-work'><p>a</p></section></article>",
+        "<article><p class='foo hidden-xs' title='a hidden one'>a</p></article>",
+        "<div class='sidebar widget'><div class='widget'><main><p>a</p></main></div></div>",
+        "<article class='promo'><p>a</p></article>",
+        "<form><article><p>a</p></article></form>",
+        "<article><p>a</p><section class='comments'><article><p>no</p></article></section></article>",
+        "<main><article><p>a</p></article><div id='comments' class='comments-area'><ol><li><article class='comment-body'><p>no</p></article></ol></div></main>",
+        "<article><p>a</p></article><div class='related-posts'><article class='teaser'><p>no</p></article></div>",
+        "<article><p>a</p><div class='ad-slot-3'>no</div><div class='share-buttons'>no</div><div class='cookie_notice'>no</div><div style='display: none'>no</div><p hidden>no</p></article>",
+    ],
+)
+def test_names_of_elements(page):
+    assert H.main_text(page) == "a"
+
+
+def test_names_of_elements_on_a_page_without_article():
+    assert H.main_text(f"<div class='content has-sidebar'><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div>") == LONG
+
+
 def test_blocks_know_their_links():
     found = H.blocks("<p>one <a href=x>two three</a> four</p><ul><li><a>five</a><li>six</ul>")
     assert [(b.text, b.words, b.linked) for b in found] == [("one two three four", 4, 2), ("five", 1, 1), ("six", 1, 0)]
