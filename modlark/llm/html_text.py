@@ -260,8 +260,8 @@ LABELLED = np.array(
         (8, 0.0, 6, 0.0, 60, 0.0, 1, 1), (12, 0.0, 0, 0.0, 45, 0.0, 1, 1), (1, 0.0, 40, 0.0, 5, 0.0, 1, 1), (3, 0.0, 2, 0.0, 1, 0.0, 1, 1),
         (90, 0.02, 12, 0.0, 70, 0.0, 1, 1), (150, 0.0, 90, 0.0, 9, 0.4, 1, 1), (5, 0.0, 80, 0.1, 0, 0.0, 1, 1), (40, 0.3, 30, 0.1, 50, 0.0, 1, 1),
         (6, 0.2, 55, 0.0, 48, 0.0, 1, 1), (25, 0.1, 7, 0.0, 6, 1.0, 1, 1), (4, 0.5, 60, 0.0, 61, 0.0, 1, 1), (18, 0.6, 44, 0.0, 38, 0.1, 1, 1),
-        # within an article, but only links
-        (4, 1.0, 3, 1.0, 4, 1.0, 1, 0), (2, 1.0, 60, 0.0, 2, 1.0, 1, 0), (6, 1.0, 5, 1.0, 0, 0.0, 1, 0), (3, 1.0, 0, 0.0, 8, 0.0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0),
+        # within an article, only links: linked titles, closing links, lists of links and references
+        (4, 1.0, 3, 1.0, 4, 1.0, 1, 1), (2, 1.0, 60, 0.0, 2, 1.0, 1, 1), (6, 1.0, 5, 1.0, 0, 0.0, 1, 1), (3, 1.0, 0, 0.0, 8, 0.0, 1, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1), (15, 1.0, 14, 1.0, 16, 1.0, 1, 1),
         # menus, adverts, notices, footers, comments, forms
         (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (8, 0.0, 1, 1.0, 11, 0.0, -1, 0), (9, 0.0, 70, 0.0, 0, 0.0, -1, 0), (40, 0.0, 60, 0.0, 35, 0.0, -1, 0), (120, 0.0, 80, 0.0, 90, 0.0, -1, 0),
         (25, 0.1, 9, 0.0, 30, 0.0, -1, 0), (60, 0.5, 4, 1.0, 5, 1.0, -1, 0), (3, 0.0, 2, 0.0, 90, 0.0, -1, 0), (15, 0.9, 3, 1.0, 8, 0.0, -1, 0), (200, 0.0, 0, 0.0, 100, 0.0, -1, 0),
@@ -270,23 +270,51 @@ LABELLED = np.array(
         (22, 0.1, 30, 0.0, 25, 0.0, 0, 1), (80, 0.2, 0, 0.0, 0, 0.0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 1), (20, 0.0, 45, 0.1, 60, 0.0, 0, 1),
         # short ones between long ones
         (6, 0.0, 50, 0.0, 60, 0.0, 0, 1), (8, 0.0, 35, 0.0, 70, 0.1, 0, 1), (10, 0.0, 4, 1.0, 90, 0.0, 0, 1), (12, 0.0, 60, 0.0, 30, 0.0, 0, 1), (7, 0.0, 3, 0.5, 40, 0.0, 0, 1), (4, 0.0, 45, 0.0, 55, 0.0, 0, 1),
+        # list items, lines of dialogue and short paragraphs in a run, without links; its first and last
+        (5, 0.0, 5, 0.0, 5, 0.0, 0, 1), (12, 0.0, 12, 0.0, 12, 0.0, 0, 1), (4, 0.0, 2, 0.0, 5, 0.0, 0, 1), (5, 0.0, 8, 0.0, 3, 0.0, 0, 1), (3, 0.0, 14, 0.0, 21, 0.0, 0, 1), (20, 0.0, 6, 0.0, 9, 0.1, 0, 1), (15, 0.1, 9, 0.0, 4, 0.0, 0, 1),
+        (12, 0.0, 40, 0.0, 10, 0.0, 0, 1), (6, 0.0, 70, 0.0, 7, 0.0, 0, 1), (8, 0.0, 9, 0.0, 50, 0.0, 0, 1), (8, 0.0, 9, 0.0, 0, 0.0, 0, 1), (11, 0.0, 6, 0.0, 0, 0.0, 0, 1), (10, 0.0, 12, 0.0, 2, 1.0, 0, 1), (5, 0.0, 7, 0.0, 4, 1.0, 0, 1),
+        # linked titles and references there, between text or each other
+        (6, 1.0, 50, 0.0, 60, 0.0, 0, 1), (8, 1.0, 30, 0.0, 35, 0.0, 0, 1), (4, 1.0, 12, 0.0, 40, 0.0, 0, 1), (7, 1.0, 15, 0.1, 14, 0.0, 0, 1), (5, 1.0, 9, 0.0, 10, 0.0, 0, 1), (15, 0.8, 14, 0.7, 16, 0.9, 0, 1), (18, 1.0, 17, 1.0, 15, 1.0, 0, 1), (16, 1.0, 45, 0.0, 15, 1.0, 0, 1), (15, 0.9, 16, 0.8, 2, 1.0, 0, 1),
+        # menus there, to the last link before the text
+        (1, 1.0, 1, 1.0, 60, 0.0, 0, 0), (3, 1.0, 2, 1.0, 90, 0.0, 0, 0), (2, 1.0, 3, 1.0, 12, 0.0, 0, 0), (8, 1.0, 6, 1.0, 40, 0.0, 0, 0), (7, 1.0, 9, 1.0, 8, 1.0, 0, 0), (2, 1.0, 60, 0.0, 3, 1.0, 0, 0), (1, 1.0, 0, 0.0, 2, 1.0, 0, 0),
         # unknown region: links, labels and lines at the page's borders
         (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0), (5, 0.8, 40, 0.0, 3, 1.0, 0, 0), (20, 0.7, 6, 1.0, 5, 1.0, 0, 0), (35, 0.6, 10, 0.9, 4, 1.0, 0, 0), (2, 0.0, 1, 1.0, 3, 1.0, 0, 0),
-        (6, 0.0, 60, 0.0, 0, 0.0, 0, 0), (9, 0.1, 50, 0.0, 2, 1.0, 0, 0), (4, 0.0, 2, 0.0, 5, 0.0, 0, 0), (8, 0.0, 3, 1.0, 6, 0.0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0), (10, 0.5, 30, 0.0, 40, 0.0, 0, 0),
-        (5, 0.0, 8, 0.0, 3, 0.0, 0, 0), (50, 0.55, 3, 1.0, 3, 1.0, 0, 0), (12, 0.0, 5, 1.0, 4, 1.0, 0, 0), (7, 0.0, 9, 0.2, 6, 0.9, 0, 0),
+        (6, 0.0, 60, 0.0, 0, 0.0, 0, 0), (9, 0.1, 50, 0.0, 2, 1.0, 0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0, 0), (10, 0.5, 30, 0.0, 40, 0.0, 0, 0),
+        (50, 0.55, 3, 1.0, 3, 1.0, 0, 0), (12, 0.0, 5, 1.0, 4, 1.0, 0, 0), (7, 0.0, 9, 0.2, 6, 0.9, 0, 0),
     ]
 )
 
 
+def _runs() -> np.ndarray:
+    """Blocks of a run of its like in an unknown region, by their words: within
+    it, first, last, alone.  Text is main text; links are if they are as long
+    as references and amid such, or stand alone between text as titles do, but
+    not at the page's borders, where menus in one block are."""
+    out = []
+    for n in (1, 2, 3, 5, 8, 10, 12, 15, 20, 30, 50):
+        for m in (2, 5, 9, 14, 21, 40, 80):
+            out += [(n, 0.0, m, 0.0, m, 0.0, 1), (n, 1.0, m, 0.0, m, 0.0, 1)]
+            out += [(n, d, m, 1.0, m, 1.0, int(min(n, m) > 12)) for d in (0.7, 1.0)]
+            out += [(n, d, m, 1.0, 60, 0.0, int(min(n, m) > 12)) for d in (0.7, 1.0)]
+            out += [(n, d, 60, 0.0, m, 1.0, int(min(n, m) > 12)) for d in (0.7, 1.0)]
+        out += [(n, 0.0, n, 0.0, 60, 0.0, 1), (n, 0.0, 60, 0.0, n, 0.0, 1), (n, 0.0, 0, 0.0, n, 0.0, 1), (n, 0.0, 3, 1.0, n, 0.0, int(n > 2)), (n, 0.0, 3, 1.0, 3, 1.0, int(n > 12))]
+        out += [(n, 0.0, n, 0.0, 0, 0.0, int(n > 1)), (n, 0.0, n, 0.0, 3, 1.0, int(n > 3)), (n, 1.0, 0, 0.0, n, 1.0, int(n > 12)), (n, 1.0, n, 1.0, 0, 0.0, int(n > 12))]
+        out += [(n, 0.0, a, x, b, y, 1) for a, x in ((0, 0.0), (4, 1.0), (15, 1.0), (60, 0.0)) for b, y in ((0, 0.0), (4, 1.0), (15, 1.0), (60, 0.0)) if n > 12]
+        out += [(n, 1.0, 0, 0.0, m, 0.0, 0) for m in (14, 40, 80)] + [(n, 1.0, m, 0.0, 0, 0.0, 0) for m in (14, 40, 80)]
+    table = np.array(out)
+    return np.insert(table, 6, UNKNOWN, axis=1)
+
+
 def labelled() -> np.ndarray:
-    """The table; its main text once more as if in a region of the rest, where
-    it is none; and unknown blocks that aren't links as if in an article, where
+    """The table and runs; their main text once more as if in a region of the
+    rest, where it is none; and other unknown blocks as if in an article, where
     they are main text."""
-    rest = LABELLED[LABELLED[:, -1] == 1].copy()
+    table = np.concatenate([LABELLED, _runs()])
+    rest = table[table[:, -1] == 1].copy()
     rest[:, -2:] = REST, 0
-    main = LABELLED[(LABELLED[:, -1] == 0) & (LABELLED[:, -2] == UNKNOWN) & (LABELLED[:, 1] < 0.5)].copy()
+    main = table[(table[:, -1] == 0) & (table[:, -2] == UNKNOWN)].copy()
     main[:, -2:] = MAIN, 1
-    return np.concatenate([LABELLED, rest, main])
+    return np.concatenate([table, rest, main])
 
 
 @dataclass
@@ -326,7 +354,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Node:
 @lru_cache(maxsize=1)
 def tree() -> Node:
     table = labelled()
-    return grow(table[:, :-1], table[:, -1])
+    return grow(table[:, :-1], table[:, -1], 10)
 
 
 def classify(node: Node, x: np.ndarray) -> np.ndarray:

@@ -84,6 +84,36 @@ def test_names_of_elements_on_a_page_without_article():
     assert H.main_text(f"<div class='content has-sidebar'><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div>") == LONG
 
 
+def lines(n, words, link=False):
+    return "".join(f"<p>{'<a href=x>' if link else ''}{' '.join(f'l{i}w{k}' for k in range(words))}{'</a>' if link else ''}</p>" for i in range(n))
+
+
+def text(page):
+    return "\n".join(re.findall(">(?:<a href=x>)?([^<]+)<", page))
+
+
+@pytest.mark.parametrize("short", [lines(8, 5), lines(8, 12), lines(8, 2) + lines(8, 20), lines(8, 15, True)])
+def test_runs_of_short_blocks(short):
+    for around in ("", f"<p>{LONG}</p>"):
+        page = around + short + around
+        assert H.main_text(f"<article>{page}</article>") == text(page)
+        assert H.main_text(f"<div>{page}</div>") == text(page)
+
+
+def test_links_that_belong_to_the_article():
+    page = f"<h2><a href=x>A linked title</a></h2><p>short one</p><p>{LONG}</p><p><a href=x>Read more</a></p>" + lines(3, 15, True) + lines(5, 2, True)
+    assert H.main_text(f"<article>{page}</article>") == text(page)
+    page = f"<p>{LONG}</p><h2><a href=x>A linked title</a></h2><p>{LONG}</p>"
+    assert H.main_text(f"<div>{page}</div>") == text(page)
+
+
+def test_menus_without_names():
+    for n in (1, 2, 4):
+        assert H.main_text(f"<ul>{lines(6, n, True)}</ul><p>{LONG}</p><p>{LONG}</p><ul>{lines(6, n, True)}</ul>") == f"{LONG}\n{LONG}"
+    one = "".join(f"<a href=x>menu {i}</a> " for i in range(12))
+    assert H.main_text(f"<div>{one}</div><p>{LONG}</p><p>{LONG}</p><div>{one}</div>") == f"{LONG}\n{LONG}"
+
+
 def test_blocks_know_their_links():
     found = H.blocks("<p>one <a href=x>two three</a> four</p><ul><li><a>five</a><li>six</ul>")
     assert [(b.text, b.words, b.linked) for b in found] == [("one two three four", 4, 2), ("five", 1, 1), ("six", 1, 0)]
