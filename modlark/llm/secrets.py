@@ -1,7 +1,8 @@
 """Secret scans with a random forest against false findings.
 
 Candidates are found by a pattern: values assigned to names such as
-``password`` or ``token``, and long runs of token signs with a digit.  Each is
+``password`` or ``token``, whole private key blocks, well-known kinds by their
+heads, and long runs of token signs with a digit.  Each is
 described by its length, the changes between kinds of characters, the part of
 it that dictionary words cover, whether it looks like a path, and the words
 around it.  A forest fitted to labelled findings tells secrets from the
@@ -32,9 +33,15 @@ DICTIONARY = (
     "school science search section service show size social source state story street student study style system table team test text this time title topic tour town travel type update user value "
     "version video view water week with woman word work world year your"
 ).split()
+# Well-known kinds by their heads, each with its own signs: no digit is needed.
+HEADED = (
+    "(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_.-]{16,}|xox[abpors]-[A-Za-z0-9-]{10,}|(?:sk[-_]|pk[-_]live)[A-Za-z0-9_-]{16,}"
+    "|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_=-]{8,}(?:[.][A-Za-z0-9_=+/-]*){1,4}|ya29[.][A-Za-z0-9_.-]{16,}|SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}"
+)
 CANDIDATE = (
-    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    rf"|\b(?i:{SECRET_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{6,}}"
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    rf"|\b(?i:{SECRET_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?!-----BEGIN )[^\s\"']{{6,}}"
+    rf"|(?<![A-Za-z0-9+/_-])(?:{HEADED})"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 )
 _ASSIGNED = rf"^(?i:{SECRET_NAMES})[\"']?\s*[:=]\s*[\"']?"
@@ -93,6 +100,8 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     g = F.sha2(F.concat(h, F.lit("more")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "=+$", "")
+    url = F.translate(b64, "+/", "-_")
+    more = F.translate(F.regexp_replace(F.base64(F.unhex(g)), "=+$", ""), "+/", "_-")
     caps = F.upper(F.translate(F.regexp_replace(F.base64(F.unhex(g)), "[^A-Za-z0-9]", ""), "018", "ABC"))
     prose = lambda k: F.element_at(F.array(*map(F.lit, "the of and it on by set with for to is into then was our as".split())), 1 + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(16)).cast("int"))
     word = lambda k: F.element_at(F.array(*map(F.lit, DICTIONARY)), 1 + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))).cast("int"))
@@ -105,6 +114,10 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined("ghp_", cut(F.regexp_replace(b64, "[+/]", "x"), 1, 36)), lead), (joined("sk-", cut(F.regexp_replace(b64, "[+/]", "Q"), 1, 40)), lead), (joined("api_key=", cut(g, 1, 32)), lead),
         (joined("xoxb-", cut(digits, 1, 12), "-", cut(b64, 1, 24)), lead), (joined("passwd: ", cut(b64, 1, 12), "!"), lead), (cut(b64, 1, 40), joined("aws secret ", prose("c"), " ")),
         (joined("eyJ", cut(b64, 1, 30), "eyJ", cut(b64, 5, 30)), joined("bearer ")),
+        (joined("AKIA", cut(F.translate(caps, "0123456789", "ABCDEFGHIJ"), 1, 16)), lead), (joined("eyJ", cut(url, 1, 30), ".eyJ", cut(url, 5, 36), ".", cut(more, 1, 43)), lead), (joined("SG.", cut(url, 1, 22), ".", cut(more, 1, 43)), lead),
+        (joined("-----BEGIN RSA PRIVATE KEY-----\n", b64, "\n", cut(h, 1, 60), b64, "\n", b64, "\n-----END RSA PRIVATE KEY-----"), lead),
+        (joined("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n", b64, "\n", b64, "\n=", cut(b64, 3, 4), "\n-----END PGP PRIVATE KEY BLOCK-----"), lead),
+        (joined("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,", F.upper(cut(g, 1, 32)), "\n\n", b64, "\n", b64, "\n-----END RSA PRIVATE KEY-----"), lead),
     )
     plain = (
         (cut(h, 1, 40), joined("commit ")), (cut(h, 1, 64), joined("sha256 ")), (cut(h, 1, 32), joined(prose("c"), " md5 ")), (digits, joined("card number ")), (digits, lead),
