@@ -17,9 +17,14 @@ from pyspark.sql.window import Window
 from modlark.llm.scratch import Scratch
 
 N_SLOTS = 8192
+#: Repeated rows with more than this share of a shard's mean bytes are dealt over all slots.
+HOT = 0.1
 MAP = "version int, virtual_slot int, shard int"
 
 
+_KEY = ["doc_id", "text_crc32", "size"]
+
+
 def first_map(n_shards: int, n_slots: int = N_SLOTS) -> np.ndarray:
     """Slots dealt out in turn: what is known before any bytes are."""
     return np.arange(n_slots) % n_shards
@@ -29,15 +34,16 @@ def rebalance(shard_of: np.ndarray, weight: np.ndarray, n_shards: int, tolerance
     """Edit a map until shards weigh about the same.
 
     Each step takes the heaviest and the lightest shard and moves the slot, or
-    swaps the two slots, that bring them closest to each other.  It ends when
-    they differ by ``tolerance`` of the mean or no step narrows the gap.
+    swaps the two slots, that bring them closest to each other.  A heaviest
+    shard that no step makes lighter, as a slot over the mean does, is set
+    aside.  It ends when the others differ by ``tolerance`` of the mean.
     """
-    shard_of = shard_of.copy()
+    shard_of, aside = shard_of.copy(), np.zeros(n_shards, bool)
     load = np.bincount(shard_of, weight, n_shards)
     for _ in range(max_moves):
-        high, low = int(load.argmax()), int(load.argmin())
+        high, low = int(np.where(aside, -np.inf, load).argmax()), int(np.where(aside, np.inf, load).argmin())
         gap = load[high] - load[low]
-        if gap <= tolerance * load.mean():
+        if aside.all() or gap <= tolerance * load.mean():
             break
         a, b = np.flatnonzero(shard_of == high), np.flatnonzero(shard_of == low)
         give, take = weight[a], np.append(weight[b], 0.0)
@@ -50,7 +56,8 @@ def rebalance(shard_of: np.ndarray, weight: np.ndarray, n_shards: int, tolerance
         x, y = int(best[1]), int(order[near[best]])
         moved = give[x] - take[y]
         if not 0 < moved < gap:
-            break
+            aside[high] = True
+            continue
         shard_of[a[x]] = low
         if y < len(b):
             shard_of[b[y]] = high
@@ -71,6 +78,14 @@ def latest(maps: DataFrame) -> DataFrame:
     return maps.join(F.broadcast(top), "version")
 
 
+def _slots(rows: DataFrame, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and rows of each slot."""
+    weight, count = np.zeros(n_slots), np.zeros(n_slots, np.int64)
+    for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
+        weight[r.virtual_slot], count[r.virtual_slot] = r.bytes, r.n
+    return weight, count
+
+
 def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Assign every document to one of ``n_shards`` shards of nearly equal bytes.
 
@@ -82,19 +97,27 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, id_col: s
     shard.
 
     * Null text: size 16, the checksum of an empty text.  Null ids are spread
-      by their texts; repeated rows get places next to each other.
+      by their texts; repeated rows get places next to each other, unless they
+      have over ``HOT`` of a shard's bytes: then each has a slot of its own.
     * Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = scratch.keep(rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int")), "rows")
-
-    slots = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    weight, count = np.zeros(n_slots), np.zeros(n_slots, np.int64)
-    for r in slots.collect():
-        weight[r.virtual_slot], count[r.virtual_slot] = r.bytes, r.n
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    rows = scratch.keep(rows.withColumn("virtual_slot", F.pmod(F.xxhash64(*_KEY), F.lit(n_slots)).cast("int")), "rows")
+    weight, count = _slots(rows, n_slots)
+    share = HOT * weight.sum() / n_shards
+    heavy = np.flatnonzero((weight > share) & (count > 1)).tolist()  # n_shards / HOT at most
+    if heavy:
+        repeated = rows.where(F.col("virtual_slot").isin(heavy)).groupBy(*_KEY).agg(F.count("*").alias("n"))
+        hot = scratch.keep(repeated.where((F.col("n") > 1) & (F.col("n") * F.col("size") > share)).select(*(F.col(c).alias(f"hot_{c}") for c in _KEY)), "hot")
+        if not hot.isEmpty():
+            same = rows["doc_id"].eqNullSafe(hot["hot_doc_id"]) & (rows["text_crc32"] == hot["hot_text_crc32"]) & (rows["size"] == hot["hot_size"])
+            salted = F.pmod(F.xxhash64(*_KEY, "uid"), F.lit(n_slots)).cast("int")
+            rows = rows.join(F.broadcast(hot), same, "left").withColumn("virtual_slot", F.when(F.col("hot_size").isNull(), F.col("virtual_slot")).otherwise(salted)).select(*_KEY, "virtual_slot")
+            weight, count = _slots(rows, n_slots)
     versions = [first_map(n_shards, n_slots)]
     versions.append(rebalance(versions[0], weight, n_shards))
     maps = scratch.keep(map_table(spark, versions).coalesce(1), "slot_map")

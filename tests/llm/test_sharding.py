@@ -44,6 +44,25 @@ def test_rebalancing_edits_the_map_only_where_needed():
     assert np.bincount(sharding.rebalance(first, heavy, 40), minlength=40).sum() == 4096
 
 
+def test_a_slot_that_cant_be_cut_leaves_the_others_even():
+    weight = np.random.default_rng(2).integers(1, 100, 4096).astype(float)
+    for share in (0.03, 0.05, 0.33):
+        weight[7] = 0
+        weight[7] = share / (1 - share) * weight.sum()
+        second = sharding.rebalance(sharding.first_map(40, 4096), weight, 40)
+        load = np.delete(np.bincount(second, weight, 40), second[7])
+        assert (second == second[7]).sum() == 1 and load.max() - load.min() <= 2e-4 * load.mean() + 1
+
+
+def test_repeated_rows_are_dealt_over_slots(spark):
+    docs = [(1, "one row " * 40)] * 900 + [(None, "no id " * 40)] * 900 + [(i, f"text {i} " * 30) for i in range(2, 1500)]
+    found = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), n_shards=8).collect()
+    check(found, docs)
+    load = np.bincount([r.shard for r in found], [r.size for r in found], 8)
+    assert load.max() - load.min() <= 0.02 * load.mean()
+    assert max(np.bincount([r.virtual_slot for r in found])) < 20
+
+
 def test_versions(spark):
     a = sharding.first_map(4, 64)
     b = sharding.rebalance(a, np.arange(64.0), 4)
