@@ -3,7 +3,9 @@
 Pieces are dealt by a hash into cells of about ``CELL`` pieces.  Each cell is
 solved on ``ISLANDS`` islands, which are groups of their own in a shuffle:
 every island evolves its population, sends its elite to the next one, and
-evolves on with what it got; the fittest elite of a cell packs it.  Pieces of
+evolves on with what it got; the fittest elite of a cell packs it.  Where best
+fit decreasing, one of the founders, already meets the lower bound of a cell,
+there is nothing to evolve.  Pieces of
 ill-filled sequences leave their cell and are packed again in fewer cells,
 until one cell is left or a level hardly lowers the number of cells; the cells
 of that level settle all their sequences.
@@ -27,7 +29,8 @@ from modlark.llm.tokens import encode
 CELL = 8192
 ISLANDS = 2
 FOUNDERS = 3
-GENERATIONS = 4
+#: Of each island before and after migration; it evolves no further where its bins can't be fewer.
+GENERATIONS = 24
 END = np.asarray([1], "<u4").tobytes()
 #: Cells other than the last give up sequences filled below this share.
 WELL_FILLED = 0.98

@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
@@ -55,7 +54,7 @@ class WordIds(dict):
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            written = "".join(self.letters[b] for b in part.encode())
+            written = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
             ids = _packed([t.id for t in self.tokenizer.model.tokenize(written)])
             if len(self.parts) < REMEMBERED:
                 self.parts[part] = ids
@@ -63,7 +62,7 @@ class WordIds(dict):
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
