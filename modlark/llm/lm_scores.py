@@ -3,7 +3,10 @@
 The model mixes maximum-likelihood estimates: of a word after the word before
 it, of the word alone, and a uniform one.  The weights depend on how often the
 context word was seen (in powers of two), and are learned by
-expectation-maximisation on counts held out of the training documents.
+expectation-maximisation on held-out counts: those of one in ten training
+texts, chosen by a hash of the text, so that all copies are on one side and
+the scores don't depend on how rows are laid out.  Where no text is chosen, as
+in very small tables, every training token is held out of the others in turn.
 
 How counts meet texts.  A first pass numbers the words of blocks of texts and
 writes the numbers.  Each block then asks for the counts of its own distinct
@@ -31,14 +34,14 @@ from modlark.llm.scratch import Scratch
 BLOCK_BYTES = (1 << 16, 1 << 23)
 #: Bytes of text for each range of n-gram hashes, and so for each task that adds up.
 BYTES_PER_RANGE = 1 << 24
-#: One block in so many is held out when mixture weights are learned.
+#: One training text in so many is held out when mixture weights are learned.
 HELD_OUT = 10
 #: Steps per power of two to which held-out probabilities are rounded.
 STEPS = 8
 CONTEXTS = 40
 END = b""
-#: Weights of pair, word and uniform estimates where nothing is held out.
-PRIOR = np.array([0.5, 0.4, 0.1])
+#: Weights of pair, word and uniform estimates that expectation-maximisation starts from.
+START = np.array([0.5, 0.4, 0.1])
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -51,19 +54,19 @@ def _numbers(planes: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, len(planes) // width).T).view(kind).ravel()
 
 
-_BLOCK = "block long, held boolean, n_train long, doc_id array<bigint>, train array<boolean>, counts binary, vocabulary binary, ids binary"
+_BLOCK = "block long, n_train long, n_held long, doc_id array<bigint>, train array<boolean>, held array<boolean>, counts binary, vocabulary binary, ids binary"
 
 
 def _block(number: int, rows: list[tuple]) -> pa.RecordBatch:
-    ids, counts, vocabulary = words.numbered([r[2] for r in rows])
+    doc_id, train, held, texts = (list(c) for c in zip(*rows))
+    ids, counts, vocabulary = words.numbered(texts)
     vocabulary.append(END)
     ends = np.cumsum(counts)
     ids = np.insert(ids, ends, len(vocabulary) - 1).astype(np.int32)
-    held = int(words.mix(np.array([number + 1], np.uint64))[0]) % HELD_OUT == 0
-    n_train = int((counts + 1)[[bool(r[1]) for r in rows]].sum())
-    cells = [[number], [held], [n_train], [[r[0] for r in rows]], [[r[1] for r in rows]], [_planes(counts + 1)], [words.hashes(vocabulary).tobytes()], [_planes(ids)]]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=["block", "held", "n_train", "doc_id", "train", "counts", "vocabulary", "ids"])
+    n_train, n_held = (int((counts + 1)[np.asarray(flag, bool)].sum()) for flag in (train, held))
+    cells = [[number], [n_train], [n_held], [doc_id], [train], [held], [_planes(counts + 1)], [words.hashes(vocabulary).tobytes()], [_planes(ids)]]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=["block", "n_train", "n_held", "doc_id", "train", "held", "counts", "vocabulary", "ids"])
 
 
 def _blocked(size: int):
@@ -72,7 +75,7 @@ def _blocked(size: int):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.append(row)
-                n += len(row[2] or "")
+                n += len(row[3] or "")
                 if n >= size:
                     yield _block(number, rows)
                     number, rows, n = number + 1, [], 0
@@ -89,7 +92,7 @@ class _Tokens:
         self.counts = _numbers(row["counts"], "<i8")
         self.ids = _numbers(row["ids"], "<i4")
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.train = np.repeat(np.asarray(row["train"], bool), self.counts)
+        self.train, self.held = (np.repeat(np.asarray(row[c], bool), self.counts) for c in ("train", "held"))
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[words.starts(self.counts)[:-1]] = len(self.vocabulary) - 1  # a text begins after an end
@@ -100,27 +103,35 @@ class _Tokens:
         first = words.mix(self.vocabulary * np.uint64(3))
         return words.mix(self.vocabulary), words.mix(first[self.before] + self.vocabulary[self.ids])
 
+    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For words (1) and pairs (2): sorted distinct hashes, and how often
+        each is in training texts and in those held out."""
+        word, pair = self.keys()
+        for level, keys, tokens in ((1, word, self.ids), (2, pair, None)):
+            distinct, back = np.unique(keys, return_inverse=True)
+            at = back if tokens is None else back[tokens]
+            yield level, distinct, *(np.bincount(at[flag], minlength=len(distinct)).astype(np.uint32) for flag in (self.train, self.held))
+
 
 def _asked(ranges: int):
-    """A block's messages: sorted hashes of a range with training counts."""
+    """A block's messages: sorted hashes of a range with training counts, and
+    the held-out ones among them: their places and held-out counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):  # blocks are large: one at a time
                 row = batch.slice(k, 1).to_pylist()[0]
-                tokens = _Tokens(row)
-                word, pair = tokens.keys()
-                for level, keys, weight in ((1, word, np.bincount(tokens.ids, tokens.train, len(word))), (2, pair, tokens.train)):
-                    distinct, back = np.unique(keys, return_inverse=True)
-                    count = np.bincount(back, weight, len(distinct)).astype(np.uint32)
+                for level, distinct, count, held in _Tokens(row).levels():
                     cuts = np.searchsorted(distinct, _borders(ranges), side="left")
                     parts = [slice(i, j) for i, j in zip(np.append(0, cuts), np.append(cuts, len(distinct)))]
                     some = [k for k, p in enumerate(parts) if p.stop > p.start]
+                    places = {k: np.flatnonzero(held[parts[k]]).astype(np.uint32) for k in some}
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in (
-                            ([level] * len(some), pa.int32()), (some, pa.int32()), ([row["block"]] * len(some), pa.int64()), ([row["held"]] * len(some), pa.bool_()),
-                            ([_planes(np.diff(distinct[parts[k]], prepend=np.uint64(0))) for k in some], pa.binary()), ([_planes(count[parts[k]]) for k in some], pa.binary()))],
-                        names=["level", "part", "block", "held", "keys", "counts"],
+                            ([level] * len(some), pa.int32()), (some, pa.int32()), ([row["block"]] * len(some), pa.int64()),
+                            ([_planes(np.diff(distinct[parts[k]], prepend=np.uint64(0))) for k in some], pa.binary()), ([_planes(count[parts[k]]) for k in some], pa.binary()),
+                            ([_planes(places[k]) for k in some], pa.binary()), ([_planes(held[parts[k]][places[k]]) for k in some], pa.binary()))],
+                        names=["level", "part", "block", "keys", "counts", "held_at", "held"],
                     )
 
     return ask
@@ -130,50 +141,58 @@ def _borders(ranges: int) -> np.ndarray:
     return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
 
-_ANSWER = "level int, part int, block long, held boolean, totals binary, core binary, known long"
+_ANSWER = "level int, part int, block long, totals binary, core binary, known long"
 
 
 def _answered(table: pa.Table) -> pa.Table:
-    """Totals of a range, for each block in the order that it asked for.
-
-    Held-out blocks also get the counts of the others alone."""
+    """Totals of a range, for each block in the order that it asked for; for
+    what it holds out, also the counts without any held-out text."""
     keys = [np.cumsum(_numbers(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [_numbers(c, "<u4") for c in table.column("counts").to_pylist()]
-    held = table.column("held").to_pylist()
+    places, apart = ([_numbers(x, "<u4") for x in table.column(c).to_pylist()] for c in ("held_at", "held"))
     distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-    flat = np.concatenate(counts).astype(np.float64)
-    core = np.bincount(back, np.where(np.repeat(held, [len(k) for k in keys]), 0, flat), len(distinct)).astype(np.int64)
-    total = np.bincount(back, flat, len(distinct)).astype(np.int64)
     own = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+    total = np.bincount(back, np.concatenate([_numbers(c, "<u4") for c in table.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
+    held = [o[p] for o, p in zip(own, places)]
+    core = total - np.bincount(np.concatenate(held), np.concatenate(apart), len(distinct)).astype(np.int64)
     known = [int((total > 0).sum())] + [0] * (len(own) - 1)
-    return table.select(["level", "part", "block", "held"]).append_column("totals", pa.array([_planes(total[o]) for o in own], pa.binary())).append_column("core", pa.array([_planes(core[o]) if h else None for o, h in zip(own, held)], pa.binary())).append_column("known", pa.array(known))
+    return table.select(["level", "part", "block"]).append_column("totals", pa.array([_planes(total[o]) for o in own], pa.binary())).append_column("core", pa.array([_planes(core[h]) for h in held], pa.binary())).append_column("known", pa.array(known))
+
+
+def _counts(answers: list[dict], column: str) -> dict[int, np.ndarray]:
+    """A column of a block's answers by level, in the order of its hashes."""
+    ordered = sorted(answers, key=lambda a: a["part"])
+    return {level: np.concatenate([np.empty(0, "<i8"), *(_numbers(a[column], "<i8") for a in ordered if a["level"] == level)]) for level in (1, 2)}
 
 
-def _estimates(tokens: _Tokens, answers: list[dict], column: str, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each token's word, its context's bucket, and both estimates."""
-    got = {}
-    for level in (1, 2):
-        parts = sorted((a for a in answers if a["level"] == level), key=lambda a: a["part"])
-        got[level] = np.concatenate([_numbers(a[column], "<i8") for a in parts])
+def _estimates(tokens: _Tokens, got: dict[int, np.ndarray], n: float, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each token's word, its context's bucket, and both estimates;
+    all counts by ``less``."""
     word, pair = tokens.keys()
-    at = np.unique(word, return_inverse=True)[1]
-    c1 = got[1][at]
-    c2 = got[2][np.unique(pair, return_inverse=True)[1]]
+    c1 = np.maximum(got[1][np.unique(word, return_inverse=True)[1]] - less, 0)
+    c2 = np.maximum(got[2][np.unique(pair, return_inverse=True)[1]] - less, 0)
     context = c1[tokens.before]
     bucket = np.where(context > 0, 1 + np.log2(np.maximum(context, 1)).astype(int), 0).clip(0, CONTEXTS - 1)
     return c1[tokens.ids], bucket, c2 / np.maximum(context, 1), c1[tokens.ids] / max(n, 1)
 
 
-def _held_out(n: int):
-    """Rounded estimates of the training tokens of held-out blocks, counted."""
+def _held_out(n: int, in_turn: bool):
+    """Rounded estimates of held-out tokens, counted.  ``in_turn``: of each
+    training token from all the others."""
 
     def count(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", "pair", "word", "n")})
         tokens = _Tokens(block.to_pylist()[0])
-        _, bucket, pair, word = _estimates(tokens, answers.to_pylist(), "core", n)
+        got, chosen = _counts(answers.to_pylist(), "totals" if in_turn else "core"), tokens.train if in_turn else tokens.held
+        if not in_turn:
+            full = {}
+            for level, distinct, _, held in tokens.levels():
+                full[level] = np.zeros(len(distinct), np.int64)
+                full[level][held > 0] = got[level]
+            got = full
+        _, bucket, pair, word = _estimates(tokens, got, n, int(in_turn))
         rounded = [np.rint(STEPS * np.log2(np.maximum(p, 2.0**-60))).astype(np.int64) for p in (pair, word)]
-        rows, many = np.unique(np.stack([bucket, *rounded])[:, tokens.train], axis=1, return_counts=True)
+        rows, many = np.unique(np.stack([bucket, *rounded])[:, chosen], axis=1, return_counts=True)
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("bucket", "pair", "word", "n"), (*rows, many))})
 
     return count
@@ -182,10 +201,11 @@ def _held_out(n: int):
 def mixture_weights(rows: np.ndarray, uniform: float, rounds: int = 50) -> np.ndarray:
     """Weights of pair, word and uniform estimates for each context bucket, by
     expectation-maximisation on ``(bucket, pair, word, n)`` rows."""
-    weights = np.tile(PRIOR, (CONTEXTS, 1))
+    weights = np.tile(START, (CONTEXTS, 1))
     weights[0] = [0, 0.8, 0.2]
-    if not len(rows):
+    if not len(rows):  # no training token: every count is 0, and so are the estimates but the uniform one
         return weights
+    rows = rows[np.lexsort(rows.T)]
     bucket, n = rows[:, 0].astype(int), rows[:, 3].astype(float)
     p = np.stack([np.where(c <= -60 * STEPS, 0, 2.0 ** (c / STEPS)) for c in rows[:, 1:3].T] + [np.full(len(rows), uniform)], axis=1)
     for _ in range(rounds):
@@ -200,7 +220,7 @@ def _scored(weights: np.ndarray, n: int, distinct: int):
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         tokens = _Tokens(row)
-        count, bucket, pair, word = _estimates(tokens, answers.to_pylist(), "totals", n)
+        count, bucket, pair, word = _estimates(tokens, _counts(answers.to_pylist(), "totals"), n)
         mixed = np.log10(weights[bucket, 0] * pair + weights[bucket, 1] * word + weights[bucket, 2] / (distinct + 1))
         base = np.log10((count + 0.5) / (n + 0.5 * (distinct + 1)))
         at = words.starts(tokens.counts)[:-1]
@@ -220,22 +240,27 @@ def lm_scores(docs: DataFrame, held_out_column: str = "held_out", id_col: str =
     * Null or wordless text: the end alone.  Null ids are scored like others;
       a null ``held_out_column`` counts as false.  Repeated rows count as often
       as they occur and get equal scores.
-    * No training rows: every token is unknown and gets the uniform part.
+    * No training rows: every token is unknown and gets the uniform part.  Too
+      few to hold a text out: each training token is held out of the others.
     * Other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~F.coalesce(F.col(held_out_column), F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
+    train, text = ~F.coalesce(F.col(held_out_column), F.lit(False)), F.col(text_col).cast("string")
+    apart = train & (F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(HELD_OUT)) == 0)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), apart.alias("held"), text.alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = int(np.clip(total // 100, *BLOCK_BYTES))
     blocks = scratch.keep(given.mapInArrow(_blocked(size), _BLOCK), "blocks")
-    sums = blocks.agg(F.sum("n_train"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n_train")))).first()
-    n, n_core = (int(x or 0) for x in sums)
-    asked = blocks.mapInArrow(_asked(max(1, total // BYTES_PER_RANGE)), "level int, part int, block long, held boolean, keys binary, counts binary")
+    n, n_held = (int(x or 0) for x in blocks.agg(F.sum("n_train"), F.sum("n_held")).first())
+    asked = blocks.mapInArrow(_asked(max(1, total // BYTES_PER_RANGE)), "level int, part int, block long, keys binary, counts binary, held_at binary, held binary")
     answers = scratch.keep(asked.groupBy("level", "part").applyInArrow(_answered, _ANSWER), "answers")
     distinct = answers.where("level = 1").agg(F.sum("known")).first()[0] or 0
 
-    held = blocks.where("held").groupBy("block").cogroup(answers.where("held").groupBy("block"))
-    rounded = held.applyInArrow(_held_out(n_core), "bucket long, pair long, word long, n long")
+    in_turn = not n_held
+    some = blocks.where("n_train > 0" if in_turn else "n_held > 0")
+    told = answers.select("block", "level", "part", "totals" if in_turn else "core")
+    held = some.groupBy("block").cogroup(told.groupBy("block"))
+    rounded = held.applyInArrow(_held_out(n - (1 if in_turn else n_held), in_turn), "bucket long, pair long, word long, n long")
     rows = rounded.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).collect()  # a bounded grid
     weights = mixture_weights(np.array([tuple(r) for r in rows], np.int64).reshape(-1, 4), 1 / (distinct + 1))
 

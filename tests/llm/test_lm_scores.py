@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -42,6 +42,67 @@ def test_odd_rows(odd, empty):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in none)
 
 
+def brute(rows):
+    """Scores by dictionaries; rows are (doc_id, text, held_out, apart): in training, but apart when weights are learned."""
+    split = {i: [b"", *(text or "").encode().lower().split(), b""] for i, text, _, _ in rows}
+    pairs = {i: list(zip(t, t[1:])) for i, t in split.items()}
+    train, apart = [r[0] for r in rows if not r[2]], [r[0] for r in rows if not r[2] and r[3]]
+
+    def counted(ids):
+        c2 = Counter(p for i in ids for p in pairs[i])
+        return c2, Counter(w for i in ids for w in split[i][1:])
+
+    all2, all1 = counted(train)
+    core2, core1 = counted([i for i in train if i not in apart])
+    s, n = lm_scores.STEPS, sum(all1.values())
+
+    def estimates(u, w, c2, c1, total, less=0):
+        count = lambda c, x: max(c[x] - less, 0)
+        ctx = count(c1, u)
+        return (1 + int(math.log2(ctx)) if ctx else 0), count(c2, (u, w)) / max(ctx, 1), count(c1, w) / max(total, 1)
+
+    seen = Counter()
+    for i in apart or train:
+        for u, w in pairs[i]:
+            b, *p = estimates(u, w, core2, core1, sum(core1.values())) if apart else estimates(u, w, all2, all1, n - 1, 1)
+            seen[(b, *(round(s * math.log2(max(x, 2.0**-60))) for x in p))] += 1
+    uniform = 1 / (len(all1) + 1)
+    weights = defaultdict(lambda: list(lm_scores.START), {0: [0, 0.8, 0.2]})
+    for _ in range(50):
+        new = {b: [x * 1e-3 for x in weights[b]] for b in {k[0] for k in seen}}
+        for (b, *c), many in seen.items():
+            part = [x * p for x, p in zip(weights[b], [0 if k <= -60 * s else 2 ** (k / s) for k in c] + [uniform])]
+            new[b] = [x + many * p / sum(part) for x, p in zip(new[b], part)]
+        weights.update({b: [x / sum(w) for x in w] for b, w in new.items()})
+    out = {}
+    for i, told in pairs.items():
+        at = [(b, p2, p1) for b, p2, p1 in (estimates(u, w, all2, all1, n) for u, w in told)]
+        out[i] = sum(math.log10(weights[b][0] * p2 + weights[b][1] * p1 + weights[b][2] * uniform) for b, p2, p1 in at)
+    return out
+
+
+@pytest.mark.parametrize("apart", (True, False))
+def test_scores_equal_brute_force(spark, documents, apart):
+    given = documents.where("doc_id < 120").select("doc_id", F.substring("text", 1, 900).alias("text")).dropDuplicates(["doc_id"])
+    told = given.withColumn("apart", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(lm_scores.HELD_OUT)) == 0)
+    told = told if apart else told.where("not apart")
+    told = held(told).select("doc_id", "text", "held_out", "apart").collect()
+    expected = brute([tuple(r) for r in told])
+    found = lm_scores.lm_scores(spark.createDataFrame(told, "doc_id long, text string, held_out boolean, apart boolean")).collect()
+    assert {r.doc_id: r.score for r in found} == pytest.approx(expected, abs=1e-6)
+
+
+def test_layout_changes_no_score(documents, odd, monkeypatch):
+    """Whatever the partitions, blocks and ranges, every score is the same."""
+    one = lambda df: Counter((r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores.lm_scores(df).collect())
+    for given in (held(documents), odd.withColumn("held_out", F.lit(False))):
+        first = one(given.repartition(1))
+        for n in (3, 7):
+            monkeypatch.setattr(lm_scores, "BLOCK_BYTES", (20_000 * n, 30_000 * n))
+            monkeypatch.setattr(lm_scores, "BYTES_PER_RANGE", 100_000 // n)
+            assert one(given.repartition(n)) == first
+
+
 def test_probabilities_add_up(spark, monkeypatch):
     """Over all words and one unknown, the probabilities after a context add up to 1.
 
@@ -69,7 +130,7 @@ def test_mixture_weights_find_the_better_estimate():
     w = lm_scores.mixture_weights(rows, 1e-6)
     assert w[5, 0] > 0.9 and w[7, 1] > 0.9 and w[9, 0] < 0.01
     assert w.sum(axis=1) == pytest.approx(1.0)
-    assert lm_scores.mixture_weights(np.empty((0, 4), np.int64), 0.1)[3].tolist() == lm_scores.PRIOR.tolist()
+    assert lm_scores.mixture_weights(np.empty((0, 4), np.int64), 0.1)[0] == pytest.approx([0, 0.8, 0.2])
 
 
 def test_planes_round_trip():
