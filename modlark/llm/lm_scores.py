@@ -92,7 +92,8 @@ class _Tokens:
         self.counts = _numbers(row["counts"], "<i8")
         self.ids = _numbers(row["ids"], "<i4")
         self.vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.train, self.held = (np.repeat(np.asarray(row[c], bool), self.counts) for c in ("train", "held"))
+        every = [True] * len(self.counts)
+        self.train, self.held = (np.repeat(np.asarray(row.get(c, every), bool), self.counts) for c in ("train", "held"))
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[words.starts(self.counts)[:-1]] = len(self.vocabulary) - 1  # a text begins after an end
@@ -175,6 +176,18 @@ def _estimates(tokens: _Tokens, got: dict[int, np.ndarray], n: float, less: int
     return c1[tokens.ids], bucket, c2 / np.maximum(context, 1), c1[tokens.ids] / max(n, 1)
 
 
+def _held_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the held-out texts alone, whose words are numbered anew: their
+    sorted hashes are those that the block has ``core`` answers for."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            tokens = _Tokens(row)
+            used, ids = np.unique(tokens.ids[tokens.held], return_inverse=True)  # the end comes last
+            held = np.asarray(row["held"], bool)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary() if isinstance(c, bytes) else None) for c in (row["block"], _planes(tokens.counts[held]), tokens.vocabulary[used].tobytes(), _planes(ids.astype(np.int32)))], names=["block", "counts", "vocabulary", "ids"])
+
+
 def _held_out(n: int, in_turn: bool):
     """Rounded estimates of held-out tokens, counted.  ``in_turn``: of each
     training token from all the others."""
@@ -183,16 +196,9 @@ def _held_out(n: int, in_turn: bool):
         if not block.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("bucket", "pair", "word", "n")})
         tokens = _Tokens(block.to_pylist()[0])
-        got, chosen = _counts(answers.to_pylist(), "totals" if in_turn else "core"), tokens.train if in_turn else tokens.held
-        if not in_turn:
-            full = {}
-            for level, distinct, _, held in tokens.levels():
-                full[level] = np.zeros(len(distinct), np.int64)
-                full[level][held > 0] = got[level]
-            got = full
-        _, bucket, pair, word = _estimates(tokens, got, n, int(in_turn))
+        _, bucket, pair, word = _estimates(tokens, _counts(answers.to_pylist(), "totals" if in_turn else "core"), n, int(in_turn))
         rounded = [np.rint(STEPS * np.log2(np.maximum(p, 2.0**-60))).astype(np.int64) for p in (pair, word)]
-        rows, many = np.unique(np.stack([bucket, *rounded])[:, chosen], axis=1, return_counts=True)
+        rows, many = np.unique(np.stack([bucket, *rounded])[:, tokens.train], axis=1, return_counts=True)
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("bucket", "pair", "word", "n"), (*rows, many))})
 
     return count
@@ -257,7 +263,7 @@ def lm_scores(docs: DataFrame, held_out_column: str = "held_out", id_col: str =
     distinct = answers.where("level = 1").agg(F.sum("known")).first()[0] or 0
 
     in_turn = not n_held
-    some = blocks.where("n_train > 0" if in_turn else "n_held > 0")
+    some = blocks.where("n_train > 0") if in_turn else blocks.where("n_held > 0").mapInArrow(_held_part, "block long, counts binary, vocabulary binary, ids binary")
     told = answers.select("block", "level", "part", "totals" if in_turn else "core")
     held = some.groupBy("block").cogroup(told.groupBy("block"))
     rounded = held.applyInArrow(_held_out(n - (1 if in_turn else n_held), in_turn), "bucket long, pair long, word long, n long")
