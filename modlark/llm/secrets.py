@@ -1,8 +1,8 @@
 """Secret scans with a random forest against false findings.
 
 Candidates are found by a pattern: values assigned to names such as
-``password`` or ``token``, whole private key blocks, well-known kinds by their
-heads, and long runs of token signs with a digit.  Each is
+``password`` or ``token``, passwords in URLs, whole private key blocks,
+well-known kinds by their heads, and long runs of token signs with a digit.  Each is
 described by its length, the changes between kinds of characters, the part of
 it that dictionary words cover, whether it looks like a path, and the words
 around it.  A forest fitted to labelled findings tells secrets from the
@@ -17,14 +17,14 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Names that secrets are assigned to, and heads of well-known kinds.
-SECRET_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
+PASSWORD_NAMES = "password|passwd|passphrase|pwd"
+SECRET_NAMES = PASSWORD_NAMES + "|secret(?:[_-]?access)?[_-]?key|secret|token|api[_-]?key|access[_-]?key|account[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
 HEADS = "AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abpors]-|sk[-_]|pk[-_]live|AIza|eyJ|ya29|SG[.]|-----BEGIN"
 #: Words near look-alikes: ids, hashes and numbers that are no secrets.
 PLAIN_NAMES = "commit|revision|sha1|sha256|md5|checksum|digest|etag|hash|uuid|guid|id|order|invoice|card|phone|tel|isbn|version|build|page|figure|date|serial|model|ref"
-FILLERS = "example|sample|changeme|your|dummy|placeholder|insert|redacted|xxxx|test|todo|none|null|undefined|default|foobar|0000|1234"
+FILLERS = "example|sample|changeme|your|dummy|placeholder|insert|redacted|xxxx|test|todo|none|null|undefined|default|foobar|0000|1234|password|passwd|required|^[<{$(%]|[*]{3}"
 #: Dictionary words of which names and slugs are made.
 DICTIONARY = (
     "about after again article author before below blog book build category chapter city class code color computer content count country data date default design document email example family "
@@ -36,16 +36,17 @@ DICTIONARY = (
 # Well-known kinds by their heads, each with its own signs: no digit is needed.
 HEADED = (
     "(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_.-]{16,}|xox[abpors]-[A-Za-z0-9-]{10,}|(?:sk[-_]|pk[-_]live)[A-Za-z0-9_-]{16,}"
-    "|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_=-]{8,}(?:[.][A-Za-z0-9_=+/-]*){1,4}|ya29[.][A-Za-z0-9_.-]{16,}|SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}"
+    "|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_=-]{8,}(?:[.][A-Za-z0-9_=+/-]*){1,4}|ya29[.][A-Za-z0-9_.-]{16,}|SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}|[MN][A-Za-z0-9_-]{22,27}[.][A-Za-z0-9_-]{6}[.][A-Za-z0-9_-]{26,}"
 )
 CANDIDATE = (
     r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-    rf"|\b(?i:{SECRET_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?!-----BEGIN )[^\s\"']{{6,}}"
+    rf"|(?<![A-Za-z0-9])(?i:{SECRET_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?!-----BEGIN )(?=[^\s\"']{{6}})[^\s\"';]*+(?:;(?![A-Za-z]+=)[^\s\"';]*+)*+"
+    r"|(?<=://)[^\s/:@\"'<>]*+:[^\s/@\"'<>]{5,}+(?=@)"
     rf"|(?<![A-Za-z0-9+/_-])(?:{HEADED})"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+    r"|(?<![A-Za-z0-9+/_-])(?!(?<=:)//)(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 )
-_ASSIGNED = rf"^(?i:{SECRET_NAMES})[\"']?\s*[:=]\s*[\"']?"
-FEATURES = ("length", "changes", "digits", "capitals", "distinct", "dictionary", "letters", "named", "plain", "filler", "path", "head")
+_ASSIGNED = rf"^(?:(?i:{SECRET_NAMES})[\"']?\s*[:=]\s*[\"']?|[^\s/:@\"'<>]*+:)"
+FEATURES = ("length", "changes", "digits", "capitals", "distinct", "dictionary", "letters", "named", "password", "plain", "filler", "path", "head")
 TREES, DEPTH = 15, 6
 #: A candidate is a secret if this share of the trees says so.
 VOTES = 0.5
@@ -75,6 +76,7 @@ def features(c: Column) -> Column:
     """`FEATURES` of a described candidate, as a struct of doubles."""
     value, n = c["value"], F.greatest(F.length(c["value"]), F.lit(1)).cast("double")
     led = F.lower(F.concat(c["before"], F.lit(" "), c["name"]))
+    in_url = (c["name"] != "") & c["before"].endswith("://")
     around = F.concat(led, F.lit(" "), F.lower(c["after"]))
     parts = (
         F.length(value).cast("double"),
@@ -84,10 +86,11 @@ def features(c: Column) -> Column:
         F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40.0)),
         F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), "|".join(DICTIONARY), "")) / n,
         F.length(F.regexp_extract(value, "[A-Za-z]{4,}", 0)) / n,
-        _flag(led, SECRET_NAMES),
+        F.greatest(_flag(led, SECRET_NAMES), in_url.cast("double")),
+        F.greatest(_flag(F.lower(c["name"]), f"^({PASSWORD_NAMES})"), in_url.cast("double")),
         _flag(around, rf"(^|[^a-z])({PLAIN_NAMES})s?([^a-z]|$)"),
         _flag(F.lower(value), FILLERS + r"|(.)\1\1\1"),
-        F.greatest(_flag(value, "/.*/|[a-z]-[a-z]"), _flag(c["before"], "[/?&.#]$")),
+        F.greatest(_flag(value, "/.*/|[a-z]-[a-z]"), F.when(c["name"] == "", _flag(c["before"], "[/?&.#]$"))),
         _flag(value, f"^({HEADS})"),
     )
     return F.struct(*(F.coalesce(p, F.lit(0.0)).alias(f) for f, p in zip(FEATURES, parts)))
@@ -109,6 +112,7 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
     cut = lambda c, i, k: F.substring(c, i, k)
     digits = F.lpad(F.pmod(F.xxhash64("id", F.lit("digits")), F.lit(10**16)).cast("string"), 16, "7")
     lead = joined(prose("a"), " ", prose("b"), " ")
+    title = lambda k: F.initcap(word(k))
     secret = (
         (joined("AKIA", cut(caps, 1, 16)), lead), (joined("password=", cut(h, 1, 18)), lead), (joined('token = "', cut(h, 1, 40)), lead), (joined("secret: ", cut(b64, 1, 32)), lead),
         (joined("ghp_", cut(F.regexp_replace(b64, "[+/]", "x"), 1, 36)), lead), (joined("sk-", cut(F.regexp_replace(b64, "[+/]", "Q"), 1, 40)), lead), (joined("api_key=", cut(g, 1, 32)), lead),
@@ -118,6 +122,9 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined("-----BEGIN RSA PRIVATE KEY-----\n", b64, "\n", cut(h, 1, 60), b64, "\n", b64, "\n-----END RSA PRIVATE KEY-----"), lead),
         (joined("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n", b64, "\n", b64, "\n=", cut(b64, 3, 4), "\n-----END PGP PRIVATE KEY BLOCK-----"), lead),
         (joined("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,", F.upper(cut(g, 1, 32)), "\n\n", b64, "\n", b64, "\n-----END RSA PRIVATE KEY-----"), lead),
+        (joined("password=", word("a"), word("b"), word("c")), lead), (joined("passphrase: ", word("a"), "-", word("b"), "-", word("c"), "-", word("d")), lead), (joined("password: ", title("a"), cut(digits, 1, 4), "!"), lead),
+        (joined(word("a"), ":", cut(url, 1, 12)), joined(prose("b"), " postgres://")), (joined(word("a"), ":", title("b"), cut(digits, 1, 3)), joined(prose("b"), " https://")), (joined("pwd=", cut(url, 1, 9), ";"), lead),
+        (joined("M", cut(url, 1, 24), ".", cut(more, 1, 6), ".", cut(more, 7, 30)), lead),
     )
     plain = (
         (cut(h, 1, 40), joined("commit ")), (cut(h, 1, 64), joined("sha256 ")), (cut(h, 1, 32), joined(prose("c"), " md5 ")), (digits, joined("card number ")), (digits, lead),
@@ -126,6 +133,8 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined("api_key=xxxxxxxxxxxx", cut(digits, 1, 2)), lead), (joined("password: changeme", cut(digits, 1, 3)), lead), (joined(word("a"), word("b"), word("c"), cut(digits, 1, 2)), lead),
         (joined("20", cut(digits, 1, 2), "-0", cut(digits, 3, 1), "-1", cut(digits, 4, 1), "-", cut(digits, 5, 6)), joined("build ")), (joined("token: ", word("a"), word("b")), lead), (joined("secret = ", word("d")), lead),
         (joined("AKIA", "EXAMPLE", cut(caps, 1, 9)), lead), (cut(g, 1, 40), joined("revision ")), (cut(g, 1, 32), joined("checksum ")), (joined(cut(digits, 1, 6), "-", cut(digits, 7, 8)), joined("order ")),
+        (joined("password: ", word("a")), lead), (joined("passphrase = ", word("a")), lead), (joined("password=<", word("a"), "-", word("b"), ">"), lead), (joined("secret_key=${", F.upper(word("a")), "_", F.upper(word("b")), "}"), lead),
+        (joined(word("a"), ":password"), joined(prose("b"), " mysql://")), (joined("user:", word("b"), "example"), joined(prose("b"), " http://")), (joined("token: ", word("a"), "_", word("b"), "_", word("c")), lead), (joined(F.upper(cut(h, 1, 8)), "-", F.upper(cut(h, 9, 8)), "-", cut(digits, 1, 4)), joined("serial ")),
     )
     rows = [F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).alias("label")) for y, kinds in ((1, secret), (0, plain)) for c, b in kinds]
     return spark.range(n).select(F.explode(F.array(*rows)).alias("r"), prose("z").alias("w")).select("r.candidate", "r.before", F.concat(F.lit(" "), "w").alias("after"), "r.label")
@@ -163,12 +172,30 @@ def _judged(text: Column, model: RandomForestClassificationModel) -> Column:
     return F.transform(told, lambda x: F.struct(x["gap"].alias("gap"), x["d"].alias("d"), votes(model, x["f"]).alias("votes")))
 
 
+def _placed(found: Column) -> Column:
+    """`_judged` candidates with the ``end`` of each: running sums by blocks, as
+    a text may have very many.  Arrays of one entry name values used often."""
+    step, once = 256, lambda value, use: F.transform(F.array(value), use)[0]
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x)
+
+    def sums(sizes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(sizes).cast("int") - 1, F.lit(step)), lambda at: total(F.slice(sizes, at + 1, F.lit(step))))
+
+    def ends(f: Column, sizes: Column, blocks: Column) -> Column:
+        end = lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / step).cast("int"))) + total(F.slice(sizes, i - i % step + 1, i % step + 1))
+        return F.transform(f, lambda x, i: F.struct(x["d"].alias("d"), x["votes"].alias("votes"), end(i).alias("end")))
+
+    sized = lambda f: F.transform(f, lambda x: (F.length(x["gap"]) + F.length(x["d"]["candidate"])).cast("long"))
+    return once(found, lambda f: once(sized(f), lambda sizes: once(sums(sizes), lambda blocks: ends(f, sizes, blocks))))
+
+
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All candidates of all texts, one row each, with the forest's verdict.
 
     Returns ``doc_id, finding`` (from 0, in text order), ``start`` and
-    ``length`` (characters), ``kind`` (the name that a value is assigned to, or
-    its head), ``votes, is_secret`` and ``sha256``; never the value itself.
+    ``length`` (characters), ``kind`` (the name that a value is assigned to,
+    ``url``, or its head), ``votes, is_secret`` and ``sha256``; never the value
+    itself.
 
     * Null, empty or clean text: no rows.  Null ids and repeated rows: their
       findings come through for each row.  An empty table gives no rows.
@@ -176,14 +203,13 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
     """
     model = model or fit(example_findings(docs.sparkSession))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
-    rows = given.select("doc_id", F.monotonically_increasing_id().alias("row"), _judged(F.col("text"), model).alias("found"))
-    each = rows.select("doc_id", "row", F.posexplode("found").alias("finding", "x"))
-    size = F.length("x.gap") + F.length("x.d.candidate")
-    end = F.sum(size).over(Window.partitionBy("row").orderBy("finding"))
-    named = F.lower(F.regexp_extract("x.d.name", "^[A-Za-z_-]+", 0))
-    kind = F.when(named != "", named).otherwise(F.coalesce(F.nullif(F.regexp_extract("x.d.value", f"^({HEADS})", 0), F.lit("")), F.lit("token")))
+    each = given.select("doc_id", F.posexplode(_placed(_judged(F.col("text"), model))).alias("finding", "x"))
+    size = F.length("x.d.candidate")
+    named = F.lower(F.regexp_extract("x.d.name", f"^(?i:{SECRET_NAMES})", 0))
+    head = F.coalesce(F.nullif(F.regexp_extract("x.d.value", f"^({HEADS})", 0), F.lit("")), F.lit("token"))
+    kind = F.when(named != "", named).when(F.col("x.d.name") != "", "url").otherwise(head)
     return each.select(
-        "doc_id", "finding", (end - F.length("x.d.candidate")).cast("long").alias("start"), F.length("x.d.candidate").cast("long").alias("length"), kind.alias("kind"),
+        "doc_id", "finding", (F.col("x.end") - size).cast("long").alias("start"), size.cast("long").alias("length"), kind.alias("kind"),
         F.round("x.votes", 6).alias("votes"), (F.col("x.votes") >= VOTES).alias("is_secret"), F.sha2(F.col("x.d.value"), 256).alias("sha256"),
     )
 
