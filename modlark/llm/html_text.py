@@ -37,17 +37,20 @@ _MAIN_TAGS = frozenset("article main".split())
 _SPLIT = re.compile(r"[-_]+")
 # Words in class, id and role names of elements that hold no main text.
 _REST_NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright "
-    "disclaimer discussion disqus footer gdpr hidden legal links login masthead menu menus meta modal nav navbar navigation newsletter notice notices pager pagination "
-    "popup promo promotion promoted recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "tagcloud tags teaser toolbar topbar widget widgets complementary advertorial alert warning feedback reviews responses".split()
+    "ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies "
+    "disqus footer gdpr hidden login masthead menu menus meta modal nav navbar navigation newsletter notice notices pager pagination "
+    "popup promo promotion promoted recommended related replies reply respond rss share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "tagcloud tags teaser advertorial".split()
 )
+# Words that name such elements, and parts of an article as well: within one they are a feature among others.
+_DOUBTFUL_NAMES = frozenset("alert complementary contentinfo copyright disclaimer discussion feedback legal links responses reviews search toolbar topbar warning widget widgets".split())
 # Of these, the names of what readers write: an article among them is a comment.
 _TALK_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 # Words that follow such a name without changing it, and words before which it tells of a state or topic.
 _PLACES = frozenset("area bar block box bottom buttons container group icons inner item items left links list posts primary right secondary slot top unit wrap wrapper".split())
 _STATES = frozenset("has no with without is not hide overflow tag category cat topic supports enable disable".split())
-UNKNOWN, MAIN, REST = 0, 1, -1
+#: ``DOUBTFUL``: within the main text, in an element with a doubtful name.
+UNKNOWN, DOUBTFUL, MAIN, REST = 0.0, 0.5, 1.0, -1.0
 
 
 @dataclass
@@ -55,7 +58,7 @@ class Block:
     text: str
     words: int
     linked: int
-    region: int
+    region: float
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,7 @@ class Names:
     """What an element's class, id, role and style tell of it."""
 
     rest: bool = False
+    doubtful: bool = False
     #: A class is such a name as a whole.
     plainly: bool = False
     talk: bool = False
@@ -75,7 +79,7 @@ class Names:
 def names(attrs: str) -> Names:
     """Whole names count, and ends of them, but for those of a state or topic:
     ``cookie-notice`` and ``comments-area``, not ``has-sidebar`` or ``related-work``."""
-    rest = plainly = talk = main = role_main = hidden = False
+    rest = doubtful = plainly = talk = main = role_main = hidden = False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
@@ -89,23 +93,29 @@ def names(attrs: str) -> Names:
                 parts.pop()
             if not parts or (len(parts) > 1 and (parts[0] in _STATES or parts[-1] == "hidden")):
                 continue
-            plainly |= token in _REST_NAMES
-            rest |= parts[-1] in _REST_NAMES
+            unsure = parts[-1] in _DOUBTFUL_NAMES
+            plainly |= token in _REST_NAMES or token in _DOUBTFUL_NAMES
+            rest |= parts[-1] in _REST_NAMES or (unsure and key == "role")
+            doubtful |= unsure
             talk |= parts[-1] in _TALK_NAMES or parts[0] == "comment"
-    return Names(rest, plainly, talk, main, role_main, hidden)
+    return Names(rest, doubtful, plainly, talk, main, role_main, hidden)
 
 
-def _region(tag: str, attrs: str, outer: int, holds: bool = False) -> int:
+def _region(tag: str, attrs: str, outer: float, holds: bool = False) -> float:
     """The region inside an element: rest stays rest; a page header within the
-    main text is a part of it.  What ``holds`` an article isn't rest by name."""
+    main text is a part of it, and a doubtful name there leaves open what its
+    blocks are.  What ``holds`` an article isn't rest by name."""
     if outer == REST or tag in ("html", "body"):
         return outer
-    if tag in _REST_TAGS and not (tag in ("header", "figcaption") and outer == MAIN) and not (tag == "form" and holds):
+    inside = outer in (MAIN, DOUBTFUL)
+    if tag in _REST_TAGS and not (tag in ("header", "figcaption") and inside) and not (tag == "form" and holds):
         return REST
     told = names(attrs)
-    if told.hidden or (told.rest and not holds):
+    if told.hidden or (not holds and (told.rest or (told.doubtful and not inside))):
         return REST
-    return MAIN if tag in _MAIN_TAGS or told.main else outer
+    if tag in _MAIN_TAGS or told.main:
+        return MAIN
+    return DOUBTFUL if inside and told.doubtful and not holds else outer
 
 
 @dataclass
@@ -184,7 +194,7 @@ def _find_articles(found: list[Tag]) -> None:
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks, in order (null: none)."""
     page, out = page or "", []
-    open_tags: list[tuple[str, int]] = []
+    open_tags: list[tuple[str, float]] = []
     parts: list[tuple[str, bool]] = []
     link, at, skip = False, 0, -1
 
@@ -262,6 +272,8 @@ LABELLED = np.array(
         (6, 0.2, 55, 0.0, 48, 0.0, 1, 1), (25, 0.1, 7, 0.0, 6, 1.0, 1, 1), (4, 0.5, 60, 0.0, 61, 0.0, 1, 1), (18, 0.6, 44, 0.0, 38, 0.1, 1, 1),
         # within an article, only links: linked titles, closing links, lists of links and references
         (4, 1.0, 3, 1.0, 4, 1.0, 1, 1), (2, 1.0, 60, 0.0, 2, 1.0, 1, 1), (6, 1.0, 5, 1.0, 0, 0.0, 1, 1), (3, 1.0, 0, 0.0, 8, 0.0, 1, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 1), (15, 1.0, 14, 1.0, 16, 1.0, 1, 1),
+        # within an article, in elements with doubtful names: text, and lists of links
+        (1, 0.0, 30, 0.0, 25, 0.0, 0.5, 1), (8, 0.0, 40, 0.0, 60, 0.0, 0.5, 1), (45, 0.1, 7, 0.0, 50, 0.0, 0.5, 1), (20, 0.3, 18, 0.2, 25, 0.0, 0.5, 1), (3, 1.0, 4, 1.0, 3, 1.0, 0.5, 0), (12, 0.9, 40, 0.0, 9, 1.0, 0.5, 0), (2, 1.0, 60, 0.0, 50, 0.0, 0.5, 0), (25, 0.8, 3, 1.0, 60, 0.0, 0.5, 0),
         # menus, adverts, notices, footers, comments, forms
         (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (8, 0.0, 1, 1.0, 11, 0.0, -1, 0), (9, 0.0, 70, 0.0, 0, 0.0, -1, 0), (40, 0.0, 60, 0.0, 35, 0.0, -1, 0), (120, 0.0, 80, 0.0, 90, 0.0, -1, 0),
         (25, 0.1, 9, 0.0, 30, 0.0, -1, 0), (60, 0.5, 4, 1.0, 5, 1.0, -1, 0), (3, 0.0, 2, 0.0, 90, 0.0, -1, 0), (15, 0.9, 3, 1.0, 8, 0.0, -1, 0), (200, 0.0, 0, 0.0, 100, 0.0, -1, 0),
@@ -307,14 +319,17 @@ def _runs() -> np.ndarray:
 
 def labelled() -> np.ndarray:
     """The table and runs; their main text once more as if in a region of the
-    rest, where it is none; and other unknown blocks as if in an article, where
-    they are main text."""
+    rest, where it is none; other unknown blocks as if in an article, where
+    they are main text; and all unknown ones as if under a doubtful name, where
+    links are none."""
     table = np.concatenate([LABELLED, _runs()])
     rest = table[table[:, -1] == 1].copy()
     rest[:, -2:] = REST, 0
     main = table[(table[:, -1] == 0) & (table[:, -2] == UNKNOWN)].copy()
     main[:, -2:] = MAIN, 1
-    return np.concatenate([table, rest, main])
+    doubtful = table[table[:, -2] == UNKNOWN].copy()
+    doubtful[:, -2], doubtful[:, -1] = DOUBTFUL, doubtful[:, 1] < 0.5
+    return np.concatenate([table, rest, main, doubtful])
 
 
 @dataclass
@@ -354,7 +369,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Node:
 @lru_cache(maxsize=1)
 def tree() -> Node:
     table = labelled()
-    return grow(table[:, :-1], table[:, -1], 10)
+    return grow(table[:, :-1], table[:, -1], 12)
 
 
 def classify(node: Node, x: np.ndarray) -> np.ndarray:

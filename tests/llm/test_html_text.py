@@ -80,6 +80,15 @@ def test_names_of_elements(page):
     assert H.main_text(page) == "a"
 
 
+def test_doubtful_names_within_an_article():
+    """Paragraphs stay whatever their length, lists of links go; other names say what an element is."""
+    page = f"<p class='alert'>Short one.</p><p class=legal>{LONG}</p><div class='social-history'>a b c</div><div class='warning box'><p>d e</p><p>{LONG}</p></div><div class='elementor-widget'><p>{LONG} f</p></div>"
+    kept = f"Short one.\n{LONG}\na b c\nd e\n{LONG}\n{LONG} f"
+    assert H.main_text(f"<article>{page}</article><div class=legal>{LONG}</div>") == kept
+    assert H.main_text(f"<main><p>{LONG}</p><ul class='links'>{lines(5, 2, True)}</ul><div class='search'><a href=x>all</a></div><p>{LONG}</p></main>") == f"{LONG}\n{LONG}"
+    assert H.main_text(f"<article><p>{LONG}</p><div class='notice'>{LONG}</div><div role='alert'>{LONG}</div><div class='ad'>x</div><div class='comments'><p>{LONG}</p></div></article>") == LONG
+
+
 def test_names_of_elements_on_a_page_without_article():
     assert H.main_text(f"<div class='content has-sidebar'><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div>") == LONG
 
