@@ -20,7 +20,7 @@ MANTISSA = 10
 _rng = np.random.default_rng(20)
 #: Row t: for each bucket, the bucket that it asks in its t-th probe.
 _PROBES = np.stack([_rng.permutation(BUCKETS) for _ in range(BUCKETS)], axis=1)
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def compress(rest: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def bands(regs: np.ndarray, rows: int) -> np.ndarray:
     parts = regs[:, : n * rows].reshape(len(regs), n, rows).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), (len(regs), n)).copy()
     for i in range(rows):
-        keys = mix(keys * _PRIME + parts[:, :, i])
+        keys = mix(keys * PRIME + parts[:, :, i])
     return keys
 
 

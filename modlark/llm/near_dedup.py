@@ -6,7 +6,12 @@
 2. Registers are banded, 25 bands of 5.  At a similarity of 0.85 a pair
    shares no band with a chance below 1e-6; at 0.2 it shares one in 130 cases.
 3. Classes that share a band are compared in blocks of at most 2 x ``BLOCK``
-   of them, and only in the first band that a pair shares.  Pairs whose
+   of them, and only in the first band that a pair shares.  A band that more
+   than ``CROWDED`` classes share, as texts of one template do, is banded once
+   more before: over as many more registers as its size asks for, in so many
+   tables that a pair at the threshold is missed with a chance below 1e-6.
+   Blocks then grow with a power of the group's size well below two, unless
+   its texts are alike indeed.  Pairs whose
    collision-corrected estimate is five standard errors below the threshold
    are left.
 4. The remaining pairs are confirmed on the full sets, made again from the
@@ -18,6 +23,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +39,9 @@ from modlark.llm.scratch import Scratch
 BAND = 5
 #: Classes of a shared band are compared in blocks of twice as many at most.
 BLOCK = 512
+#: A band that more classes share is banded again.
+CROWDED = 1 << 16
+MISSED = 1e-6
 #: Rows of blocks that go to a task together.
 PACK_ROWS = 20_000
 PACK_TEXTS = 3_000
@@ -84,6 +93,34 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(band.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "band", "node"])
 
 
+def tables_for(n: int, percent: int) -> tuple[int, int]:
+    """Registers of a key, and tables of such keys, for a band of ``n`` classes:
+    half-alike classes share a key with about ``BLOCK`` others, and pairs at
+    the threshold share none with a chance of ``MISSED`` at most."""
+    registers = max(1, math.ceil(math.log2(n / BLOCK)))
+    return registers, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** registers))
+
+
+def _rebanded(percent: int):
+    """New keys of the members of crowded bands; such keys are of no band."""
+
+    def band_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(3).to_numpy()
+            for n in np.unique(sizes).tolist():
+                rows = batch.filter(pa.array(sizes == n))
+                regs, old, node = _registers(rows.column(2)), rows.column(0).to_numpy().view(np.uint64), rows.column(1)
+                k, many = tables_for(n, percent)
+                rng = np.random.default_rng(k)
+                for t in range(many):
+                    key = old + np.uint64(t + 1)
+                    for column in rng.choice(hyperminhash.BUCKETS, min(k, hyperminhash.BUCKETS), replace=False):
+                        key = words.mix(key * hyperminhash.PRIME + regs[:, column].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.zeros(len(key), np.int32)), node], names=["key", "band", "node"])
+
+    return band_again
+
+
 def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, int, int]]:
     """Rows of each block of a task's table, and its two chunk numbers."""
     key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -98,7 +135,7 @@ def _pairs(regs: np.ndarray, n: np.ndarray, chunk: np.ndarray, band: int, across
     """Pairs of a block whose estimate reaches ``cut``, highest first.
 
     A pair counts in the first band that it shares, and between two chunks
-    only if it has one side in either.
+    only if it has one side in either.  Keys of band 0 count every pair.
     """
     a, b = np.triu_indices(len(regs), 1)
     if across:
@@ -192,7 +229,7 @@ def _confirmed(size: int, percent: int, cut: float):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """Group documents whose shingle sets are alike.
 
     Two documents are linked if 100 x intersection >= ``percent`` x union of
@@ -212,16 +249,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     scratch = Scratch(spark, "near")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = percent / 100 - 5 * (percent * (100 - percent) / 1e4 / hyperminhash.BUCKETS) ** 0.5
-    signed = scratch.keep(given.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signed(size), "id long, text_key long, n_shingles long, digest binary, registers binary"), "signed")
-    alike = signed.where("digest is not null").groupBy("digest")
-    classes = scratch.keep(alike.agg(F.min("id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    given = given.withColumn("text_key", F.xxhash64("text"))
+    signed = scratch.keep(given.mapInArrow(_signed(size), "id long, text_key long, n_shingles long, digest binary, registers binary"), "signed")
+    alike = signed.where("digest is not null").withColumn("id_text", F.coalesce(F.col("id").cast("string"), F.lit(""))).groupBy("digest")
+    classes = alike.agg(F.min("id").alias("least"), F.min(F.struct("id_text", "text_key")).alias("shown"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = scratch.keep(classes.select("node", "registers").mapInArrow(_banded, "key long, band int, node long"), "banded")
 
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = banded.join(shared, "key").withColumn("c", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("chunk", F.expr("cast(pmod(xxhash64(node), c) as int)"))
+    met = banded.join(shared, "key")
+    if not (many := shared.where(F.col("n") > crowded)).isEmpty():
+        many = banded.join(many, "key").join(classes.select("node", "registers"), "node").select("key", "node", "registers", "n")
+        again = scratch.keep(many.mapInArrow(_rebanded(percent), "key long, band int, node long"), "again")
+        met = met.where(F.col("n") <= crowded).unionByName(again.join(again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    member = met.withColumn("c", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("chunk", F.expr("cast(pmod(xxhash64(node), c) as int)"))
     member = member.select("key", "band", "node", "chunk", F.explode(F.expr("sequence(0, c - 1)")).alias("other"))
     member = scratch.keep(member.select("key", "band", "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")), "member")
-    scratch.drop("banded")
+    scratch.drop("banded", "again")
 
     def packed(df: DataFrame, rows: int, at_once: int):
         n = max(1, -(-rows // at_once))
@@ -231,7 +275,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     sized = member.join(classes.select("node", "n_shingles", "registers"), "node")
     met = scratch.keep(packed(sized, member.count(), PACK_ROWS).applyInArrow(_met(cut), cells), "met")
     need = classes.join(met.select("node").distinct(), "node", "left_semi")
-    texts = need.join(given.withColumnRenamed("id", "least_id"), F.expr("least <=> least_id")).drop("least", "least_id")
+    shown = need.select("shown.*", "node", "n_shingles", "registers", "digest")
+    named = given.withColumn("id_text", F.coalesce(F.col("id").cast("string"), F.lit(""))).select("id_text", "text_key", "text")
+    texts = named.join(shown.select("id_text", "text_key"), ["id_text", "text_key"], "left_semi").groupBy("id_text", "text_key").agg(F.first("text").alias("text"))
+    texts = shown.join(texts, ["id_text", "text_key"]).drop("id_text", "text_key")
     links = packed(met.join(texts, "node"), met.count(), PACK_TEXTS).applyInArrow(_confirmed(size, percent, cut), "a long, b long")
     roots = scratch.keep(components(links, scratch), "roots")
     scratch.drop("member", "met")

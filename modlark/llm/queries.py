@@ -78,5 +78,23 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (op1_source_mixing, op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op8_secret_scans, op9_html_extraction, op10_near_dedup)}
 
 
+_UPPER, _LOWER = (bytes(range(a, a + 26)).decode() for a in (65, 97))
+#: The contract read literally: sets of shingles, all links, what they lead to.
+OP10_SQL = rf"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS s FROM words),
+    named AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM sets),
+    classes AS MATERIALIZED (SELECT k, min(doc_id) AS c, any_value(n) AS n, any_value(s) AS s FROM named WHERE n > 0 GROUP BY k),
+    each AS MATERIALIZED (SELECT c, n, unnest(s) AS shingle FROM classes),
+    met AS (SELECT a.c AS x, b.c AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM each a JOIN each b ON a.shingle = b.shingle AND a.c < b.c GROUP BY a.c, b.c),
+    links AS MATERIALIZED (SELECT x, y FROM met WHERE 100 * common >= 85 * (n + m - common)),
+    edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached AS (SELECT c AS x, c AS y FROM classes UNION SELECT r.x, e.y FROM reached r JOIN edges e ON e.x = r.y),
+    least AS (SELECT x, min(y) AS component FROM reached GROUP BY x)
+    SELECT doc_id, named.n AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+    FROM named LEFT JOIN classes USING (k) LEFT JOIN least ON least.x = classes.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that their contracts determine wholly."""
+    return {"op10_near_dedup": OP10_SQL}

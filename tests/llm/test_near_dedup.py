@@ -77,6 +77,25 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows, 85)
 
 
+def test_crowded_bands_are_banded_again(spark, monkeypatch):
+    """Links are the same, whether a band is compared whole or banded again."""
+    rows = [(i, t) for i, t in enumerate(variants())]
+    for block, crowded in ((2, 4), (4, 8)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), crowded=crowded)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows, 85)
+    registers, many = near_dedup.tables_for(1 << 20, 85)
+    assert (1 - 0.85**registers) ** many <= near_dedup.MISSED and many * near_dedup.BLOCK < 1 << 20
+
+
+def test_null_and_repeated_ids_are_told_apart_by_their_texts(spark):
+    texts = variants()
+    rows = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[20:42]] + [(None, texts[0])] * 5
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=key) == sorted(brute(rows, 85), key=key)
+
+
 def test_odd_rows(odd, empty):
     found = near_dedup.near_duplicates(odd).collect()
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
