@@ -4,7 +4,9 @@ Records are hashed into ``N_SLOTS`` slots, for good.  A versioned table maps
 slots to shards; only that table is edited when shards are rebalanced, so a
 rebalance moves whole slots and hashes no record again.  The map has one row
 for each slot and version, and so has the table of bytes per slot: both are
-small at any size of the input, and the edits are made on the driver.
+small at any size of the input, and the edits are made on the driver.  A run
+that is given a stored map starts from its latest version and appends what it
+edits as the next one.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ def first_map(n_shards: int, n_slots: int = N_SLOTS) -> np.ndarray:
     return np.arange(n_slots) % n_shards
 
 
-def rebalance(shard_of: np.ndarray, weight: np.ndarray, n_shards: int, tolerance: float = 1e-4, max_moves: int = 20_000) -> np.ndarray:
+def rebalance(shard_of: np.ndarray, weight: np.ndarray, n_shards: int, tolerance: float = 1e-4) -> np.ndarray:
     """Edit a map until shards weigh about the same.
 
     Each step takes the heaviest and the lightest shard and moves the slot, or
     swaps the two slots, that bring them closest to each other.  A heaviest
     shard that no step makes lighter, as a slot over the mean does, is set
-    aside.  It ends when the others differ by ``tolerance`` of the mean.
+    aside.  It ends when the others differ by ``tolerance`` of the mean, which
+    they do at some time, as every step brings two loads closer together.
+    Slots of shards from ``n_shards`` on are dealt to the others first.
     """
-    shard_of, aside = shard_of.copy(), np.zeros(n_shards, bool)
+    shard_of, aside = np.where(shard_of < n_shards, shard_of, np.arange(len(shard_of)) % n_shards), np.zeros(n_shards, bool)
     load = np.bincount(shard_of, weight, n_shards)
-    for _ in range(max_moves):
+    while True:
         high, low = int(np.where(aside, -np.inf, load).argmax()), int(np.where(aside, np.inf, load).argmin())
         gap = load[high] - load[low]
         if aside.all() or gap <= tolerance * load.mean():
@@ -66,12 +70,26 @@ def rebalance(shard_of: np.ndarray, weight: np.ndarray, n_shards: int, tolerance
     return shard_of
 
 
-def map_table(spark: SparkSession, versions: list[np.ndarray]) -> DataFrame:
-    """The versioned map as a table, version 0 first."""
-    rows = [(v, s, int(shard)) for v, m in enumerate(versions) for s, shard in enumerate(m)]
+def map_table(spark: SparkSession, versions: dict[int, np.ndarray]) -> DataFrame:
+    """Versions of the map as a table."""
+    rows = [(v, s, int(shard)) for v, m in versions.items() for s, shard in enumerate(m)]
     return spark.createDataFrame(rows, MAP)
 
 
+def stored_map(spark: SparkSession, path: str, n_slots: int) -> tuple[int, np.ndarray] | None:
+    """Number and content of the latest version at ``path``; none if nothing is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    rows = latest(spark.read.schema(MAP).parquet(path)).collect()  # n_slots rows
+    found = np.full(n_slots, -1)
+    for r in rows:
+        found[r.virtual_slot] = r.shard
+    if len(rows) != n_slots or (found < 0).any():
+        raise ValueError(f"{path} has no map of {n_slots} slots")
+    return rows[0].version, found
+
+
 def latest(maps: DataFrame) -> DataFrame:
     """The slots of the highest version."""
     top = maps.agg(F.max("version").alias("version"))
@@ -86,7 +104,7 @@ def _slots(rows: DataFrame, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
     return weight, count
 
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Assign every document to one of ``n_shards`` shards of nearly equal bytes.
 
     Returns ``doc_id``, ``size`` (UTF-8 bytes of the text plus 16),
@@ -94,7 +112,8 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, id_col: s
     from 0), ``virtual_slot`` and ``map_version``.  A slot is named by the hash
     of id and text; places are numbered within virtual slots, each of which
     starts where the one before it in the shard ends, so that no task holds a
-    shard.
+    shard.  With ``map_path`` the map is stored there: its latest version is
+    edited, and the edit appended as a new version, unless nothing changes.
 
     * Null text: size 16, the checksum of an empty text.  Null ids are spread
       by their texts; repeated rows get places next to each other, unless they
@@ -118,16 +137,21 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, id_col: s
             salted = F.pmod(F.xxhash64(*_KEY, "uid"), F.lit(n_slots)).cast("int")
             rows = rows.join(F.broadcast(hot), same, "left").withColumn("virtual_slot", F.when(F.col("hot_size").isNull(), F.col("virtual_slot")).otherwise(salted)).select(*_KEY, "virtual_slot")
             weight, count = _slots(rows, n_slots)
-    versions = [first_map(n_shards, n_slots)]
-    versions.append(rebalance(versions[0], weight, n_shards))
-    maps = scratch.keep(map_table(spark, versions).coalesce(1), "slot_map")
-
-    shard_of, base = versions[-1], np.zeros(n_slots, np.int64)
+    map_path = map_path or f"{scratch.root}/slot_map"
+    stored = stored_map(spark, map_path, n_slots)
+    version, before = stored or (0, first_map(n_shards, n_slots))
+    shard_of, base = rebalance(before, weight, n_shards), np.zeros(n_slots, np.int64)
+    new = {} if stored else {0: before}
+    if (shard_of != before).any():
+        new[version := version + 1] = shard_of
+    if new:
+        map_table(spark, new).coalesce(1).write.mode("append").parquet(map_path)
+    maps = spark.read.schema(MAP).parquet(map_path).where(F.col("version") == version)
     for s in range(n_shards):
         own = np.flatnonzero(shard_of == s)
         base[own] = np.cumsum(count[own]) - count[own]
     begin = spark.createDataFrame([(s, int(b)) for s, b in enumerate(base)], "virtual_slot int, begin long")
-    placed = F.broadcast(latest(maps).join(begin, "virtual_slot"))  # n_slots rows
+    placed = F.broadcast(maps.join(begin, "virtual_slot"))  # n_slots rows
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("place", F.row_number().over(order) - 1)
     return numbered.join(placed, "virtual_slot").select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("place")).cast("long").alias("slot"), "virtual_slot", F.col("version").alias("map_version"))

@@ -66,5 +66,30 @@ def test_repeated_rows_are_dealt_over_slots(spark):
 def test_versions(spark):
     a = sharding.first_map(4, 64)
     b = sharding.rebalance(a, np.arange(64.0), 4)
-    maps = sharding.map_table(spark, [a, b])
+    maps = sharding.map_table(spark, {0: a, 1: b})
     assert {r.virtual_slot: r.shard for r in sharding.latest(maps).collect()} == dict(enumerate(b.tolist()))
+
+
+def test_a_stored_map_is_edited_in_the_next_run(spark, tmp_path):
+    """Two runs on changed tables: few slots move, all other rows stay where they are."""
+    path = str(tmp_path / "slots")
+    docs = [(i, f"text {i} " * (5 + i % 40)) for i in range(6000)]
+    first = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), n_shards=8, n_slots=1024, map_path=path).collect()
+    more = docs[200:] + [(i, f"new {i} " * 30) for i in range(6000, 6500)]
+    df = spark.createDataFrame(more, "doc_id long, text string")
+    second = sharding.shard(df, n_shards=8, n_slots=1024, map_path=path).collect()
+    check(second, more)
+    maps = {v: {} for v in (0, 1, 2)}
+    for r in spark.read.parquet(path).collect():
+        maps[r.version][r.virtual_slot] = r.shard
+    assert all(len(m) == 1024 for m in maps.values())
+    assert {r.virtual_slot: r.shard for r in second}.items() <= maps[2].items() and {r.map_version for r in second} == {2}
+    moved = sum(maps[1][s] != maps[2][s] for s in maps[1])
+    was, now = ({r.doc_id: r.shard for r in rows} for rows in (first, second))
+    assert 0 < moved < 200 and sum(was[i] != now[i] for i in was.keys() & now.keys()) < 0.25 * len(was)
+    load = np.bincount([r.shard for r in second], [r.size for r in second], 8)
+    assert load.max() - load.min() <= 0.02 * load.mean()
+    again = sharding.shard(df, n_shards=8, n_slots=1024, map_path=path).collect()
+    assert {r.map_version for r in again} == {2} and {r.doc_id: r.shard for r in again} == now
+    fewer = sharding.shard(df, n_shards=5, n_slots=1024, map_path=path).collect()
+    assert {r.map_version for r in fewer} == {3} and {r.shard for r in fewer} == set(range(5))
