@@ -87,7 +87,8 @@ def least_bins(size: list[int], capacity: int) -> int:
     alone, low = np.searchsorted(s, capacity - border, side="right"), np.searchsorted(s, border, side="left")
     room = (alone - half) * capacity - (total[alone] - total[half])
     rest = np.maximum(total[half] - total[low] - room, 0)
-    return int(max(-(-total[-1] // capacity), (len(s) - half + -(-rest // capacity)).max()))
+    most = int(np.searchsorted(total, capacity, side="right")) - 1
+    return int(max(-(-total[-1] // capacity), -(-len(s) // max(1, most)), (len(s) - half + -(-rest // capacity)).max()))
 
 
 def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> Bins:

@@ -30,7 +30,7 @@ CELL = 8192
 ISLANDS = 2
 FOUNDERS = 3
 #: Of each island before and after migration; it evolves no further where its bins can't be fewer.
-GENERATIONS = 24
+GENERATIONS = 48
 END = np.asarray([1], "<u4").tobytes()
 #: Cells other than the last give up sequences filled below this share.
 WELL_FILLED = 0.98

@@ -65,15 +65,53 @@ def test_word_ids_are_those_of_the_text(vocabulary, text):
     assert tokens.encode(text, vocabulary) == np.array(ids, "<u4").tobytes()
 
 
-def test_genetic_algorithm_improves_on_its_founders():
+def sizes(kind, rng):
+    """Items for which best fit decreasing needs more bins than the bound."""
+    if kind == "triplets":  # three fill a bin
+        pairs = [(rng.randint(251, 380), rng.randint(251, 340)) for _ in range(300)]
+        return [x for a, b in pairs for x in (a, b, 1000 - a - b)]
+    low, high, n = {"thirds": (281, 366, 1500), "wide": (200, 700, 3000), "narrow": (150, 440, 3000)}[kind]
+    return [rng.randint(low, high) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ("triplets", "thirds", "wide", "narrow"))
+def test_genetic_algorithm_saves_bins_where_best_fit_leaves_some(kind):
     rng = random.Random(1)
-    size = [rng.randint(200, 700) for _ in range(400)]
-    first = grouping.founders(size, 1000, 4, rng)
-    last = grouping.evolve([[list(b) for b in p] for p in first], size, 1000, 60, rng)
-    rank = lambda p: grouping.fitness(p, size, 1000)
-    assert rank(last[0]) >= max(map(rank, first))
+    size = sizes(kind, rng)
+    first = grouping.founders(size, 1000, packing.FOUNDERS, rng)
+    least, best_fit = grouping.least_bins(size, 1000), len(first[0])
+    last = grouping.evolve([[list(b) for b in p] for p in first], size, 1000, packing.GENERATIONS, rng)
+    print(f"{kind}: {len(size)} items, bound {least}, best fit decreasing {best_fit}, evolved {len(last[0])}")
+    assert least <= len(last[0]) < best_fit and 2 * (best_fit - len(last[0])) >= best_fit - least
     for p in last:
-        assert sorted(i for b in p for i in b) == list(range(400)) and all(sum(size[i] for i in b) <= 1000 for b in p)
+        assert sorted(i for b in p for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 1000 for b in p)
+
+
+def test_least_bins_is_a_bound():
+    """Against all ways to pack a few items."""
+    rng = random.Random(5)
+
+    def fewest(size, capacity):
+        best = len(size)
+
+        def place(i, left):
+            nonlocal best
+            if len(left) >= best:
+                return
+            if i == len(size):
+                best = len(left)
+                return
+            for k in range(len(left)):
+                if left[k] >= size[i]:
+                    place(i + 1, left[:k] + [left[k] - size[i]] + left[k + 1 :])
+            place(i + 1, [*left, capacity - size[i]])
+
+        place(0, [])
+        return best
+
+    for _ in range(150):
+        size = [rng.randint(*rng.choice(((1, 20), (6, 14), (5, 8)))) for _ in range(rng.randint(1, 7))]
+        assert grouping.least_bins(size, 20) <= fewest(size, 20)
 
 
 def test_crossover_keeps_every_item_once():
