@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from modlark.sources.shared import job_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local session without it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="spark-modlark-")
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def run_to_table(out: DataFrame, mode: str = "append") -> DataFrame:
     """Write all that is available to Parquet, batch by batch, and read it.
 
     A batch that runs again replaces its own files; in ``complete`` mode the
     last batch is the result."""
     spark = out.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = job_folder(spark, "stream")
     numbers: list[int] = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
