@@ -133,17 +133,17 @@ def measures(docs: DataFrame, ratios: np.ndarray, text_col: str) -> DataFrame:
     return given.mapInArrow(_measured(ratios), f"{kinds}, {_MEASURES}")
 
 
-def learn_rules(docs: DataFrame, trusted_ids: DataFrame, spread: float = 6.0, max_trusted: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> Rules:
-    """Learn from trusted ids and all documents.
+def learn_rules(docs: DataFrame, trusted_ids: DataFrame, spread: float = 6.0, max_broadcast: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> Rules:
+    """Learn from all trusted ids and all documents.
 
-    About ``max_trusted`` ids at most are used, chosen by a hash; that bounds
-    what is broadcast, and no text is shuffled.  Every document counts for the
-    raw corpus.  Null ids are never trusted.  Without trusted documents all
-    ratios are 0 and every score passes.
+    Up to ``max_broadcast`` ids (8 bytes each) are broadcast, and no text is
+    shuffled; more are joined by a shuffle.  Every document counts for the raw
+    corpus.  Null ids are never trusted.  Without trusted documents all ratios
+    are 0 and every score passes.
     """
     ids = trusted_ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")).distinct()
-    share = min(1.0, max_trusted / max(1, ids.count()))
-    ids = F.broadcast(ids.where(F.pmod(F.xxhash64("_id", F.lit("trusted")), F.lit(1 << 20)) < share * (1 << 20)).withColumn("_in", F.lit(True)))
+    small, ids = ids.count() <= max_broadcast, ids.withColumn("_in", F.lit(True))
+    ids = F.broadcast(ids) if small else ids.hint("shuffle_merge")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     told = given.join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_in", F.lit(False)).alias("trusted"))
     ratios = log_ratios(told)

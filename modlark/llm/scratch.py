@@ -2,31 +2,15 @@
 
 Jobs that need an intermediate result twice, or that iterate, write it as
 Parquet below ``spark.checkpoint.dir`` and read it back: lineage ends there and
-a lost executor costs nothing but its running tasks.
+a lost executor costs nothing but its running tasks.  What a result still
+reads is deleted when the application ends, the rest as soon as it is used.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session (tests) gets a temporary folder; a
-    cluster session is refused, as its executors share no local disk.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="spark-modlark-")
-    spark.sparkContext.setCheckpointDir(found)
-    return found
+from modlark.sources.shared import job_folder
 
 
 class Scratch:
@@ -34,7 +18,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+        self.root = job_folder(spark, job)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what was written."""

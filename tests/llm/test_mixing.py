@@ -56,3 +56,32 @@ def test_odd_rows(odd, empty):
     first = out.where("epoch = 1")
     assert first.count() == odd.count()
     assert mixing.mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("budget", (None, 20_000.0, 90_000.0))
+def test_rows_equal_brute_force(spark, budget):
+    """Whole passes, then whole blocks of the last pass in its order, then documents of one block, by plain loops."""
+    docs = corpus(spark, 2000)
+    told = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n"), F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(mixing.N_BLOCKS)).alias("block"), mixing._spread(F.col("doc_id"), F.lit("within")).alias("at"))
+    ranks = told.crossJoin(spark.range(1, 4).withColumnRenamed("id", "turn")).select("doc_id", "turn", mixing._rank(F.concat(F.lit("s"), "source"), F.col("block"), F.col("turn").cast("int")).alias("rank"))
+    rank = {(r.doc_id, r.turn): r["rank"] for r in ranks.collect()}
+    sources = {}
+    for r in told.collect():
+        sources.setdefault(r.source, []).append(r)
+    names = sorted(sources)
+    tokens = np.array([sum(r.n for r in sources[s]) for s in names], float)
+    alpha = mixing.solve(tokens, 2.0, None, budget)
+    turns = mixing.passes(tokens, mixing.weights(tokens / tokens.sum(), alpha), budget)
+    expected = Counter()
+    for s, total, many in zip(names, tokens, turns):
+        whole = int(many + 1e-9)
+        left = (many - whole) * total if many - whole > 1e-9 else 0.0
+        expected.update({r.doc_id: whole for r in sources[s] if whole})
+        if left:
+            for r in sorted(sources[s], key=lambda r: (rank[r.doc_id, whole + 1], r.at)):
+                left -= r.n
+                if left < 0:
+                    break
+                expected[r.doc_id] += 1
+    found = Counter(r.doc_id for r in mixing.mix(docs, budget_tokens=budget).collect())
+    assert found == expected

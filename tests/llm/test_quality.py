@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
-from modlark.llm import quality
+import pytest
+
+from modlark.llm import quality, words
 
 
 def base(text):
@@ -48,3 +51,30 @@ def test_junk_goes_and_clean_stays(spark, sf_dir, documents):
     assert sum(clean) >= 0.98 * len(clean)
     junk = [r.kept for r in found if r.quality == 0]
     assert not junk or sum(junk) <= 0.5 * len(junk)
+
+
+def brute(rows, trusted):
+    """Log ratios and verdicts by dictionaries over (doc_id, text)."""
+    grams = {}
+    for k, (_, text) in enumerate(rows):
+        h = words.hashes((text or "").encode().split())
+        grams[k] = [int(x) % quality.BUCKETS for x in (*words.mix(h), *words.windows(h, 2))]
+    raw = Counter(g for gs in grams.values() for g in gs)
+    target = Counter(g for k, gs in grams.items() if rows[k][0] in trusted for g in gs)
+    n_raw, n_target, floor = sum(raw.values()), sum(target.values()), quality.SMOOTHING / quality.BUCKETS
+    ratio = lambda g: math.log(target[g] / n_target + floor) - math.log(raw[g] / n_raw + floor)
+    scores = [sum(map(ratio, gs)) / max(len(gs), 1) for gs in grams.values()]
+    seen = [s for s, (i, t) in zip(scores, rows) if i in trusted and not base(t)[-1]]
+    mean = sum(seen) / len(seen)
+    least = mean - 6 * (sum((s - mean) ** 2 for s in seen) / len(seen)) ** 0.5
+    return {i: (round(s, 6), not base(t)[-1] and s >= least) for s, (i, t) in zip(scores, rows)}
+
+
+@pytest.mark.parametrize("max_broadcast", (2_000_000, 1))
+def test_ratios_and_verdicts_equal_brute_force(spark, sf_dir, documents, max_broadcast):
+    """By broadcast ids and by joined ones."""
+    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    expected = brute(rows, {r.doc_id for r in ids.collect()})
+    found = quality.judge(documents, quality.learn_rules(documents.repartition(3), ids, max_broadcast=max_broadcast)).collect()
+    assert {r.doc_id: (round(r.log_ratio, 6), r.kept) for r in found} == expected and len(found) == len(rows)
