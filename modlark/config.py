@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 # The default lexicon of the keyword filter.
 KEYWORDS = (
     "заработ", "удалёнк", "удаленк", "казино", "ставк", "выигр", "доход", "работ на дому", "пассивный доход", "быстрые деньги", "инвестиц", "крипт", "трейд", "млм", "сетевой маркетинг",
@@ -30,15 +32,17 @@ MODES = ("manual", "semi-auto", "auto", "legacy-manual")
 
 @dataclass(frozen=True)
 class Policy:
-    """Thresholds on the spam probability and multipliers that lower it."""
-
-    mode: str = "semi-auto"
-    notify: float = 0.65
-    delete: float = 0.85
-    kick: float = 0.95
-    announcement: float = 0.85
-    reply_to_staff: float = 0.90
-    whitelist: float = 0.85
+    """Thresholds on the spam probability and multipliers that lower it.
+
+    Those that may be overridden at run time can be columns as well."""
+
+    mode: str | Column = "semi-auto"
+    notify: float | Column = 0.65
+    delete: float | Column = 0.85
+    kick: float | Column = 0.95
+    announcement: float | Column = 0.85
+    reply_to_staff: float | Column = 0.90
+    whitelist: float | Column = 0.85
     brand: float = 0.70
     degraded_step: float = 0.05
     legacy_keyword: float = 0.60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ from modlark.config import Policy
 APPROVE, NOTIFY, DELETE, KICK = "approve", "notify", "delete", "kick"
 
 
+def policy_of(prefix: str = "", base: Policy = Policy()) -> Policy:
+    """A policy whose overridable parts are the columns of `settings.policy_row`."""
+    col = lambda name: F.col(prefix + name)
+    return replace(
+        base, mode=col("policy_mode"), notify=col("meta_notify"), delete=col("meta_delete"), kick=col("meta_kick"),
+        announcement=col("meta_downweight_announcement"), reply_to_staff=col("meta_downweight_reply_to_staff"), whitelist=col("meta_downweight_whitelist"),
+    )
+
+
+def meta_probability(p: Column, vec: Column, ready: bool | Column = True) -> Column:
+    """The model's probability where the model is ready and the message has a vector, else null."""
+    return F.when(F.lit(ready) & vec.isNotNull(), p)
+
+
 def has_vector_score(score: Column, confidence: Column) -> Column:
     return F.coalesce((score != 0.5) & (confidence > 0), F.lit(False))
 
@@ -35,7 +51,7 @@ def downweights(announcement: Column, reply_to_staff: Column, store: Column, ord
     """The multipliers that apply, in order: an array of (type, multiplier)."""
     hits = store + order + brand
     rules = (("is_channel_announcement", announcement, policy.announcement), ("reply_to_staff", reply_to_staff, policy.reply_to_staff), ("whitelist_hits", hits > 0, policy.whitelist), ("brand_hits", brand > 0, policy.brand))
-    return F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(name).alias("type"), F.lit(m).alias("multiplier"))) for name, holds, m in rules)))
+    return F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(name).alias("type"), F.lit(m).cast("double").alias("multiplier"))) for name, holds, m in rules)))
 
 
 def adjusted(p: Column, applied: Column) -> Column:

@@ -62,12 +62,19 @@ def _by_score(df: DataFrame, p: str, label: str) -> DataFrame:
     return df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
 
 
+def _ranged(scores: DataFrame, ranges: int = 256) -> DataFrame:
+    """Add ``_range``, the scores' place among approximate quantiles: ranges
+    hold about as many distinct scores each, wherever those crowd."""
+    borders = sorted(set(scores.approxQuantile("p", [k / ranges for k in range(1, ranges)], 1e-3)))
+    return scores.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<double>"), lambda b: b <= F.col("p"))))
+
+
 def _running(scores: DataFrame, ascending: bool) -> DataFrame:
     """Sums of ``pos`` and ``neg`` over the scores before and with each one.
 
     Scores are cut into ranges first: sums run within a range, and the ranges'
     totals are added, so that no task holds all scores."""
-    cut = scores.withColumn("_range", F.floor(F.col("p") * 256))
+    cut = _ranged(scores)
     order = F.col("p").asc() if ascending else F.col("p").desc()
     inside = Window.partitionBy("_range").orderBy(order)
     edge = F.col("_range").asc() if ascending else F.col("_range").desc()
@@ -75,12 +82,11 @@ def _running(scores: DataFrame, ascending: bool) -> DataFrame:
     before = Window.orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     totals = totals.select("_range", F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_pos"), F.coalesce(F.sum("_neg").over(before), F.lit(0)).alias("_neg"))
     out = cut.join(F.broadcast(totals), "_range")
-    return out.select("p", "pos", "neg", (F.sum("pos").over(inside) + F.col("_pos")).alias("tp"), (F.sum("neg").over(inside) + F.col("_neg")).alias("fp"))
+    return out.select("p", "pos", "neg", (F.sum("pos").over(inside) + F.col("_pos")).alias("tp"), (F.sum("neg").over(inside) + F.col("_neg")).alias("fp"), "_range")
 
 
 def roc_auc(df: DataFrame, p: str, label: str) -> DataFrame:
-    """The chance that a spam scores above a ham, ties counting half.  Scores
-    in [0, 1]."""
+    """The chance that a spam scores above a ham, ties counting half."""
     run = _running(_by_score(df, p, label), ascending=True)
     below = F.col("fp") - F.col("neg") / 2
     total = run.agg(F.sum(F.col("pos") * below).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
@@ -89,15 +95,19 @@ def roc_auc(df: DataFrame, p: str, label: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, p: str, label: str) -> DataFrame:
     """``(threshold, precision, recall)`` for every distinct score."""
+    return _curve(df, p, label).drop("_range")
+
+
+def _curve(df: DataFrame, p: str, label: str) -> DataFrame:
     scores = _by_score(df, p, label)
     total = scores.agg(F.sum("pos").alias("_all"))
-    run = _running(scores, ascending=False).crossJoin(F.broadcast(total))
-    return run.select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("_all")).alias("recall"))
+    run = _running(scores, ascending=False).crossJoin(F.broadcast(total))  # one row
+    return run.select(F.col("p").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("_all")).alias("recall"), "_range")
 
 
 def pr_auc(df: DataFrame, p: str, label: str) -> DataFrame:
     """Trapezoids under the curve, which ends in precision 1 at recall 0."""
-    curve = pr_curve(df, p, label).withColumn("_range", F.floor(F.col("threshold") * 256))
+    curve = _curve(df, p, label)
     inside = Window.partitionBy("_range").orderBy(F.desc("threshold"))
     last = curve.groupBy("_range").agg(F.min_by(F.struct("precision", "recall"), "threshold").alias("_last"))
     before = F.lag("_last").over(Window.orderBy(F.desc("_range")))  # a row per range
@@ -108,6 +118,20 @@ def pr_auc(df: DataFrame, p: str, label: str) -> DataFrame:
     return stepped.agg(F.sum(area).alias("pr_auc"))
 
 
+def training_report(df: DataFrame, p: str, predicted: str, label: str, part: str | None = None, level: float = 0.85) -> DataFrame:
+    """``(metric, value)``: rows in all, per class and per ``part``, the curves'
+    areas, Brier score, precision at a level, confusion, and the report of the
+    classes."""
+    counts = df.groupBy(F.concat(F.lit("rows_label_"), F.col(label).cast("string")).alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    if part:
+        counts = counts.unionByName(df.groupBy(F.concat(F.lit("rows_"), F.col(part)).alias("metric")).agg(F.count("*").cast("double").alias("value")))
+    single = report(df.agg(F.count("*").alias("rows")), roc_auc(df, p, label), pr_auc(df, p, label), brier(df, p, label), precision_at(df, p, label, level).select(F.col("precision").alias("precision_at")), accuracy(df, predicted, label))
+    told = lambda table, key, cols: table.select(key.alias("key"), F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("value")) for c in cols))).alias("r")).select(F.concat_ws("_", "key", "r.c").alias("metric"), "r.value")
+    confused = told(confusion(df, predicted, label), F.concat(F.lit("label_"), F.col(label).cast("string")), ("predicted_0", "predicted_1"))
+    classes = told(class_report(df, predicted, label), F.col("name"), ("precision", "recall", "f1", "support"))
+    return reduce(DataFrame.unionByName, (counts, single, confused, classes))
+
+
 def report(*metrics: DataFrame) -> DataFrame:
     """One-row metric tables as ``(metric, value)`` rows."""
     parts = [m.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in m.columns))).alias("r")).select("r.*") for m in metrics]

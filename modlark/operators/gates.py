@@ -10,7 +10,8 @@ from modlark.functions.text import effective_text
 
 def gate(messages: DataFrame, whitelist: DataFrame, moderator_chat: int | None = None) -> DataFrame:
     """Messages with a sender and a text, not from the moderators' chat nor from
-    whitelisted users; adds ``body``, the text or caption.
+    whitelisted users (with a ``chat_id`` in ``whitelist``: each in that chat
+    only); adds ``body``, the text or caption.
 
     The gates read raw columns, so they reach the scan before any text is
     normalised.
@@ -19,7 +20,8 @@ def gate(messages: DataFrame, whitelist: DataFrame, moderator_chat: int | None =
     if moderator_chat is not None:
         kept = kept.where(~F.col("chat_id").eqNullSafe(F.lit(moderator_chat)))
     kept = kept.withColumn("body", effective_text(F.col("text"), F.col("caption"))).where("body <> ''")
-    return kept.join(whitelist.select("user_id").distinct(), "user_id", "left_anti")
+    keys = ["chat_id", "user_id"] if "chat_id" in whitelist.columns else ["user_id"]
+    return kept.join(whitelist.select(*keys).distinct(), keys, "left_anti")
 
 
 def metadata_flags(messages: DataFrame, whitelist: DataFrame) -> DataFrame:

@@ -10,7 +10,29 @@ from modlark import config
 from modlark.functions.text import normalize
 
 
-def with_history(messages: DataFrame, chat_rows: int = config.CHAT_HISTORY, user_rows: int = config.USER_HISTORY) -> DataFrame:
+def _last(values: Column, n: int) -> Column:
+    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n))
+
+
+def _before(messages: DataFrame, key: str, entry: Column, rows: int, name: str, bucket_seconds: int) -> DataFrame:
+    """Add ``name``: the entries of the key's ``rows`` messages before each one, oldest first.
+
+    A key's messages are cut by time; each bucket is ordered by itself and gets
+    the last entries of those before it, so no task orders all that a busy chat
+    or user ever wrote."""
+    order, cut = ("ts", "message_id"), messages.withColumn("_bucket", F.floor(F.unix_seconds("ts") / bucket_seconds))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
+    own = cut.withColumn("_own", F.collect_list(entry).over(inside.rowsBetween(-rows, -1)))
+    newest = Window.partitionBy(key, "_bucket").orderBy(*(F.desc(c) for c in order))
+    ends = cut.select(key, "_bucket", *order, entry.alias("_entry"), F.row_number().over(newest).alias("_n")).where(F.col("_n") <= rows)
+    tails = ends.groupBy(key, "_bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_entry"))), lambda x: x["_entry"]).alias("_tail"))  # `rows` entries
+    past = Window.partitionBy(key).orderBy("_bucket").rowsBetween(-rows, -1)  # one row per bucket, each with an entry at least
+    carried = tails.select(F.col(key).alias("_key"), F.col("_bucket").alias("_at"), _last(F.flatten(F.collect_list("_tail").over(past)), rows).alias("_carried"))
+    met = own.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_at")), "left")
+    return met.withColumn(name, _last(F.concat("_carried", "_own"), rows)).drop("_bucket", "_own", "_key", "_at", "_carried")
+
+
+def with_history(messages: DataFrame, chat_rows: int = config.CHAT_HISTORY, user_rows: int = config.USER_HISTORY, bucket_seconds: int = 86_400) -> DataFrame:
     """Add ``chat_history`` (user and text of the chat's last messages) and
     ``user_history`` (texts of the user's last ones, in all chats), oldest
     first, the message itself not included.
@@ -18,10 +40,8 @@ def with_history(messages: DataFrame, chat_rows: int = config.CHAT_HISTORY, user
     Frames are bounded, so what a window holds does not grow with a chat; the
     texts are normalised once per message, before they are collected.
     """
-    order = ("ts", "message_id")
-    chat = Window.partitionBy("chat_id").orderBy(*order).rowsBetween(-chat_rows, -1)
-    user = Window.partitionBy("user_id").orderBy(*order).rowsBetween(-user_rows, -1)
-    return messages.withColumn("chat_history", F.collect_list(F.struct(F.col("user_id").alias("user"), F.col("norm").alias("text"))).over(chat)).withColumn("user_history", F.collect_list("norm").over(user))
+    chat = _before(messages, "chat_id", F.struct(F.col("user_id").alias("user"), F.col("norm").alias("text")), chat_rows, "chat_history", bucket_seconds)
+    return _before(chat, "user_id", F.col("norm"), user_rows, "user_history", bucket_seconds)
 
 
 def normalized(messages: DataFrame, text_col: str = "body", compose: bool = True) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def pending(events: DataFrame, actions: DataFrame, keep: int = 200) -> DataFrame:
@@ -49,17 +48,18 @@ def action_mix(events: DataFrame) -> DataFrame:
     return events.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")).rollup("chat_id", "day", "action").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
 
 
+def exact_mean(col: str, digits: int = 6) -> Column:
+    """A mean of numbers with so many digits, summed as decimals: the order of
+    rows doesn't change it."""
+    return F.sum(F.col(col).cast(f"decimal(18,{digits})")).cast("double") / F.count(col)
+
+
 def snapshots(events: DataFrame, actions: DataFrame, period: str = "1 hour") -> DataFrame:
     """Per period: events that were not approved, verdicts ham, mean score and failed vectors."""
     ham = actions.where(F.col("decision") == "ham").groupBy("event_id").agg(F.count("*").alias("ham"))
     each = events.join(ham, events["id"] == ham["event_id"], "left")
     out = each.groupBy(F.window("created_at", period)["start"].alias("period_start")).agg(
         F.count(F.when(F.col("action") != "approve", 1)).alias("spam_detected"), F.coalesce(F.sum("ham"), F.lit(0)).alias("manual_overrides"),
-        F.avg("action_confidence").alias("avg_spam_score"), F.count(F.when(F.col("filter_embedding_score").isNull(), 1)).alias("embed_failures"),
+        exact_mean("action_confidence").alias("avg_spam_score"), F.count(F.when(F.col("filter_embedding_score").isNull(), 1)).alias("embed_failures"),
     )
     return out.withColumn("period", F.lit(period))
-
-
-def queue_position(queue: DataFrame) -> DataFrame:
-    """Each pending entry's place in its chat's queue, oldest first."""
-    return queue.withColumn("place", F.row_number().over(Window.partitionBy("chat_id").orderBy("created_at", "id")))

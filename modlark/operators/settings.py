@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlark.config import MODES, SETTINGS
+from modlark.config import MODES, SETTINGS, Policy
 
 
 def defaults(spark: SparkSession, values: dict[str, object] = SETTINGS) -> DataFrame:
@@ -55,6 +55,30 @@ def effective(state: DataFrame, base: DataFrame) -> DataFrame:
     return met.select("key", F.coalesce("_t", "text").alias("text"), F.coalesce("_n", "number").alias("number"), (F.col("_t").isNotNull() | F.col("_n").isNotNull()).alias("overridden"))
 
 
+def policy_row(effective_settings: DataFrame) -> DataFrame:
+    """One row with a column for every setting, for `policy.policy_of`."""
+    value = lambda k, c: F.max(F.when(F.col("key") == k, F.col(c))).alias(k)
+    return effective_settings.agg(*(value(k, "text" if isinstance(v, str) else "number") for k, v in SETTINGS.items()))
+
+
+def threshold_view(effective_settings: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """``(name, value, overridden)``: mode, thresholds and weights in force,
+    with those that can't be overridden."""
+    shown = F.coalesce("text", F.format_string("%.4f", "number"))
+    fixed = {"meta_downweight_brand": policy.brand, "degraded_step": policy.degraded_step, "legacy_keyword": policy.legacy_keyword, "legacy_tfidf": policy.legacy_tfidf}
+    rows = effective_settings.sparkSession.createDataFrame([(k, f"{v:.4f}", False) for k, v in fixed.items()], "name string, value string, overridden boolean")
+    return effective_settings.select(F.col("key").alias("name"), shown.alias("value"), "overridden").unionByName(rows)
+
+
+def chat_policies(chats: DataFrame, effective_settings: DataFrame) -> DataFrame:
+    """Each chat's row of `policy_row`: its own mode and thresholds (columns
+    named as settings, null or absent: none) over the settings in force."""
+    base = policy_row(effective_settings).select(*(F.col(k).alias(f"_{k}") for k in SETTINGS))
+    met = chats.crossJoin(F.broadcast(base))  # one row
+    own = lambda k: F.coalesce(F.when(F.col(k).isin(*MODES), F.col(k)) if k == "policy_mode" else F.when(F.col(k).between(0.0, 1.0), F.col(k)), F.col(f"_{k}")) if k in chats.columns else F.col(f"_{k}")
+    return met.select("chat_id", *(own(k).alias(k) for k in SETTINGS))
+
+
 def reset(state: DataFrame, version: Column) -> DataFrame:
     """Changes that remove every override."""
     return state.select("key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"), version.alias("version"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +20,10 @@ def recent(df: DataFrame, time_col: str, id_col: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(time_col), F.desc(id_col)).limit(n)
 
 
-def actions_for(actions: DataFrame, event_id: int) -> DataFrame:
-    return actions.where(F.col("event_id") == event_id).orderBy("performed_at", "id")
+def actions_for(actions: DataFrame, events: DataFrame) -> DataFrame:
+    """The verdicts on some events (column ``id``), each with its ``place`` in time."""
+    mine = actions.join(events.select(F.col("id").alias("event_id")).distinct(), "event_id", "left_semi")
+    return mine.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy("performed_at", "id")))
 
 
 def user_profiles(messages: DataFrame) -> DataFrame:
@@ -53,9 +57,11 @@ def lookup(profiles: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def last_write(df: DataFrame, keys: list[str], version: Column | str) -> DataFrame:
-    """One row for each key: that of the highest version."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """One row for each key: that of the highest version.  Tasks reduce their
+    rows before the shuffle, so a key that is written often is no hot one."""
+    rest = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_last"))
+    return last.select(*keys, *(F.col("_last")[c].alias(c) for c in rest)).select(*df.columns)
 
 
 def settings_state(log: DataFrame) -> DataFrame:
@@ -75,10 +81,11 @@ def incidents(events: DataFrame, keep: int = 500) -> DataFrame:
     return numbered.orderBy(F.desc("spam_id")).limit(keep)
 
 
-def incident_lookup(found: DataFrame, spam_id: int) -> DataFrame:
-    """The record, and the range of numbers that there are."""
+def incident_lookup(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """The records of the numbers asked for (column ``spam_id``), null where
+    there is none, and the range of numbers that there are."""
     span = found.agg(F.min("spam_id").alias("least"), F.max("spam_id").alias("most"))
-    return span.join(found.where(F.col("spam_id") == spam_id), how="left")
+    return asked.select("spam_id").distinct().join(found, "spam_id", "left").crossJoin(F.broadcast(span))  # one row
 
 
 def preview(text: Column, n: int = 150) -> Column:
@@ -98,9 +105,21 @@ def incident_report(scored: DataFrame) -> DataFrame:
     )
 
 
-def debug_report(rows: DataFrame, flags: list[str], fired: list[str]) -> DataFrame:
-    """A message's active flags, its first five patterns, and both
-    probabilities if they differ by over 0.001."""
+def compact(events: DataFrame) -> DataFrame:
+    """Without what only the analysis needs: capsules, vectors and their details."""
+    bulky = re.compile(r"(^|_)(capsule|vec|vector|embedding|features|history)(_|$|s$)")
+    return events.select(*(c for c in events.columns if not bulky.search(c)))
+
+
+def debug_report(rows: DataFrame, flags: list[str], fired: list[str], contributions: Column, top: int = 3) -> DataFrame:
+    """A message's active flags, its first five patterns, the names of its top
+    contributions, the whitelist's three counts, and both probabilities if they
+    differ by over 0.001."""
     names = lambda cols: F.array_compact(F.array(*(F.when(F.col(c).cast("int") == 1, F.lit(c)) for c in cols)))
-    shown = F.when(F.abs(F.col("p_original") - F.col("p_adjusted")) > 0.001, F.concat(F.format_number("p_original", 3), F.lit(" -> "), F.format_number("p_adjusted", 3))).otherwise(F.format_number("p_adjusted", 3))
-    return rows.select("id", preview(F.col("body"), 200).alias("preview"), F.concat_ws(",", names(flags)).alias("flags"), F.concat_ws(",", F.slice(names(fired), 1, 5)).alias("patterns"), shown.alias("probability"))
+    shown = lambda c: F.format_string("%.3f", F.floor(F.col(c) * 1000 + 0.5) / 1000)
+    both = F.when(F.abs(F.col("p_original") - F.col("p_adjusted")) > 0.001, F.concat(shown("p_original"), F.lit(" -> "), shown("p_adjusted"))).otherwise(shown("p_adjusted"))
+    whitelist = F.concat_ws("/", *(F.col(f"whitelist_hits_{k}").cast("string") for k in ("store", "order", "brand")))
+    return rows.select(
+        "id", preview(F.col("body"), 200).alias("preview"), F.concat_ws(",", names(flags)).alias("flags"), F.concat_ws(",", F.slice(names(fired), 1, 5)).alias("patterns"),
+        F.concat_ws(",", F.transform(F.slice(contributions, 1, top), lambda x: x["name"])).alias("top"), whitelist.alias("whitelist"), both.alias("probability"),
+    )

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from modlark.functions.text import strip
+from modlark.operators import bayes
+from modlark.sources.shared import written
 
 
 def clean(samples: DataFrame) -> DataFrame:
@@ -104,11 +108,12 @@ def calibrate(rows: DataFrame, id_col: str, folds: int = 3) -> Calibrated:
     return Calibrated(parts)
 
 
-def isotonic(scored: DataFrame, score_col: str, label_col: str = "label") -> DataFrame:
-    """Add ``calibrated``, a monotone function of the score fitted to the labels."""
-    data = scored.withColumn("_f", array_to_vector(F.array(F.col(score_col).cast("double")))).withColumn("_y", F.col(label_col).cast("double"))
-    model = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol="calibrated").fit(data.where(F.col(score_col).isNotNull()))
-    return model.transform(data.where(F.col(score_col).isNotNull())).drop("_f", "_y")
+def isotonic(fitted: DataFrame, score_col: str, applied: DataFrame, label_col: str = "label") -> DataFrame:
+    """Rows of ``applied`` with ``calibrated``, a monotone function of the score
+    that is fitted to the labels of ``fitted``, between its points linear."""
+    vector = lambda df: df.where(F.col(score_col).isNotNull()).withColumn("_f", array_to_vector(F.array(F.col(score_col).cast("double"))))
+    model = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol="calibrated").fit(vector(fitted).withColumn("_y", F.col(label_col).cast("double")))
+    return model.transform(vector(applied)).drop("_f")
 
 
 def predict(rows: DataFrame, model: LogisticRegressionModel, features_col: str = "features") -> DataFrame:
@@ -117,6 +122,49 @@ def predict(rows: DataFrame, model: LogisticRegressionModel, features_col: str =
     return out.withColumn("p_spam", vector_to_array("probability")[1]).select(*rows.columns, "p_spam")
 
 
+@F.udf(VectorUDT())
+def _sparse(size, parts):
+    return SparseVector(size, sorted((p["at"], p["w"]) for p in parts or []))
+
+
+def char_model(docs: DataFrame, fitted_on: Column, terms: int = 10_000) -> DataFrame:
+    """``(id, label, p_spam)`` of ``docs`` (id, text, label): TF-IDF of character
+    runs within words (tf by its logarithm, the ``terms`` most frequent ones),
+    and a balanced logistic model of the rows where ``fitted_on`` holds."""
+    counts = written(bayes.term_counts(docs, split=bayes.char_tokens), "char-counts")
+    train = docs.where(fitted_on)
+    weights = bayes.idf(counts.join(train.select("id"), "id", "left_semi"), train.count()).orderBy(F.desc("df"), "term").limit(terms)
+    at = F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1  # `terms` rows
+    weights = written(weights.withColumn("at", at), "char-terms")
+    weighted = bayes.tfidf(counts, weights, sublinear=True).join(F.broadcast(weights.select("term", "at")), "term")
+    vectors = weighted.groupBy("id").agg(F.collect_list(F.struct("at", "w")).alias("parts"))  # `terms` parts
+    rows = docs.select("id", "label", fitted_on.alias("_train")).join(vectors, "id", "left").withColumn("features", _sparse(F.lit(terms), "parts"))
+    rows = written(rows.drop("parts"), "char-rows")
+    data = balanced_weights(rows.where("_train")).withColumn("label", F.col("label").cast("double"))
+    model = LogisticRegression(weightCol="weight", regParam=1.0 / max(1, data.count()), standardization=False, maxIter=100).fit(data)
+    return model.transform(rows).select("id", "label", F.col("_train").alias("fitted"), vector_to_array("probability")[1].alias("p_spam"))
+
+
+#: What the boosted trees see of a message: pattern features alone.
+PATTERN_FEATURES = (
+    "has_phone", "has_url", "has_email", "has_money", "money_count", "has_age", "has_cta_plus", "has_dm", "has_contact", "has_remote", "has_legal", "has_casino", "obfuscation_ratio",
+    "whitelist_hits_store", "whitelist_hits_order", "whitelist_hits_brand", "reply_to_staff", "is_forwarded", "author_is_admin", "is_channel_announcement", "text_length",
+)
+
+
+def pattern_trees(rows: DataFrame, fitted_on: Column, names: tuple[str, ...] = PATTERN_FEATURES, rounds: int = 100, depth: int = 5) -> DataFrame:
+    """Rows with ``p_spam``: boosted trees on pattern features, fitted where
+    ``fitted_on`` holds, on two thirds of which the trees grow and on the rest
+    their scores are made probabilities by an isotonic function."""
+    given = rows.withColumn("_train", fitted_on).withColumn("_third", F.pmod(F.xxhash64("id"), F.lit(3)))
+    vector = array_to_vector(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0) for c in names)))
+    given = written(given.withColumn("_v", vector), "trees-rows")
+    grown = GBTClassifier(featuresCol="_v", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=7).fit(given.where(F.col("_train") & (F.col("_third") > 0)))
+    scored = grown.transform(given).withColumn("_raw", vector_to_array("probability")[1])
+    out = isotonic(scored.where(F.col("_train") & (F.col("_third") == 0)), "_raw", scored)
+    return out.select(*rows.columns, F.col("_train").alias("fitted"), F.col("calibrated").alias("p_spam"))
+
+
 def examples(samples: DataFrame, n: int, low: int, high: int, seed: str) -> DataFrame:
     """``n`` spam examples of a middling length, in a hashed order."""
     chosen = samples.where((F.col("label") == 1) & F.length("message").between(low, high))

@@ -13,20 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modlark.config import LEGIT_FAMILIES, SPAM_FAMILIES
+from modlark.functions.text import encoder_text
 
 Encoder = Callable[[list[str]], list[list[float] | None]]
 
 
 def hashed_encoder(dim: int = 64) -> Encoder:
-    """A deterministic encoder: signed hashed words, of length 1."""
-    import zlib
+    """A deterministic encoder: signed words by their MD5, of length 1."""
+    from hashlib import md5
 
     def encode(texts: list[str]) -> list[list[float] | None]:
         out: list[list[float] | None] = []
         for text in texts:
             v = np.zeros(dim)
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
+                h = int(md5(word.encode()).hexdigest()[:8], 16)
                 v[h % dim] += 1 if h >> 31 else -1
             norm = float(np.sqrt(v @ v))
             out.append((v / norm).tolist() if norm else None)
@@ -35,11 +36,12 @@ def hashed_encoder(dim: int = 64) -> Encoder:
     return encode
 
 
-def encode(df: DataFrame, text_col: str, encoder: Encoder | None = None, vec_col: str = "vec") -> DataFrame:
+def encode(df: DataFrame, text_col: str, encoder: Encoder | None = None, vec_col: str = "vec", at_once: int = 32) -> DataFrame:
     """Add a vector for each text, null where the encoder gives none or fails.
 
-    A batch that fails is tried again text by text.  Texts are sent in Arrow
-    batches (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    The encoder gets ``at_once`` texts a call; vectors belong to texts by
+    place, and one that is missing is null.  A call that fails is tried again
+    text by text, and so is each text that got none.
     """
     run = encoder or hashed_encoder()
 
@@ -53,11 +55,15 @@ def encode(df: DataFrame, text_col: str, encoder: Encoder | None = None, vec_col
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             given = [t for t in texts if t is not None]
-            try:
-                found = run(given)
-            except Exception:  # noqa: BLE001
-                found = [None] * len(given)
-            found = [v if v is not None else one(t) for v, t in zip(found, given)]
+            found: list[list[float] | None] = []
+            for at in range(0, len(given), at_once):
+                part = given[at : at + at_once]
+                try:
+                    got = [*run(part)][: len(part)]
+                except Exception:  # noqa: BLE001
+                    got = []
+                got += [None] * (len(part) - len(got))
+                found += [v if v is not None else one(t) for v, t in zip(got, part)]
             left = iter(found)
             yield pd.Series([None if t is None else next(left) for t in texts])
 
@@ -76,9 +82,19 @@ def coverage(df: DataFrame, vec_col: str = "vec") -> DataFrame:
     return out.withColumn("coverage", F.coalesce(F.try_divide("valid", "total"), F.lit(0.0))).withColumn("low", F.col("coverage") < 0.8)
 
 
-def degraded(capsule: Column, vec: Column) -> Column:
-    """A capsule was there, its vector is missing."""
-    return capsule.isNotNull() & vec.isNull()
+def run_stats(df: DataFrame, vec_col: str = "vec") -> DataFrame:
+    """One row: texts given to the encoder, and how many of them got a vector."""
+    return df.agg(F.count("*").alias("total"), F.count(vec_col).alias("successes"), F.count(F.when(F.col(vec_col).isNull(), 1)).alias("failures"))
+
+
+def degraded(capsule: Column, vec: Column, *others: Column) -> Column:
+    """A capsule was there, its vector is missing; false where none of
+    ``others``, the vectors of the same message, is there either, as then the
+    whole batch failed."""
+    some = vec.isNotNull()
+    for other in others:
+        some = some | other.isNotNull()
+    return capsule.isNotNull() & vec.isNull() & some
 
 
 def neutral_result(msg: Column, ctx: Column, user: Column) -> Column:
@@ -86,6 +102,19 @@ def neutral_result(msg: Column, ctx: Column, user: Column) -> Column:
     return F.struct(F.lit(0.5).alias("score"), F.when(msg.isNotNull(), 1.0).otherwise(0.0).alias("confidence"), ctx.isNotNull().alias("has_context"), user.isNotNull().alias("has_user"))
 
 
+def encode_single(df: DataFrame, text_col: str, encoder: Encoder | None = None) -> DataFrame:
+    """Add ``result``: the neutral result of each text by itself, prepared as the
+    encoder wants it; where encoding fails its confidence is 0."""
+    none = F.lit(None).cast("array<double>")
+    out = encode(df.withColumn("_prepared", encoder_text(F.col(text_col))), "_prepared", encoder, "_vec", at_once=1)
+    return out.withColumn("result", neutral_result(F.col("_vec"), none, none)).drop("_prepared", "_vec")
+
+
+def with_vectors(df: DataFrame, vec_col: str = "vec") -> DataFrame:
+    """Rows whose vector is there."""
+    return df.where(F.col(vec_col).isNotNull())
+
+
 def _sum(products: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda x, y: x + y)
 
@@ -99,7 +128,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def mean_vectors(df: DataFrame, by: str, vec_col: str = "vec") -> DataFrame:
     """``(by, vec)``: the mean vector of each group, nulls left out."""
-    each = df.where(F.col(vec_col).isNotNull()).select(by, F.posexplode(vec_col).alias("pos", "x"))
+    each = with_vectors(df, vec_col).select(by, F.posexplode(vec_col).alias("pos", "x"))
     means = each.groupBy(by, "pos").agg(F.avg("x").alias("x"))
     return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
 
@@ -126,7 +155,7 @@ def similarities(df: DataFrame, wide: DataFrame, vectors: dict[str, str]) -> Dat
     return out.drop(*wide.columns)
 
 
-#: The feature row, in order.
+# The names of the feature row and of the older one, in order.
 FEATURES = (
     *(f"{k}_{v}" for v in ("msg", "ctx", "user") for k in ("sim_spam", "sim_ham", "delta")),
     *(f"sim_proto_{f}" for f in SPAM_FAMILIES + LEGIT_FAMILIES),
@@ -157,6 +186,22 @@ def top_contributions(features: Column, coefficients: list[float], names: tuple[
     return F.transform(F.slice(F.array_sort(parts), 1, n), lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value")))
 
 
+def base_features(df: DataFrame) -> DataFrame:
+    """The older row: similarities of the message, no filter scores, and patterns."""
+    old = {"sim_spam": "sim_spam_msg", "sim_ham": "sim_ham_msg", "sim_diff": "delta_msg"}
+    named = df.withColumns({k: F.col(v) for k, v in old.items()} | {"kw_score": F.lit(0.0), "tfidf_score": F.lit(0.0)})
+    return feature_row(named, BASE_FEATURES)
+
+
+def model_info(centroids: DataFrame, prototypes: DataFrame, fitted_at: Column, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """One row: number of features, date, what is there of the artefacts, and
+    whether that is enough to score."""
+    c = centroids.where("is_spam in (0, 1)").agg(F.count("*").alias("centroids"))
+    p = prototypes.where(F.col("family").isin(*SPAM_FAMILIES, *LEGIT_FAMILIES)).agg(F.count("*").alias("prototypes"))
+    row = c.crossJoin(F.broadcast(p))  # one row each
+    return row.select(F.lit(len(features)).alias("n_features"), fitted_at.alias("fitted_at"), "centroids", "prototypes", (F.col("centroids") == 2).alias("ready"))
+
+
 def kmeans_prototypes(df: DataFrame, families: tuple[str, ...], vec_col: str = "vec", seed: int = 42, starts: int = 3) -> DataFrame:
     """``(family, vec)``: the centres of as many clusters as there are families,
     the best of some starts; too few rows give the mean for all of them."""
@@ -166,7 +211,7 @@ def kmeans_prototypes(df: DataFrame, families: tuple[str, ...], vec_col: str = "
         mean = mean_vectors(df.withColumn("all", F.lit(1)), "all", vec_col).select("vec")
         centres = None
     else:
-        models = [KMeans(k=len(families), seed=seed + i).fit(rows) for i in range(starts)]
+        models = [KMeans(k=len(families), seed=seed + i, maxIter=100, tol=1e-9).fit(rows) for i in range(starts)]
         centres = min(models, key=lambda m: m.summary.trainingCost).clusterCenters()
     rows.unpersist()
     names = spark.createDataFrame([(f,) for f in families], "family string")
@@ -175,11 +220,18 @@ def kmeans_prototypes(df: DataFrame, families: tuple[str, ...], vec_col: str = "
     return spark.createDataFrame([(f, c.tolist()) for f, c in zip(families, centres)], "family string, vec array<double>")
 
 
-def representatives(df: DataFrame, prototypes: DataFrame, id_col: str, vec_col: str = "vec") -> DataFrame:
-    """The row nearest to each prototype, ties by id."""
+def assigned(df: DataFrame, prototypes: DataFrame, id_col: str, vec_col: str = "vec") -> DataFrame:
+    """``(id, vec, family, distance)``: each vector's nearest prototype, ties by name."""
     p = prototypes.select("family", F.col("vec").alias("_centre"))
-    far = _sum(F.zip_with(F.col(vec_col), F.col("_centre"), lambda x, y: (x - y) * (x - y)))
-    near = df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).crossJoin(F.broadcast(p)).withColumn("distance", F.sqrt(far))  # a row per family
+    far = F.sqrt(_sum(F.zip_with(F.col(vec_col), F.col("_centre"), lambda x, y: (x - y) * (x - y))))
+    near = with_vectors(df, vec_col).select(id_col, vec_col).crossJoin(F.broadcast(p)).withColumn("distance", far)  # a row per family
+    best = F.min(F.struct("distance", "family", vec_col)).alias("b")
+    return near.groupBy(id_col).agg(best).select(id_col, F.col("b")[vec_col].alias(vec_col), F.col("b.family").alias("family"), F.col("b.distance").alias("distance"))
+
+
+def representatives(df: DataFrame, prototypes: DataFrame, id_col: str, vec_col: str = "vec") -> DataFrame:
+    """The vector nearest to each prototype, of those that have none nearer; ties by id."""
+    near = assigned(df, prototypes, id_col, vec_col)
     return near.groupBy("family").agg(F.min_by(F.col(id_col), F.struct("distance", id_col)).alias(id_col), F.min("distance").alias("distance"))
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlark.operators import history, review, settings, tables
-from modlark.plans.message_queries import _CTX, gated
+from modlark.config import KEYWORDS, PATTERNS, SETTINGS, USER_CONTEXT, USER_HISTORY
+from modlark.functions import policy as P
+from modlark.operators import gates, history, review, settings, tables, training, vectors
+from modlark.plans.message_queries import _CTX, gated, with_history
 from modlark.plans.registry import query
 from modlark.sources import fixtures as fx
+from modlark.sources import io
+from modlark.sources.shared import job_folder, written
 from modlark.streaming import jobs
 from modlark.streaming.run import run_to_table
 
@@ -90,29 +94,44 @@ def q_resolved_verdicts(spark, sf_dir):
     return out.select("id", "verdict", "event_id", "took_ms")
 
 
-@query(_ACT + """SELECT l.chat_id, CAST(grouping(l.chat_id) AS INTEGER) AS all_chats, count(*) AS verdicts, round(avg(took_ms), 6) AS avg_took_ms, round(avg(CASE WHEN decision = 'ham' THEN 1.0 ELSE 0 END), 6) AS ham_share
+@query(_ACT + """SELECT l.chat_id, CAST(grouping(l.chat_id) AS INTEGER) AS all_chats, count(*) AS verdicts, avg(took_ms) AS avg_took_ms, avg(CASE WHEN decision = 'ham' THEN 1.0::DOUBLE ELSE 0 END) AS ham_share
     FROM log l JOIN actions a ON a.event_id = l.id WHERE action = 'notify' GROUP BY ROLLUP (l.chat_id)""")
 def q_reaction_time(spark, sf_dir):
     out = review.reaction_times(fx.events(spark, sf_dir), fx.actions(spark, sf_dir))
-    return out.select("chat_id", "all_chats", "verdicts", F.round("avg_took_ms", 6).alias("avg_took_ms"), F.round("ham_share", 6).alias("ham_share"))
+    return out.select("chat_id", "all_chats", "verdicts", "avg_took_ms", "ham_share")
 
 
-@query(_ACT + "SELECT moderator_id, decision, count(*) AS n, CAST(sum(took_ms) AS BIGINT) AS took_ms FROM actions GROUP BY ALL")
-def q_overrides(spark, sf_dir):
-    return fx.actions(spark, sf_dir).groupBy("moderator_id", "decision").agg(F.count("*").alias("n"), F.sum("took_ms").alias("took_ms"))
+_EXACT = "sum(action_confidence::DECIMAL(18, 6))::DOUBLE / count(action_confidence)"
 
 
-@query(_ACT + """SELECT epoch_ms(time_bucket(INTERVAL 1 hour, created_at)) AS period_ms, count(*) FILTER (WHERE action <> 'approve') AS spam_detected, count(*) FILTER (WHERE decision = 'ham') AS manual_overrides,
-    round(avg(action_confidence), 6) AS avg_spam_score, count(*) FILTER (WHERE filter_embedding_score IS NULL) AS embed_failures FROM log l LEFT JOIN actions a ON a.event_id = l.id GROUP BY 1""")
+@query(_ACT + f"""SELECT epoch_ms(time_bucket(INTERVAL 1 hour, created_at)) AS period_ms, count(*) FILTER (WHERE action <> 'approve') AS spam_detected, count(*) FILTER (WHERE decision = 'ham') AS manual_overrides,
+    {_EXACT} AS avg_spam_score, count(*) FILTER (WHERE filter_embedding_score IS NULL) AS embed_failures FROM log l LEFT JOIN actions a ON a.event_id = l.id GROUP BY 1""")
 def q_metrics_hourly(spark, sf_dir):
     out = review.snapshots(fx.events(spark, sf_dir), fx.actions(spark, sf_dir))
-    return out.select(F.unix_millis("period_start").alias("period_ms"), "spam_detected", "manual_overrides", F.round("avg_spam_score", 6).alias("avg_spam_score"), "embed_failures")
+    return out.select(F.unix_millis("period_start").alias("period_ms"), "spam_detected", "manual_overrides", "avg_spam_score", "embed_failures")
+
+
+def _periods(spark, sf_dir) -> DataFrame:
+    """Snapshots by hour and by day, each hour's once more from half of its events, as an earlier version."""
+    e, a = fx.events(spark, sf_dir), fx.actions(spark, sf_dir)
+    early = review.snapshots(e.where("id % 2 = 0"), a).withColumn("version", F.lit(1))
+    return early.unionByName(review.snapshots(e, a).withColumn("version", F.lit(2))).unionByName(review.snapshots(e, a, "1 day").withColumn("version", F.lit(3)))
 
 
-@query(_LOG + "SELECT chat_id, action, id AS version FROM log QUALIFY row_number() OVER (PARTITION BY chat_id, action ORDER BY id DESC) = 1")
+_SNAPSHOTS = f"""snaps AS (SELECT time_bucket(INTERVAL 1 hour, created_at) AS period_start, '1 hour' AS period, count(*) FILTER (WHERE action <> 'approve') AS spam_detected, count(*) FILTER (WHERE decision = 'ham') AS manual_overrides, {_EXACT} AS avg_spam_score, 2 AS version
+    FROM log l LEFT JOIN actions a ON a.event_id = l.id GROUP BY 1 UNION ALL SELECT time_bucket(INTERVAL 1 day, created_at), '1 day', count(*) FILTER (WHERE action <> 'approve'), count(*) FILTER (WHERE decision = 'ham'), {_EXACT}, 3 FROM log l LEFT JOIN actions a ON a.event_id = l.id GROUP BY 1)"""
+
+
+@query(_ACT.rstrip() + f", {_SNAPSHOTS} SELECT epoch_ms(period_start) AS period_ms, period, spam_detected, manual_overrides, avg_spam_score, version FROM snaps")
 def q_metrics_upsert(spark, sf_dir):
-    out = tables.last_write(fx.events(spark, sf_dir).withColumn("version", F.col("id")), ["chat_id", "action"], "version")
-    return out.select("chat_id", "action", "version")
+    out = tables.last_write(_periods(spark, sf_dir), ["period_start", "period"], "version")
+    return out.select(F.unix_millis("period_start").alias("period_ms"), "period", "spam_detected", "manual_overrides", "avg_spam_score", "version")
+
+
+@query(_ACT.rstrip() + f", {_SNAPSHOTS} SELECT epoch_ms(period_start) AS period_ms, spam_detected, avg_spam_score FROM snaps WHERE period = '1 hour' ORDER BY period_start DESC LIMIT 30")
+def q_recent_snapshots(spark, sf_dir):
+    hours = tables.last_write(_periods(spark, sf_dir), ["period_start", "period"], "version").where("period = '1 hour'")
+    return tables.recent(hours, "period_start", "version", 30).select(F.unix_millis("period_start").alias("period_ms"), "spam_detected", "avg_spam_score")
 
 
 @query(_LOG + "SELECT chat_id, strftime(created_at, '%Y-%m-%d') AS day, action, CAST(grouping(chat_id, strftime(created_at, '%Y-%m-%d'), action) AS INTEGER) AS level, count(*) AS n FROM log GROUP BY ROLLUP (chat_id, strftime(created_at, '%Y-%m-%d'), action)")
@@ -122,28 +141,207 @@ def q_action_rollup(spark, sf_dir):
 
 @query(_SET + "SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS n FROM settings_log) WHERE n = 1 AND NOT deleted")
 def q_settings_state(spark, sf_dir):
-    return tables.settings_state(fx.settings_log(spark))
+    return tables.settings_state(fx.settings_log(spark, sf_dir))
 
 
 _EFFECTIVE = """, state AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS n FROM settings_log) WHERE n = 1 AND NOT deleted),
     base AS (SELECT * FROM (VALUES ('policy_mode', 'semi-auto', NULL), ('meta_notify', NULL, 0.65::DOUBLE), ('meta_delete', NULL, 0.85), ('meta_kick', NULL, 0.95), ('meta_downweight_announcement', NULL, 0.85), ('meta_downweight_reply_to_staff', NULL, 0.9), ('meta_downweight_whitelist', NULL, 0.85)) t(key, text, number)),
-    new AS (SELECT base.key, CASE WHEN base.text IS NOT NULL THEN replace(lower(trim(trim(value, '"'))), '_', '-') END AS t, CASE WHEN base.text IS NULL THEN TRY_CAST(value AS DOUBLE) END AS n, base.text AS bt, base.number AS bn FROM state JOIN base USING (key)),
-    ok AS (SELECT * FROM new WHERE (t IN ('manual', 'semi-auto', 'auto', 'legacy-manual') AND t <> bt) OR (n BETWEEN 0 AND 1 AND abs(n - bn) > 1e-6))
-    SELECT base.key, coalesce(ok.t, base.text) AS text, coalesce(ok.n, base.number) AS number, ok.key IS NOT NULL AS overridden FROM base LEFT JOIN ok USING (key)"""
+    new AS (SELECT base.key, CASE WHEN base.text IS NOT NULL AND value LIKE '"%"' THEN replace(lower(trim(trim(value, '"'))), '_', '-') END AS t, CASE WHEN base.text IS NULL THEN TRY_CAST(value AS DOUBLE) END AS n, base.text AS bt, base.number AS bn FROM state JOIN base USING (key)),
+    checked AS (SELECT *, CASE WHEN t IS NULL AND n IS NULL THEN 'undecodable' WHEN t IN ('manual', 'semi-auto', 'auto', 'legacy-manual') OR n BETWEEN 0 AND 1 THEN 'ok' ELSE 'rejected' END AS verdict, coalesce(t = bt, abs(n - bn) <= greatest(1e-6 * greatest(abs(n), abs(bn)), 1e-9)) AS is_default FROM new),
+    ok AS (SELECT * FROM checked WHERE verdict = 'ok' AND NOT is_default),
+    eff AS (SELECT base.key, coalesce(ok.t, base.text) AS text, coalesce(ok.n, base.number) AS number, ok.key IS NOT NULL AS overridden FROM base LEFT JOIN ok USING (key))"""
 
 
-@query(_SET + _EFFECTIVE)
+def _settings(spark, sf_dir) -> DataFrame:
+    return settings.effective(tables.settings_state(fx.settings_log(spark, sf_dir)), settings.defaults(spark))
+
+
+@query(_SET.rstrip() + _EFFECTIVE + " SELECT * FROM eff")
 def q_effective_config(spark, sf_dir):
-    return settings.effective(tables.settings_state(fx.settings_log(spark)), settings.defaults(spark))
+    return _settings(spark, sf_dir)
+
+
+@query(_SET.rstrip() + _EFFECTIVE + " SELECT key, verdict, CASE WHEN verdict = 'ok' THEN is_default END AS is_default FROM checked")
+def q_setting_overrides(spark, sf_dir):
+    """Every override of a known setting: what becomes of it, and whether it only repeats the default."""
+    found = settings.checked(tables.settings_state(fx.settings_log(spark, sf_dir)), settings.defaults(spark))
+    return found.select("key", "verdict", F.when(F.col("verdict") == "ok", settings.is_default(found)).alias("is_default"))
+
+
+@query(fx.with_tables("settings_log", "").rstrip() + _EFFECTIVE + " SELECT (SELECT count(*) FROM state) AS removed, 0::BIGINT AS left_over, (SELECT count(*) FROM base) AS at_default")
+def q_settings_reset(spark, sf_dir):
+    """Every override removed by changes that follow all others."""
+    log = fx.settings_log(spark, sf_dir)
+    gone = settings.reset(tables.settings_state(log), F.lit(1 << 60))
+    after = tables.settings_state(log.unionByName(gone))
+    now = settings.effective(after, settings.defaults(spark))
+    counts = gone.agg(F.count("*").alias("removed")), after.agg(F.count("*").alias("left_over")), now.agg(F.count(F.when(~F.col("overridden"), 1)).alias("at_default"))
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+
+
+@query(_SET.rstrip() + _EFFECTIVE + """ SELECT key AS name, coalesce(text, printf('%.4f', number)) AS value, overridden FROM eff
+    UNION ALL SELECT * FROM (VALUES ('meta_downweight_brand', '0.7000', false), ('degraded_step', '0.0500', false), ('legacy_keyword', '0.6000', false), ('legacy_tfidf', '0.6500', false))""")
+def q_thresholds(spark, sf_dir):
+    return settings.threshold_view(_settings(spark, sf_dir))
 
 
-@query(_LOG + ", t AS (SELECT chat_id, round(avg(action_confidence), 2) AS level FROM log GROUP BY chat_id) SELECT chat_id, CASE WHEN level > 0.5 THEN 'auto' ELSE 'manual' END AS mode, count(*) AS n, count(*) FILTER (WHERE CASE WHEN level > 0.5 THEN action_confidence >= 0.85 ELSE action_confidence >= 0.65 END) AS acted FROM log JOIN t USING (chat_id) GROUP BY ALL")
+@query(_LOG + "SELECT id, [x FOR x IN [user_id, id % 10] IF x > 3] AS ids, id % 5 IN (0, 1, 2) AS truth FROM log")
+def q_parsed_defaults(spark, sf_dir):
+    """Lists of numbers and truth words, as they may be written in a configuration."""
+    i = F.col("id")
+    number = lambda c: F.when(c > 3, c.cast("string")).otherwise("x")
+    raw = F.concat(number(F.col("user_id")), F.lit(" , "), number(i % 10), F.lit(",;"))
+    word = F.element_at(F.array(*map(F.lit, (" YES", "1", "On ", "no", ""))), (i % 5 + 1).cast("int"))
+    return fx.events(spark, sf_dir).select("id", settings.int_list(raw).alias("ids"), settings.truth(word).alias("truth"))
+
+
+_DECIDED = """, adjusted AS (SELECT *, meta_proba * (CASE WHEN has_metadata AND is_channel_announcement THEN meta_downweight_announcement ELSE 1 END) * (CASE WHEN has_metadata AND reply_to_staff THEN meta_downweight_reply_to_staff ELSE 1 END)
+    * (CASE WHEN has_metadata AND hits_store + hits_order + hits_brand > 0 THEN meta_downweight_whitelist ELSE 1 END) * (CASE WHEN has_metadata AND hits_brand > 0 THEN 0.7::DOUBLE ELSE 1 END) AS p,
+    meta_notify + CASE WHEN degraded_ctx THEN 0.05::DOUBLE ELSE 0 END AS notify, kw_score >= 0.6 OR tfidf_score >= 0.65 AS old FROM ruled)
+    SELECT id, policy_mode AS mode, CASE WHEN policy_mode = 'legacy-manual' OR meta_proba IS NULL THEN CASE WHEN old THEN 'notify' ELSE 'approve' END WHEN policy_mode = 'auto' AND p >= meta_kick THEN 'kick' WHEN policy_mode IN ('semi-auto', 'auto') AND p >= meta_delete THEN 'delete'
+    WHEN p >= notify THEN 'notify' ELSE 'approve' END AS action, round(CASE WHEN policy_mode <> 'legacy-manual' THEN p ELSE meta_proba END, 9) AS p_adjusted FROM adjusted"""
+_ROW = ", row AS (SELECT " + ", ".join(f"max({'text' if k == 'policy_mode' else 'number'}) FILTER (WHERE key = '{k}') AS {k}" for k in SETTINGS) + " FROM eff)"
+
+
+def _decide(rows: DataFrame) -> DataFrame:
+    """Decisions of scores that have the columns of a policy row."""
+    rules = P.policy_of()
+    seen = lambda c, none: F.when(F.col("has_metadata"), F.col(c)).otherwise(none)
+    applied = P.downweights(*(seen(c, F.lit(False)) for c in ("is_channel_announcement", "reply_to_staff")), *(seen(c, F.lit(0)) for c in ("hits_store", "hits_order", "hits_brand")), rules)
+    d = P.decide(rules.mode, F.col("meta_proba"), F.col("kw_score"), F.col("tfidf_score"), applied, F.col("degraded_ctx"), rules)
+    return rows.withColumn("d", d).select("id", F.col("policy_mode").alias("mode"), F.col("d.action").alias("action"), F.round("d.p_adjusted", 9).alias("p_adjusted"))
+
+
+@query(fx.with_tables("scores settings_log", "").rstrip() + _EFFECTIVE + _ROW + ", ruled AS (SELECT * FROM scores CROSS JOIN row)" + _DECIDED)
+def q_policy_in_force(spark, sf_dir):
+    """Decisions under the settings in force."""
+    row = settings.policy_row(_settings(spark, sf_dir))
+    return _decide(fx.scores(spark, sf_dir).crossJoin(F.broadcast(row)))  # one row
+
+
+@query(fx.with_tables("scores settings_log chats", "").rstrip() + _EFFECTIVE + _ROW + """, own AS (SELECT c.chat_id, CASE WHEN c.policy_mode IN ('manual', 'semi-auto', 'auto', 'legacy-manual') THEN c.policy_mode ELSE r.policy_mode END AS policy_mode, coalesce(c.meta_notify, r.meta_notify) AS meta_notify,
+    CASE WHEN c.meta_delete BETWEEN 0 AND 1 THEN c.meta_delete ELSE r.meta_delete END AS meta_delete, meta_kick, meta_downweight_announcement, meta_downweight_reply_to_staff, meta_downweight_whitelist FROM chats c CROSS JOIN row r),
+    ruled AS (SELECT * FROM scores JOIN own ON own.chat_id = scores.id % 8)""" + _DECIDED)
 def q_chat_policies(spark, sf_dir):
-    e = fx.events(spark, sf_dir)
-    chats = e.groupBy("chat_id").agg(F.round(F.avg("action_confidence"), 2).alias("level"))
-    auto = F.col("level") > 0.5
-    acted = F.when(auto, F.col("action_confidence") >= 0.85).otherwise(F.col("action_confidence") >= 0.65)
-    return e.join(chats, "chat_id").groupBy("chat_id", F.when(auto, "auto").otherwise("manual").alias("mode")).agg(F.count("*").alias("n"), F.count(F.when(acted, 1)).alias("acted"))
+    """Decisions under each chat's own settings over those in force."""
+    own = settings.chat_policies(fx.chats(spark, sf_dir), _settings(spark, sf_dir))
+    return _decide(fx.scores(spark, sf_dir).withColumn("chat_id", F.col("id") % 8).join(own, "chat_id"))
+
+
+@query(fx.with_tables("messages log", "").rstrip() + """, kept AS (SELECT message_id, chat_id, user_id, chat_id % 8 AS c, trim(coalesce(nullif(text, ''), caption, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS body FROM messages WHERE user_id IS NOT NULL AND chat_id <> 24),
+    trusted AS (SELECT DISTINCT chat_id, 1000 + user_id % 40 AS user_id FROM log WHERE action = 'approve' AND id % 50 = 0) SELECT message_id, chat_id, user_id FROM kept k WHERE body <> '' AND NOT EXISTS (SELECT 1 FROM trusted t WHERE t.chat_id = k.chat_id AND t.user_id = k.user_id)""")
+def q_chat_whitelists(spark, sf_dir):
+    """Messages that pass gates whose whitelist is each chat's own."""
+    trusted = fx.events(spark, sf_dir).where("action = 'approve' and id % 50 = 0").select("chat_id", (1000 + F.col("user_id") % 40).alias("user_id")).distinct()
+    return gates.gate(fx.messages(spark, sf_dir), trusted, fx.MODERATOR_CHAT).select("message_id", "chat_id", "user_id")
+
+
+# tables on disk: written, and read again
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    return job_folder(spark, "tables")
+
+
+@query(fx.with_tables("labelled", "SELECT sha256(message) AS message_hash, label FROM labelled"))
+def q_read_labelled(spark, sf_dir):
+    path = f"{_folder(spark, sf_dir)}/samples"
+    io.write_labelled(fx.labelled(spark, sf_dir), path)
+    return io.read_labelled(spark, path).select(F.sha2("message", 256).alias("message_hash"), "label")
+
+
+@query(fx.with_tables("labelled", "SELECT count(*) AS rows, true AS has_size FROM labelled"))
+def q_dataset_stats(spark, sf_dir):
+    path = f"{_folder(spark, sf_dir)}/samples"
+    io.write_labelled(fx.labelled(spark, sf_dir), path)
+    return io.dataset_stats(spark, path).select("rows", (F.col("kib") >= 0).alias("has_size"))
+
+
+@query(fx.with_tables("gated", "").rstrip() + f", terms AS (SELECT unnest({fx._sql_list(KEYWORDS)}) AS term) SELECT term, count(*) AS messages FROM gated JOIN terms ON contains(lower(body), lower(term)) GROUP BY term")
+def q_lexicon(spark, sf_dir):
+    """Messages of each keyword of a lexicon file."""
+    path = f"{_folder(spark, sf_dir)}/lexicon"
+    io.write_lexicon(spark, KEYWORDS, PATTERNS, path)
+    terms = io.read_lexicon(spark, path).where("kind = 'keyword'")
+    return gated(spark, sf_dir).join(F.broadcast(terms), F.expr("contains(lower(body), lower(term))")).groupBy("term").agg(F.count("*").alias("messages"))  # a lexicon of some dozen terms
+
+
+@query(fx.with_tables("gated", "SELECT message_id, sha256(body) AS body_hash FROM gated"))
+def q_message_source(spark, sf_dir):
+    """Messages read as they come from a feed of files, in a stream, then gated."""
+    path = f"{_folder(spark, sf_dir)}/messages"
+    fx.messages(spark, sf_dir).write.parquet(path)
+    fed = run_to_table(io.message_stream(spark, path))
+    return gates.gate(fed, fx.whitelist(spark), fx.MODERATOR_CHAT).select("message_id", F.sha2("body", 256).alias("body_hash"))
+
+
+@query(_LOG + "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE action = 'approve') AS approved FROM log GROUP BY 1")
+def q_event_sink(spark, sf_dir):
+    """The log after two appends, and after a micro-batch that came twice."""
+    folder, e = _folder(spark, sf_dir), fx.events(spark, sf_dir)
+    for k in (0, 1):
+        io.append_events(e.where(F.col("id") % 3 == k), f"{folder}/log")
+    for _ in range(2):
+        io.write_once(e.where("id % 3 = 2"), 7, f"{folder}/batches")
+    both = io.read_events(spark, f"{folder}/log").select("id", "created_at", "action").unionByName(spark.read.parquet(f"{folder}/batches").select("id", "created_at", "action"))
+    return both.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count(F.when(F.col("action") == "approve", 1)).alias("approved"))
+
+
+@query(_ACT + "SELECT event_id, decision, CAST(row_number() OVER (PARTITION BY event_id ORDER BY performed_at, id) AS INTEGER) AS place FROM (SELECT * FROM actions UNION ALL SELECT id + 1000000000, event_id, moderator_id, 'delete', performed_at - INTERVAL 1 second, took_ms FROM actions WHERE id % 5 = 0) JOIN (SELECT id AS event_id FROM log WHERE chat_id = 3) USING (event_id)")
+def q_verdict_log(spark, sf_dir):
+    """All verdicts on one chat's events, unknown ones included, in order, from a log of two appends."""
+    path, a = f"{_folder(spark, sf_dir)}/actions", fx.actions(spark, sf_dir)
+    io.append_actions(a, path)
+    io.append_actions(a.where("id % 5 = 0").withColumns({"id": F.col("id") + 1_000_000_000, "decision": F.lit("delete"), "performed_at": F.col("performed_at") - F.expr("interval 1 second")}), path)
+    return tables.actions_for(spark.read.parquet(path), fx.events(spark, sf_dir).where("chat_id = 3")).select("event_id", "decision", "place")
+
+
+@query(_LOG + "SELECT moderator_id, decision, count(*) AS n, CAST(sum(took_ms) AS BIGINT) AS took_ms FROM (SELECT 1 + id % 3 AS moderator_id, CASE WHEN id % 3 = 1 THEN 'kick' ELSE 'ham' END AS decision, 1000 * (id % 120) AS took_ms FROM log WHERE action = 'notify' AND id % 3 <> 0) GROUP BY ALL")
+def q_overrides(spark, sf_dir):
+    return fx.actions(spark, sf_dir).groupBy("moderator_id", "decision").agg(F.count("*").alias("n"), F.sum("took_ms").alias("took_ms"))
+
+
+_I = _LOG.rstrip() + ", i AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY created_at, id) AS spam_id FROM log WHERE action <> 'approve') ORDER BY spam_id DESC LIMIT 500) "
+
+
+@query(_I + "SELECT a.spam_id, i.id, i.action, (SELECT min(spam_id) FROM i) AS least, (SELECT max(spam_id) FROM i) AS most FROM (SELECT DISTINCT spam_id - 250 AS spam_id FROM i) a LEFT JOIN i USING (spam_id)")
+def q_incident_lookup(spark, sf_dir):
+    """Half of the numbers asked for are there."""
+    found = written(tables.incidents(fx.events(spark, sf_dir)), "incidents")
+    return tables.incident_lookup(found, found.select(F.col("spam_id") - 250).toDF("spam_id")).select("spam_id", "id", "action", "least", "most")
+
+
+@query(_CTX + "SELECT message_id, chat_id, user_id, sha256(norm) AS norm_hash FROM ctx")
+def q_compact(spark, sf_dir):
+    """Events as they are kept for a list: what only the analysis needs is gone."""
+    rows = with_history(spark, sf_dir).select("message_id", "chat_id", "user_id", F.sha2("norm", 256).alias("norm_hash"), "chat_history", "user_history")
+    return tables.compact(rows.withColumns({"ctx_capsule": F.lit("x"), "msg_vec": F.array(F.lit(0.5)), "embedding_ms": F.lit(1), "features": F.array(F.lit(0.5))}))
+
+
+_ART = fx.with_tables("vectors", "").rstrip()
+
+
+@query(f"{_ART}, m AS (SELECT is_spam::VARCHAR AS name, pos, avg(x) AS x FROM (SELECT is_spam, unnest(vec) AS x, unnest(range(1, 65)) AS pos FROM vectors WHERE vec IS NOT NULL) GROUP BY ALL UNION ALL SELECT family, pos, avg(x) FROM (SELECT family, unnest(vec) AS x, unnest(range(1, 65)) AS pos FROM vectors WHERE vec IS NOT NULL) GROUP BY ALL)"
+       " SELECT name, round(sum(x), 6) AS total, true AS model_is_the_same FROM m GROUP BY name")
+def q_artefacts(spark, sf_dir):
+    """Centroids, prototypes and a model, saved and loaded again."""
+    v = fx.vectors(spark, sf_dir)
+    rows = vectors.with_vectors(v).select(F.col("vec").alias("features"), F.col("is_spam").alias("label"))
+    model = training.fit_logistic(rows, max_iter=20)
+    path = f"{_folder(spark, sf_dir)}/artefacts"
+    io.save_artefacts(vectors.mean_vectors(v, "is_spam"), vectors.mean_vectors(v, "family"), model, path)
+    centroids, prototypes, loaded = io.load_artefacts(spark, path)
+    same = training.predict(rows, loaded).agg(F.max(F.abs(F.col("p_spam") - 1 / (1 + F.exp(-training.raw_score(F.col("features"), model))))).alias("off")).select((F.col("off") < 1e-9).alias("model_is_the_same"))
+    both = centroids.select(F.col("is_spam").cast("string").alias("name"), "vec").unionByName(prototypes.select(F.col("family").alias("name"), "vec"))
+    return both.select("name", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total")).crossJoin(F.broadcast(same))  # one row
+
+
+@query(fx.with_tables("scores", "SELECT id, kw_score, tfidf_score, label, true AS other_sizes_are_ignored FROM scores"))
+def q_score_cache(spark, sf_dir):
+    """Scores from a cache, which counts only if it has as many rows as the data."""
+    path = f"{_folder(spark, sf_dir)}/scores"
+    s = fx.scores(spark, sf_dir).select("id", "kw_score", "tfidf_score", "label")
+    s.write.parquet(path)
+    n = s.count()
+    return io.cached_scores(spark, path, n).withColumn("other_sizes_are_ignored", F.lit(io.cached_scores(spark, path, n + 1) is None))
 
 
 # streams: the tables as files, read to their end
@@ -192,6 +390,29 @@ def q_stream_history(spark, sf_dir):
     return run_to_table(jobs.stream_history(_stream(spark, sf_dir, "conversations", _message_stream)), "update")
 
 
+def _user_stream(raw: DataFrame) -> DataFrame:
+    return _message_stream(raw).withColumn("user_id", 1000 + F.col("message_id") % 40)
+
+
+@query("""WITH m AS (SELECT conv_id * 10 + turn AS message_id, 1000 + (conv_id * 10 + turn) % 40 AS user_id, md5(text) AS norm FROM conversations),
+    h AS (SELECT *, coalesce(list(norm) OVER (PARTITION BY user_id ORDER BY message_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS held FROM m)
+    SELECT user_id, message_id, CAST(len(held) AS INTEGER) AS history_size, array_to_string(list_reverse(held)[1:5], '|') AS last_texts FROM h""")
+def q_stream_user_history(spark, sf_dir):
+    out = jobs.stream_history(_stream(spark, sf_dir, "conversations", _user_stream), USER_HISTORY, key="user_id", shown=USER_CONTEXT)
+    return run_to_table(out, "update")
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id * 10 + turn AS message_id, 1000 + (conv_id * 10 + turn) % 40 AS user_id FROM conversations),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY message_id) AS k FROM m),
+    r AS (SELECT user_id, k, message_id, message_id AS since, true AS fresh FROM n WHERE k = 1
+          UNION ALL SELECT n.user_id, n.k, n.message_id, CASE WHEN n.message_id - r.since > 600 THEN n.message_id ELSE r.since END, n.message_id - r.since > 600 FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+    SELECT user_id, message_id, fresh FROM r""")
+def q_stream_user_vectors(spark, sf_dir):
+    """Whose vector is computed anew: one is used again for ten hours."""
+    out = jobs.stream_user_vectors(_stream(spark, sf_dir, "conversations", _user_stream), reuse_seconds=36_000)
+    return run_to_table(out, "update").select("user_id", "message_id", "fresh")
+
+
 @query("SELECT DISTINCT conv_id * 10 + turn AS message_id, conv_id % 25 AS chat_id FROM conversations")
 def q_stream_dedup(spark, sf_dir):
     twice = lambda raw: _message_stream(raw).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))

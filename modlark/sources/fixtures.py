@@ -104,15 +104,27 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("id"), i.alias("event_id"), (1 + i % 3).alias("moderator_id"), F.when(i % 3 == 1, "kick").otherwise("ham").alias("decision"), F.timestamp_micros(F.unix_micros("created_at") + (i % 120) * 1_000_000).alias("performed_at"), (1000 * (i % 120)).alias("took_ms"))
 
 
-#: Changes of settings: key, JSON value, whether removed, version.
-SETTINGS_LOG = (
-    ("policy_mode", '"AUTO"', False, 1), ("policy_mode", '"semi_auto"', False, 2), ("meta_notify", "0.7", False, 3), ("meta_delete", "1.5", False, 4), ("meta_kick", "0.9", False, 5), ("meta_kick", None, True, 6),
-    ("meta_downweight_whitelist", "0.85", False, 7), ("unknown_key", "1", False, 8), ("meta_downweight_announcement", '"oops"', False, 9),
-)
+#: Keys and values of settings changes, by the number of the event: valid, invalid and unknown ones.
+SETTING_KEYS = ("policy_mode", "meta_notify", "meta_delete", "meta_kick", "meta_downweight_announcement", "meta_downweight_reply_to_staff", "meta_downweight_whitelist", "unknown_key")
+MODE_VALUES = ('"AUTO"', '" semi_auto "', '"manual"', '"odd"', "auto")
+
+
+def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of settings (key, JSON value, whether removed, version), one by every event."""
+    i = F.col("event_id")
+    key = F.element_at(F.array(*map(F.lit, SETTING_KEYS)), (i % len(SETTING_KEYS) + 1).cast("int"))
+    mode = F.element_at(F.array(*map(F.lit, MODE_VALUES)), (i % len(MODE_VALUES) + 1).cast("int"))
+    per_mille = i * 7 % 1100 + 100
+    number = F.when(i % 13 == 0, '"oops"').otherwise(F.concat(F.floor(per_mille / 1000).cast("string"), F.lit("."), F.lpad((per_mille % 1000).cast("string"), 3, "0")))
+    return _table(spark, sf_dir, "events").select(key.alias("key"), F.when(i % 11 != 0, F.when(key == "policy_mode", mode).otherwise(number)).alias("value"), (i % 11 == 0).alias("deleted"), i.alias("version"))
 
 
-def settings_log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SETTINGS_LOG), "key string, value string, deleted boolean, version long")
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats of the event log with settings of their own: some modes, some thresholds out of range."""
+    c = F.col("chat_id")
+    n = events(spark, sf_dir).groupBy("chat_id").agg(F.count("*").alias("n"))
+    mode = F.element_at(F.array(*map(F.lit, ("manual", "semi-auto", "auto", "legacy-manual", "odd"))), (c % 5 + 1).cast("int"))
+    return n.select("chat_id", F.when(c != 5, mode).alias("policy_mode"), F.when(c % 3 != 0, (F.col("n") % 90 + 20) / 100.0).alias("meta_notify"), F.when(c % 4 == 1, 1.5).when(c % 4 == 2, 0.75).alias("meta_delete"))
 
 
 def _sql_list(values) -> str:
@@ -150,9 +162,16 @@ SQL = {
     "actions": """
         SELECT id, id AS event_id, 1 + id % 3 AS moderator_id, CASE WHEN id % 3 = 1 THEN 'kick' ELSE 'ham' END AS decision, created_at + to_seconds(id % 120) AS performed_at, 1000 * (id % 120) AS took_ms
         FROM log WHERE action = 'notify' AND id % 3 <> 0""",
-    "settings_log": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else repr(v)}, {str(d).lower()}, {n}::BIGINT)" for k, v, d, n in SETTINGS_LOG) + ") t(key, value, deleted, version)",
+    "settings_log": f"""
+        SELECT key, CASE WHEN version % 11 <> 0 THEN CASE WHEN key = 'policy_mode' THEN {_sql_list(MODE_VALUES)}[version % {len(MODE_VALUES)} + 1]
+               WHEN version % 13 = 0 THEN '"oops"' ELSE (m // 1000) || '.' || lpad((m % 1000)::VARCHAR, 3, '0') END END AS value, version % 11 = 0 AS deleted, version
+        FROM (SELECT event_id AS version, event_id * 7 % 1100 + 100 AS m, {_sql_list(SETTING_KEYS)}[event_id % {len(SETTING_KEYS)} + 1] AS key FROM events)""",
+    "chats": """
+        SELECT chat_id, CASE WHEN chat_id <> 5 THEN ['manual', 'semi-auto', 'auto', 'legacy-manual', 'odd'][chat_id % 5 + 1] END AS policy_mode,
+               CASE WHEN chat_id % 3 <> 0 THEN (n % 90 + 20)::DOUBLE / 100 END AS meta_notify, CASE chat_id % 4 WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 0.75::DOUBLE END AS meta_delete
+        FROM (SELECT chat_id, count(*) AS n FROM log GROUP BY chat_id)""",
 }
-_NEEDS = {"gated": ["messages"], "labelled_dirty": ["labelled"], "cleaned": ["labelled", "labelled_dirty"], "actions": ["log"]}
+_NEEDS = {"gated": ["messages"], "labelled_dirty": ["labelled"], "cleaned": ["labelled", "labelled_dirty"], "actions": ["log"], "chats": ["log"]}
 
 
 def with_tables(names: str, select: str) -> str:

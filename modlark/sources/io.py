@@ -44,6 +44,11 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGE).parquet(path)
 
 
+def write_lexicon(spark: SparkSession, keywords: tuple[str, ...], patterns: tuple[str, ...], path: str) -> None:
+    """A lexicon as one JSON document."""
+    spark.createDataFrame([(list(keywords), list(patterns))], "keywords array<string>, patterns array<string>").coalesce(1).write.json(path)
+
+
 def message_stream(spark: SparkSession, path: str, source: str = "parquet", options: dict[str, str] | None = None) -> DataFrame:
     """An unbounded feed: files by default, or ``source="kafka"`` with JSON values."""
     if source != "kafka":

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +32,10 @@ def job_folder(spark: SparkSession, job: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return root
+
+
+def written(df: DataFrame, job: str) -> DataFrame:
+    """``df`` as written to a `job_folder`: what is read from it several times is computed once."""
+    path = f"{job_folder(df.sparkSession, job)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,42 +9,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from modlark.config import CHAT_HISTORY
+from modlark.config import CHAT_CONTEXT, CHAT_HISTORY
+from modlark.operators.vectors import Encoder, hashed_encoder
 
-HISTORY = "chat_id long, message_id long, history_size int, last_texts string"
 
+class _History(StatefulProcessor):
+    """The last texts of a chat or user, as a list state of bounded length."""
 
-class _ChatHistory(StatefulProcessor):
-    """The last texts of a chat, as a list state of bounded length."""
-
-    def __init__(self, rows: int, idle_ms: int | None):
-        self.rows, self.idle_ms = rows, idle_ms
+    def __init__(self, key: str, rows: int, shown: int, idle_ms: int | None):
+        self.key, self.rows, self.shown, self.idle_ms = key, rows, shown, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.texts = handle.getListState("texts", "text string", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "message_id"])
+        batch = pd.concat([part[["ts", "message_id", "norm"]] for part in rows]).sort_values(["ts", "message_id"])
         held = [t[0] for t in self.texts.get()]
         out = []
         for message_id, text in zip(batch["message_id"], batch["norm"]):
-            out.append((key[0], message_id, len(held), "|".join(held[::-1][:4])))
+            out.append((key[0], message_id, len(held), "|".join(held[::-1][: self.shown])))
             held = [*held, text][-self.rows :]
         self.texts.put([(t,) for t in held])
-        yield pd.DataFrame(out, columns=["chat_id", "message_id", "history_size", "last_texts"])
+        yield pd.DataFrame(out, columns=[self.key, "message_id", "history_size", "last_texts"])
 
     def close(self) -> None:
         pass
 
 
-def stream_history(messages: DataFrame, rows: int = CHAT_HISTORY, idle_ms: int | None = None) -> DataFrame:
-    """For each message, how much history its chat has, and its newest texts.
+def stream_history(messages: DataFrame, rows: int = CHAT_HISTORY, idle_ms: int | None = None, key: str = "chat_id", shown: int = CHAT_CONTEXT) -> DataFrame:
+    """For each message, how much history its chat or user (``key``) has, and
+    the newest ``shown`` texts of it.
 
-    Rows of a micro-batch are ordered by time.  With ``idle_ms`` the state of
-    chats that are idle for so long expires, by the clock; such a stream never
+    Rows of a micro-batch are ordered by time, so one worker holds times, ids
+    and texts of a key's rows in one micro-batch, which the source's options
+    (such as ``maxFilesPerTrigger``) bound.  With ``idle_ms`` the state of
+    keys that are idle for so long expires, by the clock; such a stream never
     runs out of batches, so it is for continuous triggers.  Needs the RocksDB
     state store."""
-    return messages.groupBy("chat_id").transformWithStateInPandas(_ChatHistory(rows, idle_ms), HISTORY, "Update", "None" if idle_ms is None else "ProcessingTime")
+    schema = f"{key} long, message_id long, history_size int, last_texts string"
+    return messages.groupBy(key).transformWithStateInPandas(_History(key, rows, shown, idle_ms), schema, "Update", "None" if idle_ms is None else "ProcessingTime")
+
+
+class _UserVector(StatefulProcessor):
+    """A user's vector and when it was computed."""
+
+    def __init__(self, reuse_seconds: int, encoder: Encoder):
+        self.reuse_seconds, self.encoder = reuse_seconds, encoder
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.vector = handle.getValueState("vector", "since double, vec array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        batch = pd.concat([part[["ts", "message_id", "norm"]] for part in rows]).sort_values(["ts", "message_id"])
+        since, vec = self.vector.get() if self.vector.exists() else (None, None)
+        out = []
+        for ts, message_id, text in zip(batch["ts"], batch["message_id"], batch["norm"]):
+            fresh = since is None or ts.timestamp() - since > self.reuse_seconds
+            if fresh:
+                since, vec = ts.timestamp(), self.encoder([text])[0]
+            out.append((key[0], message_id, fresh, vec))
+        self.vector.update((since, vec))
+        yield pd.DataFrame(out, columns=["user_id", "message_id", "fresh", "vec"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_user_vectors(messages: DataFrame, reuse_seconds: int = 600, encoder: Encoder | None = None) -> DataFrame:
+    """For each message its user's vector, and whether it was computed anew: one
+    is used again for ``reuse_seconds`` after it was computed, by the messages'
+    own times.  The state store spills, so no number of users is too many."""
+    return messages.groupBy("user_id").transformWithStateInPandas(_UserVector(reuse_seconds, encoder or hashed_encoder()), "user_id long, message_id long, fresh boolean, vec array<double>", "Update", "None")
 
 
 def stream_snapshots(events: DataFrame, late: str = "2 hours", period: str = "1 hour") -> DataFrame:

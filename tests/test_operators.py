@@ -66,14 +66,89 @@ def test_naive_bayes_by_hand(spark):
     weights = bayes.idf(counts, 3)
     idf = {r.term: r.idf for r in weights.collect()}
     assert idf["bb"] == pytest.approx(math.log(4 / 3) + 1) and idf["aa"] == pytest.approx(math.log(2) + 1)
-    w = bayes.tfidf(counts, weights)
-    labels = docs.select("id", "label")
-    scores = {r.id: r for r in bayes.score(docs, w, bayes.fit_terms(w, labels), bayes.fit_priors(labels)).collect()}
+    terms, priors = bayes.fit(docs, counts, 3)
+    scores = {r.id: r for r in bayes.score(docs, counts, terms, priors).collect()}
     assert scores[1].p_spam > 0.4 > scores[2].p_spam and scores[3].p_spam == pytest.approx(1 / 3)
-    none = bayes.score(docs, w, bayes.fit_terms(w, labels).limit(0), bayes.fit_priors(labels).limit(0)).collect()
+    none = bayes.score(docs, counts, terms.limit(0), priors.limit(0)).collect()
     assert all(r.p_spam == 0.5 and r.confidence == 0 for r in none)
 
 
+@pytest.mark.parametrize("share", (1e-4, 0.05, 1.0))
+def test_frequent_terms_meet_their_weights_like_others(spark, monkeypatch, share):
+    monkeypatch.setattr(bayes, "SHARE", share)
+    docs = spark.createDataFrame([(i, "aa " * (i % 3 + 1) + f"bb{i % 4} cc{i}") for i in range(60)], "id long, text string")
+    counts = bayes.term_counts(docs)
+    weights = bayes.idf(counts, 60)
+    found = bayes.lookup(counts, weights)
+    assert found.count() == counts.count() == 180
+    assert sorted((r.id, r.term, r.tf, r.df) for r in found.collect()) == sorted((r.id, r.term, r.tf, r.df) for r in counts.join(weights, "term").collect())
+
+
+def test_character_runs_stay_within_words(spark):
+    row = spark.createDataFrame([("Ab  c",), ("",), (None,)], "t string").select(bayes.char_tokens(F.col("t")).alias("r")).collect()
+    assert row[0].r == [" ", "a", "b", " ", " a", "ab", "b ", " ab", "ab ", " ", "c", " ", " c", "c ", " c "] and row[1].r == [] == row[2].r
+
+
+def test_character_model_tells_held_out_rows(spark):
+    docs = spark.range(300).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"), F.concat(F.when(F.col("id") % 3 == 0, "winzone ").otherwise("weather "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    out = training.char_model(docs, F.pmod(F.xxhash64("id"), F.lit(4)) > 0, terms=400).where("not fitted").collect()
+    assert len(out) > 40 and sum((r.p_spam >= 0.5) == (r.label == 1) for r in out) >= 0.95 * len(out)
+
+
+def test_pattern_trees_tell_held_out_rows(spark):
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100))
+    rows = spark.range(900).select("id", (h("m") % 4).alias("money_count"), (h("u") < 30).cast("int").alias("has_url"))
+    rows = rows.withColumn("label", ((F.col("money_count") >= 2) & (F.col("has_url") == 1)).cast("int"))
+    out = training.pattern_trees(rows, F.pmod(F.xxhash64("id"), F.lit(4)) > 0, rounds=5).where("not fitted").collect()
+    assert len(out) > 150 and sum((r.p_spam >= 0.5) == (r.label == 1) for r in out) >= 0.97 * len(out) and all(0 <= r.p_spam <= 1 for r in out)
+
+
+def test_too_few_samples_are_not_evaluated(spark):
+    docs = spark.createDataFrame([(i, "a b", i % 2, "train" if i < 6 else "test") for i in range(9)], "id long, text string, label int, part string")
+    assert bayes.evaluate(docs, bayes.term_counts(docs)) is None
+    told = bayes.evaluate(docs.unionByName(docs.withColumn("id", F.col("id") + 100)), bayes.term_counts(docs), leaked=True)
+    assert told.count() == 6
+
+
+def test_history_crosses_buckets(spark):
+    """Whatever the buckets, a message's history is the same; a null user has one, too."""
+    rows = [(i, i % 2, None if i % 5 == 0 else i % 3, i * 37 % 500, f"t{i}") for i in range(120)]
+    m = spark.createDataFrame(rows, "message_id long, chat_id long, user_id long, s long, norm string").withColumn("ts", F.timestamp_seconds("s"))
+    one = lambda seconds: sorted((r.message_id, tuple((h.user, h.text) for h in r.chat_history), tuple(r.user_history)) for r in history.with_history(m, 4, 3, seconds).collect())
+    whole = one(1_000_000)
+    assert one(7) == one(60) == whole
+    by_time = sorted(rows, key=lambda r: (r[3], r[0]))
+    for mid, chats, users in whole:
+        at = next(k for k, r in enumerate(by_time) if r[0] == mid)
+        mine = by_time[at]
+        assert list(chats) == [(r[2], r[4]) for r in by_time[:at] if r[1] == mine[1]][-4:] and list(users) == [r[4] for r in by_time[:at] if r[2] == mine[2]][-3:]
+
+
+def test_degradation_needs_another_vector(spark):
+    df = spark.createDataFrame([("c", None, [1.0], None), ("c", None, None, None), ("c", [1.0], None, None), (None, None, [1.0], None)], "capsule string, ctx array<double>, msg array<double>, user array<double>")
+    assert [r.d for r in df.select(vectors.degraded(F.col("capsule"), F.col("ctx"), F.col("msg"), F.col("user")).alias("d")).collect()] == [True, False, False, False]
+
+
+def test_short_answers_of_an_encoder_are_null(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "t string").coalesce(1)
+
+    def encoder(texts):
+        return [[1.0]] * (len(texts) - 1) if len(texts) > 1 else [None if texts == ["c"] else [2.0]]
+
+    assert {r.t: r.vec for r in vectors.encode(df, "t", encoder, at_once=3).collect()} == {"a": [1.0], "b": [1.0], "c": None}
+
+
+def test_settings_reach_the_policy(spark):
+    base = settings.defaults(spark)
+    state = spark.createDataFrame([("policy_mode", '"auto"'), ("meta_kick", "0.7"), ("meta_downweight_whitelist", "0.5")], "key string, value string")
+    row = settings.policy_row(settings.effective(state, base))
+    rules = P.policy_of()
+    for hits, action in ((0, "kick"), (1, "approve")):
+        applied = P.downweights(F.lit(False), F.lit(False), F.lit(hits), F.lit(0), F.lit(0), rules)
+        d = P.decide(rules.mode, F.lit(0.8), F.lit(0.0), F.lit(0.0), applied, F.lit(False), rules)
+        assert row.select(d["action"]).first()[0] == action
+
+
 def test_cleaning(spark):
     s = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("b", 1), (None, 1), (" ", 0), ("c", 0)], "message string, label int")
     assert sorted(tuple(r) for r in training.clean(s).collect()) == [("a", 1), ("c", 0)]
@@ -113,7 +188,7 @@ def test_calibration_is_a_probability_and_isotonic_is_monotone(spark):
     rows = rows.withColumn("features", F.array("s"))
     p = [r.p for r in rows.select(training.calibrate(rows, "id").probability(F.col("features")).alias("p"), "s").orderBy("s").collect()]
     assert all(0 <= x <= 1 for x in p) and p == sorted(p)
-    iso = [r.calibrated for r in training.isotonic(rows, "s").orderBy("s").collect()]
+    iso = [r.calibrated for r in training.isotonic(rows.where("id % 2 = 0"), "s", rows.where("id % 2 = 1")).orderBy("s").collect()]
     assert iso == sorted(iso)
 
 
