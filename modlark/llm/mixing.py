@@ -22,6 +22,8 @@ N_BLOCKS = 4096
 #: Plans of more sources than this are joined by a shuffle, not broadcast.
 MAX_BROADCAST = 50_000
 _STEPS = 60
+#: Columns that a mix has besides those of its documents.
+ADDED = ("epoch", "mix_position", "source_weight", "alpha")
 
 
 def weights(share: np.ndarray, alpha: float) -> np.ndarray:
@@ -124,7 +126,7 @@ def mix(docs: DataFrame, max_passes: float | None = 2.0, target_entropy: float |
     plan = scratch.keep(plan.join(edge.select("source", "edge"), "source", "left").join(cut, "source", "left"), "plan")
     scratch.drop("rows")
 
-    own = [c for c in docs.columns if c not in ("epoch", "mix_position", "source_weight", "alpha")]
+    own = [c for c in docs.columns if c not in ADDED]
     keyed = docs.select(F.struct(*own).alias("_row"), source.alias("_source"), block.alias("_block"), _spread(F.col(id_col), F.lit("within")).alias("_at"))
     plan = plan.select(F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in ("whole", "part", "edge", "cut", "source_weight")))
     met = keyed.join(_sized(plan, len(names)), "_source")

@@ -32,45 +32,55 @@ def _remainder():
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the passes and positions of the mix.  Null sources are one source; rows without words count nothing; repeated rows stay together."""
     mixed = mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "epoch", "mix_position", "source_weight", "alpha")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; null and empty texts are scored like any other, extra columns are not read."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder() == 0)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null or wordless texts fail the base rules, null ids are never trusted."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules(_table(spark, sf_dir, "documents"), trusted)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their places; a null or empty text is its end id alone, repeated rows are packed each."""
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as audio in Matroska and read back; a null text is empty, equal texts get equal values."""
     return media_digest(_table(spark, sf_dir, "documents"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; a null or wordless text is its end alone, a null id is hashed as an empty one."""
     return lm_scores(_table(spark, sf_dir, "documents").withColumn("held_out", _remainder() == 1))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a shard of nearly equal bytes, by a map that begins anew; a null text has 16 bytes, hot repeated rows are spread."""
     placed = shard(_table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of all texts with their verdicts; null and clean texts have none, repeated rows theirs each."""
     return scan(_table(spark, sf_dir, "documents"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, empty for null html; null ids and urls come through."""
     return extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document; texts without words are linked with nothing, null ids take part in their groups."""
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("group_key", "text_key")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from modlark.llm import mixing, quality
 from tests.llm.test_near_dedup import brute
@@ -48,11 +50,26 @@ def test_run(spark, sf_dir):
 
 
 def test_stages_on_odd_rows(spark, odd, sf_dir):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-    assert docs.count() > 0
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-    assert docs.count() == 0
+    """With columns that operators use themselves, which all come through."""
+    clashing = odd.withColumns({"alpha": F.lit("mine"), "log_ratio": F.lit("mine"), "n_words": F.col("doc_id"), "found": F.lit("mine")})
+    for docs in (clashing, clashing.limit(0)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            if name != "best_fit_packing":
+                assert docs.columns == columns
+                rows = docs.collect()
+                assert all((r.alpha, r.log_ratio, r.n_words, r.found, r.kept, r.epoch, r.node) == ("mine", "mine", r.doc_id, "mine", True, 5, 4) for r in rows)
+        assert (docs.count() > 0) == (columns != [] and bool(rows))
+    assert not rows
+
+
+def test_scratch_tables_go(spark, sf_dir, monkeypatch):
+    """Only what the last stage reads is left once `run` returns."""
+    roots = []
+    made = corpus_pipeline.Scratch
+    monkeypatch.setattr(corpus_pipeline, "Scratch", lambda *a: roots.append(made(*a)) or roots[-1])
+    corpus_pipeline.run(spark, sf_dir)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(roots[0].root)
+    left = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    assert [s.getPath().getName() for s in left] == ["source_mixing"]
