@@ -7,17 +7,21 @@ described by its length, the changes between kinds of characters, the part of
 it that dictionary words cover, whether it looks like a path, and the words
 around it.  A forest fitted to labelled findings tells secrets from the
 hashes, numbers, names and placeholders that look like them.  The fitted trees
-are written as one SQL expression, so that a scan is a projection of the
+are constants of one SQL expression, so that a scan is a projection of the
 documents: no Python runs on the executors, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlark.llm.scratch import Scratch
+
 # Names that secrets are assigned to, and heads of well-known kinds.
 PASSWORD_NAMES = "password|passwd|passphrase|pwd"
 SECRET_NAMES = PASSWORD_NAMES + "|secret(?:[_-]?access)?[_-]?key|secret|token|api[_-]?key|access[_-]?key|account[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
@@ -137,31 +141,49 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined(word("a"), ":password"), joined(prose("b"), " mysql://")), (joined("user:", word("b"), "example"), joined(prose("b"), " http://")), (joined("token: ", word("a"), "_", word("b"), "_", word("c")), lead), (joined(F.upper(cut(h, 1, 8)), "-", F.upper(cut(h, 9, 8)), "-", cut(digits, 1, 4)), joined("serial ")),
     )
     rows = [F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).alias("label")) for y, kinds in ((1, secret), (0, plain)) for c, b in kinds]
-    return spark.range(n).select(F.explode(F.array(*rows)).alias("r"), prose("z").alias("w")).select("r.candidate", "r.before", F.concat(F.lit(" "), "w").alias("after"), "r.label")
+    some = lambda few: spark.range(n).select(F.explode(F.array(*few)).alias("r"), prose("z").alias("w")).select("r.candidate", "r.before", F.concat(F.lit(" "), "w").alias("after"), "r.label")
+    return reduce(DataFrame.unionByName, (some(rows[i : i + 6]) for i in range(0, len(rows), 6)))  # more at once are too long to compile
 
 
 def fit(labelled: DataFrame, max_rows: int = 50_000) -> RandomForestClassificationModel:
-    """A forest from labelled findings, of which ``max_rows`` at most are used."""
-    described = labelled.limit(max_rows).select(describe(F.col("candidate"), F.col("before"), F.col("after")).alias("c"), F.col("label").cast("double").alias("label"))
-    rows = described.select(features(F.col("c")).alias("f"), "label").select("f.*", "label")
+    """A forest from labelled findings, of which ``max_rows`` at most are used.
+
+    Findings and features are written in between: one generated function for
+    both would be too long to compile, and the forest reads them several times."""
+    scratch = Scratch(labelled.sparkSession, "secrets")
+    given = scratch.keep(labelled.limit(max_rows), "findings")
+    described = given.select(describe(F.col("candidate"), F.col("before"), F.col("after")).alias("c"), F.col("label").cast("double").alias("label"))
+    rows = scratch.keep(described.select(F.transform(F.array("c"), features)[0].alias("f"), "label").select("f.*", "label").orderBy("label", *FEATURES).coalesce(1), "features")  # the same forest on any cluster
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="0.5", seed=11).fit(rows.select("features", "label"))
 
 
 def votes(model: RandomForestClassificationModel, f: Column) -> Column:
-    """The share of trees that take a struct of features for a secret, in SQL."""
-
-    def branch(node) -> Column:
-        if not node.getClass().getSimpleName().startswith("Internal"):
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        return F.when(f[FEATURES[split.featureIndex()]] <= F.lit(float(split.threshold())), branch(node.leftChild())).otherwise(branch(node.rightChild()))
-
-    trees = [branch(t._call_java("rootNode")) for t in model.trees]
-    total = trees[0]
-    for t in trees[1:]:
-        total = total + t
-    return total / len(trees)
+    """The share of trees that take a struct of features for a secret, in SQL.
+
+    All trees' nodes are constant arrays, and a walk of `DEPTH` steps leads
+    from each root to a leaf, which leads to itself."""
+    feature, border, low, high, label, roots = [], [], [], [], [], []
+
+    def add(node) -> int:
+        at = len(feature)
+        for column, value in ((feature, 0), (border, 0.0), (low, at), (high, at), (label, float(node.prediction()))):
+            column.append(value)
+        if node.getClass().getSimpleName().startswith("Internal"):
+            feature[at], border[at] = node.split().featureIndex(), float(node.split().threshold())
+            low[at], high[at] = add(node.leftChild()), add(node.rightChild())
+        return at
+
+    for t in model.trees:
+        roots.append(add(t._call_java("rootNode")))
+    features_, borders, lows, highs, labels = (F.lit(x) for x in (feature, border, low, high, label))
+
+    def walk(values: Column, root: Column) -> Column:
+        step = lambda at, _: F.when(values[features_[at]] <= borders[at], lows[at]).otherwise(highs[at])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), root, step)
+
+    once = F.array(F.array(*(f[name] for name in FEATURES)))  # an array of one entry: evaluated once
+    return F.transform(once, lambda values: F.aggregate(F.lit(roots), F.lit(0.0), lambda n, root: n + labels[walk(values, root)]))[0] / len(roots)
 
 
 def _judged(text: Column, model: RandomForestClassificationModel) -> Column:
