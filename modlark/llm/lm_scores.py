@@ -14,12 +14,17 @@ words and pairs: their hashes are sorted, cut into ranges, and one message per
 range goes to the task that adds up that range, which answers in the same
 order.  Messages hold distinct n-grams of a block, summed before the
 shuffle, so a frequent word is one entry of each block and no hot key; no
-count table is ever held whole.
+count table is ever held whole.  A block asks ``PARTS`` ranges at most.  Where
+the corpus needs more, these are cut into finer ones: blocks are dealt to
+teams, a task merges what a team asks of a range and asks the finer ranges in
+its name, and another hands the answers out.  So there are about blocks x
+``PARTS`` and teams x ranges messages, never blocks x ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,9 @@ from modlark.llm.scratch import Scratch
 BLOCK_BYTES = (1 << 16, 1 << 23)
 #: Bytes of text for each range of n-gram hashes, and so for each task that adds up.
 BYTES_PER_RANGE = 1 << 24
+#: Ranges that a block asks itself, and blocks of a team where there are more.
+PARTS = 4096
+TEAM = 1024
 #: One training text in so many is held out when mixture weights are learned.
 HELD_OUT = 10
 #: Steps per power of two to which held-out probabilities are rounded.
@@ -114,49 +122,94 @@ class _Tokens:
             yield level, distinct, *(np.bincount(at[flag], minlength=len(distinct)).astype(np.uint32) for flag in (self.train, self.held))
 
 
+_MESSAGE = "level int, part int, block long, keys binary, counts binary, held_at binary, held binary"
+
+
+def _messages(level: int, block: int, distinct: np.ndarray, count: np.ndarray, held: np.ndarray, first: int, last: int, ranges: int) -> pa.RecordBatch:
+    """Sorted hashes of the ranges ``first`` to ``last`` with training counts, a
+    message for each range that has any; held-out ones among them by their
+    places and held-out counts."""
+    borders = np.array([(k << 64) // ranges for k in range(first + 1, last)], np.uint64)
+    cuts = np.searchsorted(distinct, borders, side="left")
+    parts = [slice(i, j) for i, j in zip(np.append(0, cuts), np.append(cuts, len(distinct)))]
+    some = [k for k, p in enumerate(parts) if p.stop > p.start]
+    places = {k: np.flatnonzero(held[parts[k]]).astype(np.uint32) for k in some}
+    cells = (
+        ([level] * len(some), pa.int32()), ([first + k for k in some], pa.int32()), ([block] * len(some), pa.int64()),
+        ([_planes(np.diff(distinct[parts[k]], prepend=np.uint64(0))) for k in some], pa.binary()), ([_planes(count[parts[k]].astype("<u4")) for k in some], pa.binary()),
+        ([_planes(places[k]) for k in some], pa.binary()), ([_planes(held[parts[k]][places[k]].astype("<u4")) for k in some], pa.binary()),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cells], names=["level", "part", "block", "keys", "counts", "held_at", "held"])
+
+
 def _asked(ranges: int):
-    """A block's messages: sorted hashes of a range with training counts, and
-    the held-out ones among them: their places and held-out counts."""
+    """A block's messages."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):  # blocks are large: one at a time
                 row = batch.slice(k, 1).to_pylist()[0]
                 for level, distinct, count, held in _Tokens(row).levels():
-                    cuts = np.searchsorted(distinct, _borders(ranges), side="left")
-                    parts = [slice(i, j) for i, j in zip(np.append(0, cuts), np.append(cuts, len(distinct)))]
-                    some = [k for k, p in enumerate(parts) if p.stop > p.start]
-                    places = {k: np.flatnonzero(held[parts[k]]).astype(np.uint32) for k in some}
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in (
-                            ([level] * len(some), pa.int32()), (some, pa.int32()), ([row["block"]] * len(some), pa.int64()),
-                            ([_planes(np.diff(distinct[parts[k]], prepend=np.uint64(0))) for k in some], pa.binary()), ([_planes(count[parts[k]]) for k in some], pa.binary()),
-                            ([_planes(places[k]) for k in some], pa.binary()), ([_planes(held[parts[k]][places[k]]) for k in some], pa.binary()))],
-                        names=["level", "part", "block", "keys", "counts", "held_at", "held"],
-                    )
+                    yield _messages(level, row["block"], distinct, count, held, 0, ranges, ranges)
 
     return ask
 
 
-def _borders(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+@dataclass
+class _Sums:
+    """What messages of a range say together: distinct hashes, each message's
+    places among them, its held-out ones, and sums of both counts."""
+
+    distinct: np.ndarray
+    own: list[np.ndarray]
+    own_held: list[np.ndarray]
+    total: np.ndarray
+    held: np.ndarray
+
+
+def _summed(table: pa.Table) -> _Sums:
+    keys = [np.cumsum(_numbers(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    counts, places, apart = ([_numbers(x, "<u4") for x in table.column(c).to_pylist()] for c in ("counts", "held_at", "held"))
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    own = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+    own_held = [o[p] for o, p in zip(own, places)]
+    total, held = (np.bincount(np.concatenate(at), np.concatenate(n), len(distinct)).astype(np.int64) for at, n in ((own, counts), (own_held, apart)))
+    return _Sums(distinct, own, own_held, total, held)
+
+
+def _merged(parts: int, finer: int):
+    """What a team asks of a range, as messages to the finer ranges in it."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        level, part, team = (table.column(c)[0].as_py() for c in ("level", "part", "team"))
+        s = _summed(table)
+        return pa.Table.from_batches([_messages(level, team, s.distinct, s.total, s.held, part * finer, (part + 1) * finer, parts * finer)])
+
+    return merge
 
 
 _ANSWER = "level int, part int, block long, totals binary, core binary, known long"
 
 
+def _told(table: pa.Table, s: _Sums, total: np.ndarray, core: np.ndarray, known: int) -> pa.Table:
+    """An answer to each message, in the order that it asked."""
+    out = table.select(["level", "part", "block"]).append_column("totals", pa.array([_planes(total[o]) for o in s.own], pa.binary()))
+    return out.append_column("core", pa.array([_planes(core[h]) for h in s.own_held], pa.binary())).append_column("known", pa.array([known] + [0] * (len(s.own) - 1)))
+
+
 def _answered(table: pa.Table) -> pa.Table:
     """Totals of a range, for each block in the order that it asked for; for
     what it holds out, also the counts without any held-out text."""
-    keys = [np.cumsum(_numbers(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    places, apart = ([_numbers(x, "<u4") for x in table.column(c).to_pylist()] for c in ("held_at", "held"))
-    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-    own = np.split(back, np.cumsum([len(k) for k in keys])[:-1])
-    total = np.bincount(back, np.concatenate([_numbers(c, "<u4") for c in table.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
-    held = [o[p] for o, p in zip(own, places)]
-    core = total - np.bincount(np.concatenate(held), np.concatenate(apart), len(distinct)).astype(np.int64)
-    known = [int((total > 0).sum())] + [0] * (len(own) - 1)
-    return table.select(["level", "part", "block"]).append_column("totals", pa.array([_planes(total[o]) for o in own], pa.binary())).append_column("core", pa.array([_planes(core[h]) for h in held], pa.binary())).append_column("known", pa.array(known))
+    s = _summed(table)
+    return _told(table, s, s.total, s.total - s.held, int((s.total > 0).sum()))
+
+
+def _handed_out(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """What a team's messages to a range are answered, by the finer ranges' answers to the team."""
+    s, rows = _summed(table), sorted(answers.to_pylist(), key=lambda a: a["part"])
+    total, core = np.concatenate([_numbers(a["totals"], "<i8") for a in rows]), np.zeros(len(s.distinct), np.int64)
+    core[s.held > 0] = np.concatenate([_numbers(a["core"], "<i8") for a in rows])
+    return _told(table, s, total, core, sum(a["known"] for a in rows))
 
 
 def _counts(answers: list[dict], column: str) -> dict[int, np.ndarray]:
@@ -257,9 +310,19 @@ def lm_scores(docs: DataFrame, held_out_column: str = "held_out", id_col: str =
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = int(np.clip(total // 100, *BLOCK_BYTES))
     blocks = scratch.keep(given.mapInArrow(_blocked(size), _BLOCK), "blocks")
-    n, n_held = (int(x or 0) for x in blocks.agg(F.sum("n_train"), F.sum("n_held")).first())
-    asked = blocks.mapInArrow(_asked(max(1, total // BYTES_PER_RANGE)), "level int, part int, block long, keys binary, counts binary, held_at binary, held binary")
-    answers = scratch.keep(asked.groupBy("level", "part").applyInArrow(_answered, _ANSWER), "answers")
+    n, n_held, n_blocks = (int(x or 0) for x in blocks.agg(F.sum("n_train"), F.sum("n_held"), F.count("*")).first())
+    ranges = max(1, total // BYTES_PER_RANGE)
+    asked = blocks.mapInArrow(_asked(min(ranges, PARTS)), _MESSAGE)
+    if ranges <= PARTS:
+        answers = scratch.keep(asked.groupBy("level", "part").applyInArrow(_answered, _ANSWER), "answers")
+    else:
+        finer = -(-ranges // PARTS)
+        asked = scratch.keep(asked.withColumn("team", F.pmod(F.xxhash64("block"), F.lit(-(-n_blocks // TEAM)))), "asked")
+        team = ["level", "part", "team"]
+        told = asked.groupBy(*team).applyInArrow(_merged(PARTS, finer), _MESSAGE).groupBy("level", "part").applyInArrow(_answered, _ANSWER)
+        told = told.withColumn("team", F.col("block")).withColumn("coarse", F.floor(F.col("part") / finer).cast("int"))
+        answers = scratch.keep(asked.groupBy(*team).cogroup(told.groupBy("level", "coarse", "team")).applyInArrow(_handed_out, _ANSWER), "answers")
+        scratch.drop("asked")
     distinct = answers.where("level = 1").agg(F.sum("known")).first()[0] or 0
 
     in_turn = not n_held

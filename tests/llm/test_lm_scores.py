@@ -100,6 +100,8 @@ def test_layout_changes_no_score(documents, odd, monkeypatch):
         for n in (3, 7):
             monkeypatch.setattr(lm_scores, "BLOCK_BYTES", (20_000 * n, 30_000 * n))
             monkeypatch.setattr(lm_scores, "BYTES_PER_RANGE", 100_000 // n)
+            monkeypatch.setattr(lm_scores, "PARTS", 4096 if n == 3 else 5)  # then by teams
+            monkeypatch.setattr(lm_scores, "TEAM", 2)
             assert one(given.repartition(n)) == first
 
 
