@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from modlark.sources.shared import written
+
 #: Terms in more than this share of all (document, term) rows are broadcast; there are 1 / SHARE of them at most.
 SHARE = 1e-4
 
@@ -101,10 +103,9 @@ def score(ids: DataFrame, counts: DataFrame, terms: DataFrame, priors: DataFrame
     Unknown terms count nothing; without a model the score is 0.5 with
     confidence 0, with one class it is that class.
     """
-    w = F.col("tf") * F.col("idf")
-    met = lookup(counts, terms).select("id", w.alias("w"), F.explode("thetas").alias("t"))
-    length = lookup(counts, terms.select("term", "df", "idf")).groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("length"))
-    sums = met.groupBy("id", F.col("t.label").alias("label")).agg(F.sum(F.col("w") * F.col("t.theta")).alias("s")).join(length, "id").select("id", "label", (F.col("s") / F.col("length")).alias("s"))
+    met = lookup(counts, terms).select("id", (F.col("tf") * F.col("idf")).alias("w"), F.explode("thetas").alias("t"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")))  # every label has all of a document's terms
+    sums = met.groupBy("id", F.col("t.label").alias("label")).agg((F.sum(F.col("w") * F.col("t.theta")) / length).alias("s"))
     each = ids.select("id").distinct().crossJoin(F.broadcast(priors)).join(sums, ["id", "label"], "left")
     joint = each.select("id", "label", (F.coalesce("s", F.lit(0.0)) + F.col("prior")).alias("s"))
     top = joint.groupBy("id").agg(F.max("s").alias("top"), F.max(F.when(F.col("label") == 1, F.col("s"))).alias("spam"), F.collect_list("s").alias("all"))
@@ -116,7 +117,7 @@ def score(ids: DataFrame, counts: DataFrame, terms: DataFrame, priors: DataFrame
 def fit(docs: DataFrame, counts: DataFrame, n_docs: int | Column, label_col: str = "label") -> tuple[DataFrame, DataFrame]:
     """`model_terms` and priors of labelled documents with an ``id``."""
     labels = docs.select("id", F.col(label_col).alias("label"))
-    weights = idf(counts, n_docs)
+    weights = written(idf(counts, n_docs), "idf")
     return model_terms(weights, fit_terms(tfidf(counts, weights), labels)), fit_priors(labels)
 
 
