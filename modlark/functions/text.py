@@ -23,7 +23,10 @@ LONG_PHONE = r"\+\d{10,15}"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 AGE = r"(?:от\s+)?\d{2}\+|(?:от\s+)?\d{2}\s*(?:лет|года?)"
 HANDLE = r"@[a-zA-Z0-9_]{3,}"
+URL = r"https?://[^\s]+|www\.[^\s]+"
+CHANNEL = r"t\.me/[a-zA-Z0-9_]+"
 _AMOUNTS = (r"\d+\s*(?:руб(?:л(?:ей|я|ь)?)?|р\.?|₽)", r"(?:\$|USD|usd)\s*\d+", r"\d+\s*(?:\$|USD|usd)", r"\d+\s*(?:к|тыс\.?|тысяч)")
+# Those of amounts have a digit, the last one in either list names currencies.
 MONEY = (*_AMOUNTS, r"\d+\s*(?:%|процент)", r"(?:доллар|евро|usdt|btc|bitcoin|eth|ethereum)")
 ENCODER_MONEY = (*_AMOUNTS, r"\d+\s*%", r"(?:доллар|евро|usdt|btc|bitcoin|ethereum)")
 COUNTED_MONEY = r"\d+\s*(?:руб|р\.?|₽|\$|usd|к|тыс|евро|usdt|btc|%)"
@@ -42,7 +45,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; only texts beyond ASCII go to Python."""
+    """Compatibility composition.  All rows cross to a Python worker, texts in
+    ASCII as nulls: only the others are sent and composed."""
     return F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
@@ -57,17 +61,21 @@ def effective_text(text: Column, caption: Column) -> Column:
 
 
 def _tagged(text: Column, money: Sequence[str], compose: bool) -> Column:
-    out = nfkc(text) if compose else text
-    out = F.regexp_replace(out, r"(?iU)https?://[^\s]+|www\.[^\s]+", "<URL>")
-    out = F.regexp_replace(out, r"(?iU)t\.me/[a-zA-Z0-9_]+", "<TG>")
+    """Every entity but currencies' names has a digit, an ``@`` or an address in
+    it; texts without any, told in one pass, skip the other patterns."""
+    given = nfkc(text) if compose else text
+    named = "(?iU)" + "|".join(m for m in money if "\\d" not in m)
+    out = F.regexp_replace(given, "(?iU)" + URL, "<URL>")
+    out = F.regexp_replace(out, "(?iU)" + CHANNEL, "<TG>")
     out = F.regexp_replace(out, HANDLE, "<TG>")
     out = F.regexp_replace(out, "(?U)" + PHONE, "<PHONE>")
     out = F.regexp_replace(out, "(?U)" + LONG_PHONE, "<PHONE>")
     out = F.regexp_replace(out, "(?iU)" + EMAIL, "<EMAIL>")
-    for pattern in money:
+    for pattern in (m for m in money if "\\d" in m):
         out = F.regexp_replace(out, "(?iU)" + pattern, "<MONEY>")
-    out = F.regexp_replace(out, "(?iU)" + AGE, "<AGE>")
-    return strip(F.regexp_replace(out, r"(?U)\s+", " "))
+    out = F.regexp_replace(F.regexp_replace(out, named, "<MONEY>"), "(?iU)" + AGE, "<AGE>")
+    some = given.rlike(r"(?iU)[@\d]|://|www\.|t\.me/")
+    return strip(F.regexp_replace(F.when(some, out).otherwise(F.regexp_replace(given, named, "<MONEY>")), r"(?U)\s+", " "))
 
 
 def normalize(text: Column, compose: bool = True) -> Column:

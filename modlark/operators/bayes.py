@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 
 from modlark.sources.shared import written
 
-#: Terms in more than this share of all (document, term) rows are broadcast; there are 1 / SHARE of them at most.
+#: Vocabularies of so many terms are broadcast (some 100 bytes each).
+MAX_TERMS = 200_000
+#: Of larger ones, terms in more than this share of all (document, term) rows are; there are 1 / SHARE of them at most.
 SHARE = 1e-4
 
 
@@ -48,14 +50,16 @@ def idf(counts: DataFrame, n_docs: int | Column) -> DataFrame:
 def lookup(counts: DataFrame, terms: DataFrame) -> DataFrame:
     """``counts`` joined with a table of one row per term that has ``df``.
 
-    Terms whose ``df`` is over ``SHARE`` of the sum are broadcast, 1 / SHARE
-    rows at most; all others meet in a shuffle, where none of them has more
-    rows than that share."""
+    Up to ``MAX_TERMS`` terms are broadcast.  Of more, those whose ``df`` is
+    over ``SHARE`` of the sum are broadcast, 1 / SHARE rows at most; all others
+    meet in a shuffle, where none of them has more rows than that share."""
+    cols = [*counts.columns, *(c for c in terms.columns if c != "term")]
+    if terms.count() <= MAX_TERMS:
+        return counts.join(F.broadcast(terms), "term").select(*cols)
     total = terms.agg(F.sum("df").alias("_total"))
     marked = terms.crossJoin(F.broadcast(total)).withColumn("_often", F.col("df") > F.col("_total") * SHARE).drop("_total")  # one row
     often = F.broadcast(marked.where("_often").drop("_often"))
     rare = counts.join(F.broadcast(marked.where("_often").select("term")), "term", "left_anti")
-    cols = [*counts.columns, *(c for c in terms.columns if c != "term")]
     return counts.join(often, "term").select(*cols).unionByName(rare.join(marked.where(~F.col("_often")).drop("_often"), "term").select(*cols))
 
 

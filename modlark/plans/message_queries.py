@@ -98,6 +98,14 @@ def q_normalize_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
+@query("SELECT event_id, 'fi ' || event_id || ' Abc' AS composed FROM events")
+def q_compose(spark, sf_dir):
+    """Ligatures, full-width digits and letters of another form are the plain ones."""
+    wide = F.translate(F.col("event_id").cast("string"), "0123456789", "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19")
+    text = F.concat(F.lit("\ufb01 "), wide, F.lit(" \uff21b\U0001d41c"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", T.nfkc(text).alias("composed"))
+
+
 def _has(pattern: str, expr: str = "lower(body)", flags: str = "") -> str:
     return f"regexp_matches({expr}, {_q(pattern)}" + (f", '{flags}')" if flags else ")")
 

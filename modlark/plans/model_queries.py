@@ -347,6 +347,20 @@ def q_encode_single(spark, sf_dir):
     return vectors.encode_single(gated(spark, sf_dir).select("message_id", "body"), "body").select("message_id", "result.*")
 
 
+@query(_ENC + ", bad AS (SELECT message_id, contains(lower(prepared), 'казино') AS refused FROM prep) SELECT message_id, NOT refused AS encoded, CASE WHEN NOT refused THEN length(prepared) END AS n FROM bad JOIN prep USING (message_id)")
+def q_encoder_retries(spark, sf_dir):
+    """An encoder that fails on a whole call for one text, and gives no vector
+    to others unless they are alone: each text gets its own vector or none."""
+
+    def encoder(texts):
+        if any("казино" in t.lower() for t in texts):
+            raise RuntimeError("refused")
+        return [[float(len(t))] if len(texts) == 1 or "доход" not in t.lower() else None for t in texts]
+
+    out = vectors.encode(gated(spark, sf_dir).select("message_id", T.encoder_text(F.col("body")).alias("prepared")), "prepared", encoder)
+    return out.select("message_id", F.col("vec").isNotNull().alias("encoded"), F.col("vec")[0].cast("long").alias("n"))
+
+
 @query(_ENC + "SELECT count(*) AS total, count(n) AS successes, count(*) - count(n) AS failures FROM enc")
 def q_encoder_stats(spark, sf_dir):
     return vectors.run_stats(_encoded(spark, sf_dir))

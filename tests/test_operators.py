@@ -76,6 +76,7 @@ def test_naive_bayes_by_hand(spark):
 @pytest.mark.parametrize("share", (1e-4, 0.05, 1.0))
 def test_frequent_terms_meet_their_weights_like_others(spark, monkeypatch, share):
     monkeypatch.setattr(bayes, "SHARE", share)
+    monkeypatch.setattr(bayes, "MAX_TERMS", 0 if share < 1 else 100)
     docs = spark.createDataFrame([(i, "aa " * (i % 3 + 1) + f"bb{i % 4} cc{i}") for i in range(60)], "id long, text string")
     counts = bayes.term_counts(docs)
     weights = bayes.idf(counts, 60)
