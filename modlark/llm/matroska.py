@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 # Element ids: fixed values of the format.
-EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
+EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE = 0x18538067, 0x1549A966, 0x2AD7B1
 TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
@@ -191,7 +191,7 @@ LACED, BLOCKS = 8, 128
 def mux(samples: bytes) -> bytes:
     """One track of 8-bit PCM samples, framed, laced, clustered and cued."""
     scale, step = 1_000_000, FRAME * 1_000_000_000 // RATE
-    head = _element(EBML, _element(DOC_TYPE, b"matroska"))
+    head = _element(EBML, _element(DOC_TYPE, b"matroska") + _uint(DOC_TYPE_VERSION, 2) + _uint(DOC_TYPE_READ_VERSION, 2))  # simple blocks came with 2
     info = _element(INFO, _uint(TIMESTAMP_SCALE, scale))
     audio = _element(AUDIO, _element(FREQUENCY, b"\x45\xfa\x00\x00") + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
     track = _element(TRACK, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _element(CODEC, b"A_PCM/INT/LIT") + _uint(DEFAULT_DURATION, step) + audio)

@@ -18,6 +18,10 @@ _CUE = pa.struct([("timestamp_ns", pa.int64()), ("track", pa.int64()), ("cluster
 GROUP = 200
 
 
+#: Tracks of a file's packets, the last packet's time, and the byte range that holds all of them.
+SPAN = ("n_tracks", "last_packet_ms", "first_byte", "end_byte")
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, GROUP):
@@ -72,45 +76,50 @@ def packet_table(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        payload, feature = [], []
+        payload, feature, spans = [], [], []
         packets = batch.column(batch.schema.get_field_index("packets"))
         for at, data in enumerate(batch.column(batch.schema.get_field_index("media")).to_pylist()):
             own = packets[at].values
             if data is None or own is None:
                 payload.append(None)
                 feature.append(None)
+                spans.append((None,) * len(SPAN))
                 continue
-            ranges = zip(own.field("offset").to_pylist(), own.field("size").to_pylist())
+            ranges = list(zip(own.field("offset").to_pylist(), own.field("size").to_pylist()))
             samples = b"".join([data[i : i + n] for i, n in ranges])
+            times = own.field("timestamp_ns").to_pylist()
+            spans.append((len(set(own.field("track").to_pylist())), max(times) // 1_000_000, min(i for i, _ in ranges), max(i + n for i, n in ranges)) if ranges else (0, None, None, None))
             payload.append(samples)
             wave = np.frombuffer(samples, np.uint8).astype(np.float64) - 128
             crossings = int(np.count_nonzero(np.diff(wave >= 0)))
             feature.append(f"mean={wave.mean():.4f};rms={np.sqrt((wave**2).mean()):.4f};crossings={crossings}" if len(wave) else "mean=;rms=;crossings=0")
         rest = [c for c in batch.schema.names if c != "packets"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([len(p.values) if p.is_valid else None for p in packets], pa.int64()), pa.array(payload, pa.binary()), pa.array(feature)], names=[*rest, "n_packets", "payload", "wave"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array([len(p.values) if p.is_valid else None for p in packets], pa.int64()), pa.array(payload, pa.binary()), pa.array(feature), *(pa.array(c, pa.int64()) for c in zip(*spans))], names=[*rest, "n_packets", "payload", "wave", *SPAN])
 
 
 def read_samples(parsed: DataFrame) -> DataFrame:
     """Replace ``packets`` by their number, ``payload`` (the bytes of their
-    ranges, one after the other) and ``wave``, features of these samples."""
+    ranges, one after the other), ``wave``, features of these samples, and `SPAN`:
+    the number of their tracks, the last one's time, and where the first range
+    begins and the last one ends."""
     rest = parsed.drop("packets")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return parsed.mapInArrow(_read, f"{kind}, n_packets long, payload binary, wave string")
+    return parsed.mapInArrow(_read, f"{kind}, n_packets long, payload binary, wave string, {', '.join(f'{c} long' for c in SPAN)}")
 
 
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as a Matroska file, parse the file, and describe both.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256`` and ``feature``.  The payload is read back from
+    media_bytes, media_sha256, feature`` and `SPAN`.  The payload is read back from
     the packets' byte ranges.  Null text: empty.  Equal texts give equal
     values; an empty table gives no rows; other columns are not read.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = "doc_id long, n_bytes long, media binary, cues array<struct<timestamp_ns: bigint, track: bigint, cluster: bigint>>, clusters bigint, n_packets long, payload binary, wave string"
+    kind = "doc_id long, n_bytes long, media binary, cues array<struct<timestamp_ns: bigint, track: bigint, cluster: bigint>>, clusters bigint, n_packets long, payload binary, wave string, " + ", ".join(f"{c} long" for c in SPAN)
     read = given.mapInArrow(lambda batches: _read(_parsed(_stored(batches))), kind)  # the three steps in one worker
     feature = F.concat_ws(";", F.concat(F.lit("packets="), "n_packets"), F.concat(F.lit("clusters="), "clusters"), F.concat(F.lit("cues="), F.size("cues")), "wave")
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), *SPAN,
     )

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from modlark.llm import toxicity
+from modlark.llm import queries, toxicity
 from tests.llm.conftest import prose
 
 
@@ -51,3 +51,11 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
 def test_given_documents(spark, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     assert toxicity.toxicity(documents, labels, F.col("doc_id") % 5 == 0).count() == documents.count()
+
+
+def test_held_out_labels_of_given_documents(spark):
+    """By the folds of the query, on more documents: toxic ones are found, clean ones left alone."""
+    found = queries.op2_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    for rows in ([r for r in found if r.held_out], [r for r in found if not r.held_out]):
+        toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+        assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.03 * len(clean) and len(toxic) >= 5
