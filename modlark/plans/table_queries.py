@@ -185,14 +185,14 @@ def q_thresholds(spark, sf_dir):
     return settings.threshold_view(_settings(spark, sf_dir))
 
 
-@query(_LOG + "SELECT id, [x FOR x IN [user_id, id % 10] IF x > 3] AS ids, id % 5 IN (0, 1, 2) AS truth FROM log")
+@query(_LOG + "SELECT id, array_to_string([x::VARCHAR FOR x IN [user_id, id % 10] IF x > 3], ',') AS ids, id % 5 IN (0, 1, 2) AS truth FROM log")
 def q_parsed_defaults(spark, sf_dir):
     """Lists of numbers and truth words, as they may be written in a configuration."""
     i = F.col("id")
     number = lambda c: F.when(c > 3, c.cast("string")).otherwise("x")
     raw = F.concat(number(F.col("user_id")), F.lit(" , "), number(i % 10), F.lit(",;"))
     word = F.element_at(F.array(*map(F.lit, (" YES", "1", "On ", "no", ""))), (i % 5 + 1).cast("int"))
-    return fx.events(spark, sf_dir).select("id", settings.int_list(raw).alias("ids"), settings.truth(word).alias("truth"))
+    return fx.events(spark, sf_dir).select("id", F.array_join(settings.int_list(raw).cast("array<string>"), ",").alias("ids"), settings.truth(word).alias("truth"))
 
 
 _DECIDED = """, adjusted AS (SELECT *, meta_proba * (CASE WHEN has_metadata AND is_channel_announcement THEN meta_downweight_announcement ELSE 1 END) * (CASE WHEN has_metadata AND reply_to_staff THEN meta_downweight_reply_to_staff ELSE 1 END)
