@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlark.llm.centroids import cluster
 from modlark.llm.html_text import extract
 from modlark.llm.lm_scores import lm_scores
 from modlark.llm.media import media_digest
@@ -18,6 +19,8 @@ from modlark.llm.quality import quality_rules
 from modlark.llm.secrets import scan
 from modlark.llm.sharding import shard
 from modlark.llm.toxicity import toxicity
+from modlark.llm.vector_codes import vector_codes
+from modlark.llm.vector_sql import OP11_SQL, OP12_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,8 +87,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("group_key", "text_key")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors; null vectors and those with null or non-finite components are dropped, null ids and labels come through."""
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 finite components; repeated rows count each."""
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_source_mixing, op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op8_secret_scans, op9_html_extraction, op10_near_dedup)}
+    return {q.__name__: q for q in (op1_source_mixing, op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op8_secret_scans, op9_html_extraction, op10_near_dedup, op11_vector_codes, op12_centroid_clustering)}
 
 
 _UPPER, _LOWER = (bytes(range(a, a + 26)).decode() for a in (65, 97))
@@ -107,4 +120,4 @@ OP10_SQL = rf"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that their contracts determine wholly."""
-    return {"op10_near_dedup": OP10_SQL}
+    return {"op10_near_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_centroid_clustering": OP12_SQL}
