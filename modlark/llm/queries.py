@@ -15,6 +15,7 @@ from modlark.llm.media import media_digest
 from modlark.llm.mixing import mix
 from modlark.llm.near_dedup import near_duplicates
 from modlark.llm.packing import pack
+from modlark.llm.pii import personal_data
 from modlark.llm.quality import quality_rules
 from modlark.llm.secrets import scan
 from modlark.llm.sharding import shard
@@ -97,8 +98,13 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text; a null text is empty, repeated rows have theirs each."""
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_source_mixing, op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op8_secret_scans, op9_html_extraction, op10_near_dedup, op11_vector_codes, op12_centroid_clustering)}
+    return {q.__name__: q for q in (op1_source_mixing, op2_toxicity, op3_quality_rules, op4_best_fit_packing, op5_media_columns, op6_lm_scoring, op7_sharding, op8_secret_scans, op9_html_extraction, op10_near_dedup, op11_vector_codes, op12_centroid_clustering, op13_pii)}
 
 
 _UPPER, _LOWER = (bytes(range(a, a + 26)).decode() for a in (65, 97))
