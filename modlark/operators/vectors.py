@@ -233,12 +233,3 @@ def representatives(df: DataFrame, prototypes: DataFrame, id_col: str, vec_col:
     """The vector nearest to each prototype, of those that have none nearer; ties by id."""
     near = assigned(df, prototypes, id_col, vec_col)
     return near.groupBy("family").agg(F.min_by(F.col(id_col), F.struct("distance", id_col)).alias(id_col), F.min("distance").alias("distance"))
-
-
-def nearest(df: DataFrame, exemplars: DataFrame, k: int, id_col: str, vec_col: str = "vec") -> DataFrame:
-    """Each row's ``k`` most similar exemplars ``(exemplar, label, vec)``, a
-    small labelled table, with a rank from 1."""
-    e = exemplars.select("exemplar", "label", F.col("vec").alias("_e"))
-    each = df.where(F.col(vec_col).isNotNull()).select(id_col, F.col(vec_col).alias("_v")).crossJoin(F.broadcast(e)).withColumn("similarity", F.round(cosine(F.col("_v"), F.col("_e")), 9))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("similarity"), "exemplar"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select(id_col, "exemplar", "label", "similarity", "rank")

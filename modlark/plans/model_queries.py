@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from modlark.config import BRAND_TERMS, LEGIT_FAMILIES, ORDER_TERMS, SPAM_FAMILIES, STORE_TERMS
 from modlark.functions import policy as P
 from modlark.functions import text as T
-from modlark.operators import bayes, evaluation, gates, history, keywords, tables, training, vectors
+from modlark.operators import bayes, evaluation, gates, history, keywords, tables, training, vector_index, vectors
 from modlark.plans.message_queries import _HIST, _LADDER, _NORM, _ODD, _PATTERN_SQL, _SCORED, _hits, gated, sql_normalize, with_history
 from modlark.plans.message_queries import _WORDS as _BODY_WORDS
 from modlark.plans.registry import query
@@ -322,7 +322,7 @@ def q_nearest_exemplars(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
     means = vectors.mean_vectors(v, "family")
     ex = means.select(F.col("family").alias("exemplar"), F.col("family").isin(*SPAM_FAMILIES).cast("int").alias("label"), "vec")
-    return vectors.nearest(v, ex, 3, "vec_id").withColumn("similarity", F.round("similarity", 6))
+    return vector_index.nearest(v, ex, 3, "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
 _PREPARED = f"prep AS (SELECT message_id, 'passage: ' || {sql_normalize('body', T.ENCODER_MONEY)} AS prepared FROM gated)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modlark.config import KEYWORDS, PATTERNS, SETTINGS, USER_CONTEXT, USER_HISTORY
 from modlark.functions import policy as P
-from modlark.operators import gates, history, review, settings, tables, training, vectors
+from modlark.operators import gates, history, lexicon, review, settings, tables, training, vectors
 from modlark.plans.message_queries import _CTX, gated, with_history
 from modlark.plans.registry import query
 from modlark.sources import fixtures as fx
@@ -261,7 +261,7 @@ def q_lexicon(spark, sf_dir):
     path = f"{_folder(spark, sf_dir)}/lexicon"
     io.write_lexicon(spark, KEYWORDS, PATTERNS, path)
     terms = io.read_lexicon(spark, path).where("kind = 'keyword'")
-    return gated(spark, sf_dir).join(F.broadcast(terms), F.expr("contains(lower(body), lower(term))")).groupBy("term").agg(F.count("*").alias("messages"))  # a lexicon of some dozen terms
+    return lexicon.term_counts(gated(spark, sf_dir), lexicon.terms_of(terms), "message_id", "body").withColumnRenamed("hits", "messages")
 
 
 @query(fx.with_tables("gated", "SELECT message_id, sha256(body) AS body_hash FROM gated"))

@@ -40,6 +40,11 @@ def read_lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
     return part("keyword", "keywords").unionByName(part("pattern", "patterns"))
 
 
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Word lists ``(name, term)`` from JSON lines; lines without a term are left out."""
+    return spark.read.json(path, schema="name string, term string").where("name is not null and term <> ''")
+
+
 def messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MESSAGE).parquet(path)
 
