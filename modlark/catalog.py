@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modlark.plans import index_queries, message_queries, model_queries, queue_queries, table_queries  # noqa: F401  they register queries
+from modlark.plans import index_queries, message_queries, model_queries, queue_queries, stream_queries, table_queries  # noqa: F401  they register queries
 from modlark.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from modlark.config import LEGIT_FAMILIES, SPAM_FAMILIES
 from modlark.functions.text import encoder_text
@@ -87,6 +88,56 @@ def run_stats(df: DataFrame, vec_col: str = "vec") -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count(vec_col).alias("successes"), F.count(F.when(F.col(vec_col).isNull(), 1)).alias("failures"))
 
 
+class EncoderRun:
+    """Figures of an encoding run, gathered by the run itself.
+
+    `watch` the encoded rows, let one action run, then ask for the `stats`; no
+    row is read a second time.  An action that is run again counts anew only
+    for a new `EncoderRun`."""
+
+    def __init__(self, spark: SparkSession, vec_col: str = "vec"):
+        self.spark, self.vec_col, self.seen, self.began = spark, vec_col, Observation(), None
+
+    def watch(self, encoded: DataFrame) -> DataFrame:
+        vec = F.col(self.vec_col)
+        self.began = time.monotonic()
+        return encoded.observe(self.seen, F.count(F.lit(1)).alias("total"), F.count(vec).alias("successes"), F.count(F.when(vec.isNull(), 1)).alias("failures"))
+
+    def stats(self) -> DataFrame:
+        """``total, successes, failures`` and ``elapsed_ms`` since `watch`."""
+        told = self.seen.get
+        row = (told["total"], told["successes"], told["failures"], int(1000 * (time.monotonic() - self.began)))
+        return self.spark.createDataFrame([row], "total long, successes long, failures long, elapsed_ms long")
+
+
+class EncoderStreamRun(StreamingQueryListener):
+    """The same figures of a stream, summed over its micro-batches.
+
+    Watch the stream's rows, and add this to ``spark.streams``."""
+
+    def __init__(self, name: str = "encoder", vec_col: str = "vec"):
+        self.name, self.vec_col = name, vec_col
+        self.total = self.successes = self.batches = self.elapsed_ms = 0
+
+    def watch(self, encoded: DataFrame) -> DataFrame:
+        return encoded.observe(self.name, F.count(F.lit(1)).alias("total"), F.count(self.vec_col).alias("successes"))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        told = event.progress.observedMetrics.get(self.name)
+        if told is not None:
+            self.total, self.successes = self.total + told["total"], self.successes + told["successes"]
+            self.batches, self.elapsed_ms = self.batches + 1, self.elapsed_ms + event.progress.batchDuration
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def degraded(capsule: Column, vec: Column, *others: Column) -> Column:
     """A capsule was there, its vector is missing; false where none of
     ``others``, the vectors of the same message, is there either, as then the

@@ -9,6 +9,7 @@ from modlark.config import BRAND_TERMS, LEGIT_FAMILIES, ORDER_TERMS, SPAM_FAMILI
 from modlark.functions import policy as P
 from modlark.functions import text as T
 from modlark.operators import bayes, evaluation, gates, history, keywords, tables, training, vector_index, vectors
+from modlark.operators.exact_split import exact_split
 from modlark.plans.message_queries import _HIST, _LADDER, _NORM, _ODD, _PATTERN_SQL, _SCORED, _hits, gated, sql_normalize, with_history
 from modlark.plans.message_queries import _WORDS as _BODY_WORDS
 from modlark.plans.registry import query
@@ -50,6 +51,14 @@ def q_split(spark, sf_dir):
     return training.split(cleaned(spark, sf_dir)).groupBy("part", "label").agg(F.count("*").alias("n"))
 
 
+@query(fx.with_tables("labelled_dirty", "").rstrip() + """, placed AS (SELECT sha256(coalesce(message, '')) AS message_hash, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY sha256(coalesce(message, '') || '#42')) <= round(0.8 * count(*) OVER (PARTITION BY label)) THEN 'train' ELSE 'test' END AS part FROM labelled_dirty)
+    SELECT message_hash, label, part, count(*) AS n FROM placed GROUP BY ALL""")
+def q_exact_split(spark, sf_dir):
+    """Four fifths of each class, exactly; copies of a message may be in both parts."""
+    out = exact_split(fx.labelled_dirty(spark, sf_dir))
+    return out.groupBy(F.sha2(F.coalesce("message", F.lit("")), 256).alias("message_hash"), "label", "part").agg(F.count("*").alias("n"))
+
+
 _WORDS = r"regexp_extract_all(lower(message), '[\p{L}\p{N}_]{2,}')"
 
 
@@ -366,6 +375,14 @@ def q_encoder_stats(spark, sf_dir):
     return vectors.run_stats(_encoded(spark, sf_dir))
 
 
+@query(_ENC + "SELECT count(*) AS total, count(n) AS successes, count(*) - count(n) AS failures, true AS timed FROM enc")
+def q_encoder_run(spark, sf_dir):
+    """The figures that a run gathers while its vectors are written."""
+    run = vectors.EncoderRun(spark)
+    written(run.watch(_encoded(spark, sf_dir)), "encoded")
+    return run.stats().select("total", "successes", "failures", (F.col("elapsed_ms") >= 0).alias("timed"))
+
+
 @query()
 def q_kmeans(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)

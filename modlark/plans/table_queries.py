@@ -128,6 +128,15 @@ def q_metrics_upsert(spark, sf_dir):
     return out.select(F.unix_millis("period_start").alias("period_ms"), "period", "spam_detected", "manual_overrides", "avg_spam_score", "version")
 
 
+@query(_ACT.rstrip() + f", {_SNAPSHOTS} SELECT epoch_ms(period_start) AS period_ms, period, spam_detected, manual_overrides, avg_spam_score, version FROM snaps")
+def q_metrics_stored(spark, sf_dir):
+    """Snapshots put into a stored table by batches: the final ones, these again, and earlier ones that come late."""
+    path, p = f"{_folder(spark, sf_dir)}/metrics", _periods(spark, sf_dir)
+    for batch in ("version = 2", "version = 2 and period = '1 hour'", "version = 1", "true"):
+        io.upsert(p.where(batch), path, ["period_start", "period"], "period_start")
+    return io.read_upserted(spark, path).select(F.unix_millis("period_start").alias("period_ms"), "period", "spam_detected", "manual_overrides", "avg_spam_score", "version")
+
+
 @query(_ACT.rstrip() + f", {_SNAPSHOTS} SELECT epoch_ms(period_start) AS period_ms, spam_detected, avg_spam_score FROM snaps WHERE period = '1 hour' ORDER BY period_start DESC LIMIT 30")
 def q_recent_snapshots(spark, sf_dir):
     hours = tables.last_write(_periods(spark, sf_dir), ["period_start", "period"], "version").where("period = '1 hour'")
@@ -402,17 +411,6 @@ def q_stream_user_history(spark, sf_dir):
     return run_to_table(out, "update")
 
 
-@query("""WITH RECURSIVE m AS (SELECT conv_id * 10 + turn AS message_id, 1000 + (conv_id * 10 + turn) % 40 AS user_id FROM conversations),
-    n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY message_id) AS k FROM m),
-    r AS (SELECT user_id, k, message_id, message_id AS since, true AS fresh FROM n WHERE k = 1
-          UNION ALL SELECT n.user_id, n.k, n.message_id, CASE WHEN n.message_id - r.since > 600 THEN n.message_id ELSE r.since END, n.message_id - r.since > 600 FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
-    SELECT user_id, message_id, fresh FROM r""")
-def q_stream_user_vectors(spark, sf_dir):
-    """Whose vector is computed anew: one is used again for ten hours."""
-    out = jobs.stream_user_vectors(_stream(spark, sf_dir, "conversations", _user_stream), reuse_seconds=36_000)
-    return run_to_table(out, "update").select("user_id", "message_id", "fresh")
-
-
 @query("SELECT DISTINCT conv_id * 10 + turn AS message_id, conv_id % 25 AS chat_id FROM conversations")
 def q_stream_dedup(spark, sf_dir):
     twice = lambda raw: _message_stream(raw).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlark.config import KEYWORDS, PATTERNS
+from modlark.operators.tables import last_write
+from modlark.sources.shared import written
 
 MESSAGE = (
     "message_id long, chat_id long, ts timestamp, user_id long, username string, chat_username string, text string, caption string, is_forwarded boolean, sender_chat_type string, reply_to_user_id long"
@@ -97,3 +100,25 @@ def cached_scores(spark: SparkSession, path: str, n: int) -> DataFrame | None:
     """Cached scores, unless they are of another number of rows."""
     found = spark.read.parquet(path)
     return found if found.count() == n else None
+
+
+def upsert(rows: DataFrame, path: str, keys: list[str], at: str, version: str = "version") -> None:
+    """Put rows into a stored table: of each key the row of the highest version stays.
+
+    The table is partitioned by the day of ``at``, one of its keys; days that
+    no row touches keep their files.  A batch that comes again, or late, changes
+    nothing.  The new partitions are written elsewhere first, so a job that fails
+    leaves the table as it was or as it will be, day by day."""
+    spark = rows.sparkSession
+    new = written(rows.withColumn("day", F.date_format(at, "yyyy-MM-dd")), "upsert")
+    both = new
+    try:
+        both = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("day").distinct()), "day", "left_semi").select(*new.columns).unionByName(new)  # days of a batch
+    except AnalysisException:  # the first batch
+        pass
+    merged = written(last_write(both, [*keys, "day"], version), "upsert")
+    merged.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("day")
