@@ -62,15 +62,21 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         at = stop
 
 
-def _end_of_unknown(data: bytes, key: int, at: int, end: int) -> int:
+#: The format nests eight levels at most; what goes deeper is no file of it.
+DEEPEST = 32
+
+
+def _end_of_unknown(data: bytes, key: int, at: int, end: int, depth: int = 0) -> int:
     """Where an element of unknown size ends: before one that it can't hold."""
+    if depth > DEEPEST:
+        raise Malformed("elements of unknown size are nested too deep")
     while at < end:
         inner, width, _ = number(data, at, keep_marker=True)
         if inner in _UPPER and (key != SEGMENT or inner in (EBML, SEGMENT)):
             return at
         size, more, unknown = number(data, at + width)
         at += width + more
-        at = _end_of_unknown(data, inner, at, end) if size == unknown else at + size
+        at = _end_of_unknown(data, inner, at, end, depth + 1) if size == unknown else at + size
     return end
 
 
@@ -123,12 +129,14 @@ def parse(data: bytes) -> Media:
         for k, (at, size) in enumerate(frames):
             media.packets.append((track, (base + time) * media.scale + k * step, bool(flags & 128) if simple else True, lacing, at, size))
 
-    def walk(start: int, stop: int, into: dict, base: int = 0) -> None:
+    def walk(start: int, stop: int, into: dict, base: int = 0, depth: int = 0) -> None:
         nonlocal segment
+        if depth > DEEPEST:
+            raise Malformed("elements are nested too deep")
         for key, a, b in elements(data, start, stop):
             if key == SEGMENT:
                 segment = a
-                walk(a, b, into)
+                walk(a, b, into, depth=depth + 1)
             elif key == CLUSTER:
                 media.clusters.append(a)
                 base = next((integer(x, y) for k, x, y in elements(data, a, b) if k == TIMESTAMP), 0)
@@ -137,22 +145,24 @@ def parse(data: bytes) -> Media:
                 block(a, b, base, key == SIMPLE_BLOCK)
             elif key == TRACK:
                 own: dict = {}
-                walk(a, b, own)
+                walk(a, b, own, depth=depth + 1)
                 media.tracks[own.get(TRACK_NUMBER, 0)] = own
             elif key == CUE:
                 own = {}
-                walk(a, b, own)
+                walk(a, b, own, depth=depth + 1)
                 media.cues.append((own.get(CUE_TIME, 0) * media.scale, own.get(CUE_TRACK, 0), segment + own.get(CUE_CLUSTER, 0)))
             elif key == EBML:
-                media.doc_type = next((data[x:y].decode() for k, x, y in elements(data, a, b) if k == DOC_TYPE), "")
+                media.doc_type = next((data[x:y].decode(errors="replace") for k, x, y in elements(data, a, b) if k == DOC_TYPE), "")
             elif key in _MASTERS:
-                walk(a, b, into, base)
+                walk(a, b, into, base, depth + 1)
             elif key == TIMESTAMP_SCALE:
                 media.scale = integer(a, b)
             elif key in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION, CHANNELS, BIT_DEPTH, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
                 into[key] = integer(a, b)
 
     walk(0, len(data), {})
+    if any(abs(x) >= 1 << 63 for row in (*media.packets, *media.cues) for x in row):
+        raise Malformed("a number is too large")
     return media
 
 

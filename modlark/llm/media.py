@@ -48,7 +48,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for data in part.column(part.num_columns - 1).to_pylist():
                 try:
                     found.append(matroska.parse(data) if data is not None else None)
-                except (matroska.Malformed, IndexError):
+                except (matroska.Malformed, IndexError, ValueError):
                     found.append(None)
             packets = pa.array([[dict(zip(("track", "timestamp_ns", "key_frame", "lacing", "offset", "size"), p)) for p in m.packets] if m else None for m in found], pa.list_(_PACKET))
             cues = pa.array([[dict(zip(("timestamp_ns", "track", "cluster"), c)) for c in m.cues] if m else None for m in found], pa.list_(_CUE))

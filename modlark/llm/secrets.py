@@ -2,7 +2,9 @@
 
 Candidates are found by a pattern: values assigned to names such as
 ``password`` or ``token``, passwords in URLs, whole private key blocks,
-well-known kinds by their heads, and long runs of token signs with a digit.  Each is
+well-known kinds by their heads, and long runs of token signs with a digit.
+Values may follow their names by a sign, as in ``password is``, ``--password``,
+``<password>`` or ``Bearer``.  Each is
 described by its length, the changes between kinds of characters, the part of
 it that dictionary words cover, whether it looks like a path, and the words
 around it.  A forest fitted to labelled findings tells secrets from the
@@ -25,6 +27,9 @@ from modlark.llm.scratch import Scratch
 # Names that secrets are assigned to, and heads of well-known kinds.
 PASSWORD_NAMES = "password|passwd|passphrase|pwd"
 SECRET_NAMES = PASSWORD_NAMES + "|secret(?:[_-]?access)?[_-]?key|secret|token|api[_-]?key|access[_-]?key|account[_-]?key|private[_-]?key|auth[_-]?key|credential|bearer"
+#: What may be assigned to; the words around a candidate are held against the longer names alone.
+NAMES = SECRET_NAMES.replace("api[_-]?key", r"api[\s_-]?key") + "|passwort|kennwort|pass"
+_IS = r"(?:[\"']?\s{0,3}(?:=>|[:=])\s{0,3}|\s{1,3}(?:is|ist|est|es)\s{1,3})"
 HEADS = "AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|xox[abpors]-|sk[-_]|pk[-_]live|AIza|eyJ|ya29|SG[.]|-----BEGIN"
 #: Words near look-alikes: ids, hashes and numbers that are no secrets.
 PLAIN_NAMES = "commit|revision|sha1|sha256|md5|checksum|digest|etag|hash|uuid|guid|id|order|invoice|card|phone|tel|isbn|version|build|page|figure|date|serial|model|ref"
@@ -43,13 +48,16 @@ HEADED = (
     "|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_=-]{8,}(?:[.][A-Za-z0-9_=+/-]*){1,4}|ya29[.][A-Za-z0-9_.-]{16,}|SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}|[MN][A-Za-z0-9_-]{22,27}[.][A-Za-z0-9_-]{6}[.][A-Za-z0-9_-]{26,}"
 )
 CANDIDATE = (
-    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-    rf"|(?<![A-Za-z0-9])(?i:{SECRET_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?!-----BEGIN )(?=[^\s\"']{{6}})[^\s\"';]*+(?:;(?![A-Za-z]+=)[^\s\"';]*+)*+"
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"  # up to the next mark: linear without an end
+    rf"|(?<![A-Za-z0-9])(?i:{NAMES}){_IS}[\"']?(?!-----BEGIN )(?=[^\s\"']{{6}})[^\s\"';]*+(?:;(?![A-Za-z]+=)[^\s\"';]*+)*+"
+    rf"|(?<![A-Za-z0-9])(?i:{PASSWORD_NAMES}){_IS}(?:\"[^\"\n]{{6,80}}(?=\")|'[^'\n]{{6,80}}(?='))"
+    rf"|(?<![A-Za-z0-9])(?:(?<=--)(?i:{NAMES})|(?i:bearer))\s{{1,3}}[\"']?(?=[^\s\"']{{6}})[^\s\"';,]*+"
+    rf"|(?<=<)(?i:{NAMES})>[^\s\"'<>;]{{6,}}+(?=</)"
     r"|(?<=://)[^\s/:@\"'<>]*+:[^\s/@\"'<>]{5,}+(?=@)"
     rf"|(?<![A-Za-z0-9+/_-])(?:{HEADED})"
     r"|(?<![A-Za-z0-9+/_-])(?!(?<=:)//)(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
 )
-_ASSIGNED = rf"^(?:(?i:{SECRET_NAMES})[\"']?\s*[:=]\s*[\"']?|[^\s/:@\"'<>]*+:)"
+_ASSIGNED = rf"^(?:(?i:{NAMES})(?:{_IS}|>|\s+)[\"']?|[^\s/:@\"'<>]*+:)"
 FEATURES = ("length", "changes", "digits", "capitals", "distinct", "dictionary", "letters", "named", "password", "plain", "filler", "path", "head")
 TREES, DEPTH = 15, 6
 #: A candidate is a secret if this share of the trees says so.
@@ -90,8 +98,8 @@ def features(c: Column) -> Column:
         F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(40.0)),
         F.lit(1.0) - F.length(F.regexp_replace(F.lower(value), "|".join(DICTIONARY), "")) / n,
         F.length(F.regexp_extract(value, "[A-Za-z]{4,}", 0)) / n,
-        F.greatest(_flag(led, SECRET_NAMES), in_url.cast("double")),
-        F.greatest(_flag(F.lower(c["name"]), f"^({PASSWORD_NAMES})"), in_url.cast("double")),
+        F.greatest(_flag(led, SECRET_NAMES), (~in_url & (c["name"] != "")).cast("double"), in_url.cast("double")),
+        F.greatest(_flag(F.lower(c["name"]), f"^({PASSWORD_NAMES}|passwort|kennwort|pass)"), in_url.cast("double")),
         _flag(around, rf"(^|[^a-z])({PLAIN_NAMES})s?([^a-z]|$)"),
         _flag(F.lower(value), FILLERS + r"|(.)\1\1\1"),
         F.greatest(_flag(value, "/.*/|[a-z]-[a-z]"), F.when(c["name"] == "", _flag(c["before"], "[/?&.#]$"))),
@@ -110,6 +118,7 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
     url = F.translate(b64, "+/", "-_")
     more = F.translate(F.regexp_replace(F.base64(F.unhex(g)), "=+$", ""), "+/", "_-")
     caps = F.upper(F.translate(F.regexp_replace(F.base64(F.unhex(g)), "[^A-Za-z0-9]", ""), "018", "ABC"))
+    letters = F.regexp_replace(F.translate(F.concat(b64, F.base64(F.unhex(g))), "0123456789+/=", "QxZvKjWyGh"), "[^A-Za-z]", "")
     prose = lambda k: F.element_at(F.array(*map(F.lit, "the of and it on by set with for to is into then was our as".split())), 1 + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(16)).cast("int"))
     word = lambda k: F.element_at(F.array(*map(F.lit, DICTIONARY)), 1 + F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))).cast("int"))
     joined = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
@@ -129,6 +138,8 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined("password=", word("a"), word("b"), word("c")), lead), (joined("passphrase: ", word("a"), "-", word("b"), "-", word("c"), "-", word("d")), lead), (joined("password: ", title("a"), cut(digits, 1, 4), "!"), lead),
         (joined(word("a"), ":", cut(url, 1, 12)), joined(prose("b"), " postgres://")), (joined(word("a"), ":", title("b"), cut(digits, 1, 3)), joined(prose("b"), " https://")), (joined("pwd=", cut(url, 1, 9), ";"), lead),
         (joined("M", cut(url, 1, 24), ".", cut(more, 1, 6), ".", cut(more, 7, 30)), lead),
+        (joined("password is ", word("a"), cut(digits, 1, 3)), joined(prose("b"), " my ")), (joined("PASS=", title("a"), cut(digits, 1, 3), cut(url, 1, 3)), joined(prose("b"), " DB_")), (joined("Bearer ", cut(letters, 1, 32)), joined("Authorization: ")), (joined("password>", title("a"), cut(url, 1, 6)), joined(prose("b"), " <")),
+        (joined("password is ", F.reverse(word("a")), cut(digits, 1, 2)), joined(prose("b"), " my ")), (joined("password ", title("a"), cut(url, 1, 5)), joined(prose("b"), " --")), (joined("password = '", word("a"), " ", title("b"), " ", cut(digits, 1, 3)), lead), (joined("API key is ", cut(letters, 1, 24)), joined(prose("b"), " our ")), (joined("passwort: ", title("a"), cut(digits, 1, 4)), lead),
     )
     plain = (
         (cut(h, 1, 40), joined("commit ")), (cut(h, 1, 64), joined("sha256 ")), (cut(h, 1, 32), joined(prose("c"), " md5 ")), (digits, joined("card number ")), (digits, lead),
@@ -136,6 +147,8 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined("/", word("a"), "/", word("b"), "/", cut(digits, 1, 6)), joined("https://example.org")), (joined("password=", word("a"), "example"), lead), (joined("token = \"your_", word("b"), "_here"), lead),
         (joined("api_key=xxxxxxxxxxxx", cut(digits, 1, 2)), lead), (joined("password: changeme", cut(digits, 1, 3)), lead), (joined(word("a"), word("b"), word("c"), cut(digits, 1, 2)), lead),
         (joined("20", cut(digits, 1, 2), "-0", cut(digits, 3, 1), "-1", cut(digits, 4, 1), "-", cut(digits, 5, 6)), joined("build ")), (joined("token: ", word("a"), word("b")), lead), (joined("secret = ", word("d")), lead),
+        (joined("password is ", word("a")), lead), (joined("token is ", word("a"), "ed"), lead), (joined("secret is ", word("a"), prose("b")), lead), (joined("bearer ", word("a"), "s"), joined(prose("b"), " the ")), (joined("pass: ", word("a"), word("b")), lead), (joined("password ", word("a"), "_", word("b")), joined(prose("b"), " --")),
+        (joined("password>", word("a"), word("b")), joined(prose("b"), " <")), (joined("password = 'the ", word("a"), " of ", word("b")), lead), (joined("api key is ", word("a"), word("b")), lead),
         (joined("AKIA", "EXAMPLE", cut(caps, 1, 9)), lead), (cut(g, 1, 40), joined("revision ")), (cut(g, 1, 32), joined("checksum ")), (joined(cut(digits, 1, 6), "-", cut(digits, 7, 8)), joined("order ")),
         (joined("password: ", word("a")), lead), (joined("passphrase = ", word("a")), lead), (joined("password=<", word("a"), "-", word("b"), ">"), lead), (joined("secret_key=${", F.upper(word("a")), "_", F.upper(word("b")), "}"), lead),
         (joined(word("a"), ":password"), joined(prose("b"), " mysql://")), (joined("user:", word("b"), "example"), joined(prose("b"), " http://")), (joined("token: ", word("a"), "_", word("b"), "_", word("c")), lead), (joined(F.upper(cut(h, 1, 8)), "-", F.upper(cut(h, 9, 8)), "-", cut(digits, 1, 4)), joined("serial ")),
@@ -227,7 +240,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None,
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
     each = given.select("doc_id", F.posexplode(_placed(_judged(F.col("text"), model))).alias("finding", "x"))
     size = F.length("x.d.candidate")
-    named = F.lower(F.regexp_extract("x.d.name", f"^(?i:{SECRET_NAMES})", 0))
+    named = F.lower(F.regexp_extract("x.d.name", f"^(?i:{NAMES})", 0))
     head = F.coalesce(F.nullif(F.regexp_extract("x.d.value", f"^({HEADS})", 0), F.lit("")), F.lit("token"))
     kind = F.when(named != "", named).when(F.col("x.d.name") != "", "url").otherwise(head)
     return each.select(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -71,3 +72,21 @@ def test_digest(odd, empty):
         expected.append((len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]), hashlib.sha256(M.mux(padded)).hexdigest()))
     assert sorted((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) for r in found) == sorted(expected)
     assert media.media_digest(empty).count() == 0
+
+
+def test_odd_bytes_are_null_and_never_crash(spark):
+    r, good = random.Random(7), M.mux(bytes(range(256)) * 9)
+    nested = b""
+    for _ in range(3_000):
+        nested = M._element(M.BLOCK_GROUP, nested)
+    unknown = (M.BLOCK_GROUP.to_bytes(1, "big") + b"\xff") * 3_000
+    rows = [M._element(M.EBML, M._element(M.DOC_TYPE, b"\xff\xfe\x80")), nested, unknown, M._element(M.CUES, M._element(M.CUE, M._element(M.CUE_TIME, b"\xff" * 9)))]
+    for _ in range(1_500):
+        data = bytearray(good)
+        for _ in range(r.randint(1, 12)):
+            data[r.randrange(len(data) if r.random() < 0.5 else 300)] = r.randrange(256)
+        rows.append(bytes(data[: r.randint(1, len(data))] if r.random() < 0.3 else data))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "doc_id long, media binary")
+    found = {x.doc_id: x.packets for x in media.parse_media(df).collect()}
+    assert len(found) == len(rows) and found[0] == [] and found[1] is found[2] is found[3] is None
+    assert M.parse(rows[0]).doc_type
