@@ -139,7 +139,7 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined(word("a"), ":", cut(url, 1, 12)), joined(prose("b"), " postgres://")), (joined(word("a"), ":", title("b"), cut(digits, 1, 3)), joined(prose("b"), " https://")), (joined("pwd=", cut(url, 1, 9), ";"), lead),
         (joined("M", cut(url, 1, 24), ".", cut(more, 1, 6), ".", cut(more, 7, 30)), lead),
         (joined("password is ", word("a"), cut(digits, 1, 3)), joined(prose("b"), " my ")), (joined("PASS=", title("a"), cut(digits, 1, 3), cut(url, 1, 3)), joined(prose("b"), " DB_")), (joined("Bearer ", cut(letters, 1, 32)), joined("Authorization: ")), (joined("password>", title("a"), cut(url, 1, 6)), joined(prose("b"), " <")),
-        (joined("password is ", F.reverse(word("a")), cut(digits, 1, 2)), joined(prose("b"), " my ")), (joined("password ", title("a"), cut(url, 1, 5)), joined(prose("b"), " --")), (joined("password = '", word("a"), " ", title("b"), " ", cut(digits, 1, 3)), lead), (joined("API key is ", cut(letters, 1, 24)), joined(prose("b"), " our ")), (joined("passwort: ", title("a"), cut(digits, 1, 4)), lead),
+        (joined("AKIA", cut(caps, 1, 9), "DDDD", cut(caps, 10, 3)), lead), (joined("password is ", F.reverse(word("a")), cut(digits, 1, 2)), joined(prose("b"), " my ")), (joined("password ", title("a"), cut(url, 1, 5)), joined(prose("b"), " --")), (joined("password = '", word("a"), " ", title("b"), " ", cut(digits, 1, 3)), lead), (joined("API key is ", cut(letters, 1, 24)), joined(prose("b"), " our ")), (joined("passwort: ", title("a"), cut(digits, 1, 4)), lead),
     )
     plain = (
         (cut(h, 1, 40), joined("commit ")), (cut(h, 1, 64), joined("sha256 ")), (cut(h, 1, 32), joined(prose("c"), " md5 ")), (digits, joined("card number ")), (digits, lead),
@@ -147,8 +147,8 @@ def example_findings(spark: SparkSession, n: int = 120) -> DataFrame:
         (joined("/", word("a"), "/", word("b"), "/", cut(digits, 1, 6)), joined("https://example.org")), (joined("password=", word("a"), "example"), lead), (joined("token = \"your_", word("b"), "_here"), lead),
         (joined("api_key=xxxxxxxxxxxx", cut(digits, 1, 2)), lead), (joined("password: changeme", cut(digits, 1, 3)), lead), (joined(word("a"), word("b"), word("c"), cut(digits, 1, 2)), lead),
         (joined("20", cut(digits, 1, 2), "-0", cut(digits, 3, 1), "-1", cut(digits, 4, 1), "-", cut(digits, 5, 6)), joined("build ")), (joined("token: ", word("a"), word("b")), lead), (joined("secret = ", word("d")), lead),
-        (joined("password is ", word("a")), lead), (joined("token is ", word("a"), "ed"), lead), (joined("secret is ", word("a"), prose("b")), lead), (joined("bearer ", word("a"), "s"), joined(prose("b"), " the ")), (joined("pass: ", word("a"), word("b")), lead), (joined("password ", word("a"), "_", word("b")), joined(prose("b"), " --")),
-        (joined("password>", word("a"), word("b")), joined(prose("b"), " <")), (joined("password = 'the ", word("a"), " of ", word("b")), lead), (joined("api key is ", word("a"), word("b")), lead),
+        (joined("password is ", word("a")), lead), (joined("token is ", word("a"), "ed"), lead), (joined("secret is ", word("a"), prose("b")), lead), (joined("bearer ", word("a"), "s"), joined(prose("b"), " the ")), (joined("pass: ", word("a"), "s"), lead), (joined("password ", word("a"), "s"), joined(prose("b"), " --")),
+        (joined("password>", word("a"), "ed"), joined(prose("b"), " <")), (joined("password = 'the ", word("a"), " of ", word("b")), lead), (joined("api key is ", word("a"), "ed"), lead),
         (joined("AKIA", "EXAMPLE", cut(caps, 1, 9)), lead), (cut(g, 1, 40), joined("revision ")), (cut(g, 1, 32), joined("checksum ")), (joined(cut(digits, 1, 6), "-", cut(digits, 7, 8)), joined("order ")),
         (joined("password: ", word("a")), lead), (joined("passphrase = ", word("a")), lead), (joined("password=<", word("a"), "-", word("b"), ">"), lead), (joined("secret_key=${", F.upper(word("a")), "_", F.upper(word("b")), "}"), lead),
         (joined(word("a"), ":password"), joined(prose("b"), " mysql://")), (joined("user:", word("b"), "example"), joined(prose("b"), " http://")), (joined("token: ", word("a"), "_", word("b"), "_", word("c")), lead), (joined(F.upper(cut(h, 1, 8)), "-", F.upper(cut(h, 9, 8)), "-", cut(digits, 1, 4)), joined("serial ")),
