@@ -23,16 +23,18 @@ from pyspark.sql import functions as F
 
 # Elements whose text is no part of the page's: those whose tags inside count for nothing, and the others.
 _RAW = frozenset("script style title textarea".split())
-_DROPPED = frozenset("noscript template svg math iframe object select button datalist audio video canvas map".split())
+_DROPPED = frozenset("noscript template svg annotation annotation-xml iframe object select button datalist audio video canvas map".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Parts of forms, whose text says nothing of what a form holds.
+_CONTROLS = frozenset("input select textarea button label legend option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_REST_TAGS = frozenset("nav header footer aside form menu head dialog figcaption".split())
+_REST_TAGS = frozenset("nav header footer aside form menu head dialog".split())
 _MAIN_TAGS = frozenset("article main".split())
 _SPLIT = re.compile(r"[-_]+")
 # Words in class, id and role names of elements that hold no main text.
@@ -44,6 +46,8 @@ _REST_NAMES = frozenset(
 )
 # Words that name such elements, and parts of an article as well: within one they are a feature among others.
 _DOUBTFUL_NAMES = frozenset("alert complementary contentinfo copyright disclaimer discussion feedback legal links responses reviews search toolbar topbar warning widget widgets".split())
+# Names of elements that hold no main text elsewhere; within an article they are a feature as well.
+_WEAK_NAMES = frozenset("banner login masthead menu menus navigation pager tags teaser".split())
 # Of these, the names of what readers write: an article among them is a comment.
 _TALK_NAMES = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 # Words that follow such a name without changing it, and words before which it tells of a state or topic.
@@ -67,6 +71,8 @@ class Names:
 
     rest: bool = False
     doubtful: bool = False
+    #: All that tells of a rest is in names of parts of articles too.
+    weak: bool = False
     #: A class is such a name as a whole.
     plainly: bool = False
     talk: bool = False
@@ -79,14 +85,17 @@ class Names:
 def names(attrs: str) -> Names:
     """Whole names count, and ends of them, but for those of a state or topic:
     ``cookie-notice`` and ``comments-area``, not ``has-sidebar`` or ``related-work``."""
-    rest = doubtful = plainly = talk = main = role_main = hidden = False
+    rest = doubtful = strong = plainly = talk = main = role_main = hidden = False
     for m in _ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
         if key not in ("class", "id", "role"):
             continue
         role_main |= key == "role" and value.strip() == "main"
+        shown = re.search(r"\w:(?:block|flex|grid|inline|table|contents)", value) is not None  # hidden on some screens alone
         for token in value.split():
+            if shown and token == "hidden":
+                continue
             parts = [p for p in _SPLIT.split(token) if p]
             main |= "main" in parts
             while len(parts) > 1 and (parts[-1] in _PLACES or parts[-1].isdigit()):
@@ -95,10 +104,12 @@ def names(attrs: str) -> Names:
                 continue
             unsure = parts[-1] in _DOUBTFUL_NAMES
             plainly |= token in _REST_NAMES or token in _DOUBTFUL_NAMES
-            rest |= parts[-1] in _REST_NAMES or (unsure and key == "role")
+            told = parts[-1] in _REST_NAMES or (unsure and key == "role")
+            rest |= told
+            strong |= told and parts[-1] not in _WEAK_NAMES
             doubtful |= unsure
             talk |= parts[-1] in _TALK_NAMES or parts[0] == "comment"
-    return Names(rest, doubtful, plainly, talk, main, role_main, hidden)
+    return Names(rest, doubtful, rest and not strong, plainly, talk, main, role_main, hidden)
 
 
 def _region(tag: str, attrs: str, outer: float, holds: bool = False) -> float:
@@ -108,14 +119,14 @@ def _region(tag: str, attrs: str, outer: float, holds: bool = False) -> float:
     if outer == REST or tag in ("html", "body"):
         return outer
     inside = outer in (MAIN, DOUBTFUL)
-    if tag in _REST_TAGS and not (tag in ("header", "figcaption") and inside) and not (tag == "form" and holds):
+    if tag in _REST_TAGS and not (tag == "header" and inside) and not (tag == "form" and holds):
         return REST
     told = names(attrs)
-    if told.hidden or (not holds and (told.rest or (told.doubtful and not inside))):
+    if told.hidden or (not holds and ((told.rest and not (inside and told.weak)) or (told.doubtful and not inside))):
         return REST
     if tag in _MAIN_TAGS or told.main:
         return MAIN
-    return DOUBTFUL if inside and told.doubtful and not holds else outer
+    return DOUBTFUL if inside and (told.doubtful or told.rest) and not holds else outer
 
 
 @dataclass
@@ -143,7 +154,7 @@ def tags(page: str) -> list[Tag]:
     while m := _TOKEN.search(page, at):
         start, at = m.span()
         name, closes, attrs = (m["tag"] or "").lower(), bool(m["end"]), m["attrs"] or ""
-        foreign, empty = bool(opened.get("svg") or opened.get("math")), attrs.endswith("/")
+        foreign, empty = bool(opened.get("svg")), attrs.endswith("/")
         if name in _RAW and not closes:
             if not (empty and foreign):
                 end = _RAW_END[name].search(page, at)
@@ -191,6 +202,26 @@ def _find_articles(found: list[Tag]) -> None:
             depth[t.name] += 1
 
 
+def _find_forms(page: str, found: list[Tag]) -> None:
+    """Set ``holds`` of forms that a page's text stands in: over a hundred words,
+    and over fifteen for each of their controls."""
+    forms: list[list] = []
+    before = None
+    for t in found:
+        if forms and before is not None and (before.closes or before.name not in _CONTROLS and before.name != "a"):
+            forms[-1][1] += len(page[before.end : t.start].split())
+        if t.name in _CONTROLS and not t.closes and forms and "hidden" not in t.attrs.lower():
+            forms[-1][2] += 1
+        if t.name == "form" and not t.closes:
+            forms.append([t, 0, 0])
+        elif t.name == "form" and forms:
+            tag, words, controls = forms.pop()
+            tag.holds |= words > max(100, 15 * controls)
+        before = t
+    for tag, words, controls in forms:  # never closed
+        tag.holds |= words > max(100, 15 * controls)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks, in order (null: none)."""
     page, out = page or "", []
@@ -207,6 +238,7 @@ def blocks(page: str | None) -> list[Block]:
 
     found = tags(page)
     _find_articles(found)
+    _find_forms(page, found)
     for k, m in enumerate(found):
         if k <= skip:
             at = m.end

@@ -148,3 +148,24 @@ def test_odd_rows(spark):
     found = H.extract(df).collect()
     assert len(found) == 5 and {r.text for r in found if r.page_id is None} == {""} and any(r.text == "deep" for r in found)
     assert H.extract(df.limit(0)).count() == 0
+
+
+STORY = "It was a long day in the old town, and many people came to see what the river had left on its banks after the storm of the week before. " * 3
+MENU = '<nav><a href="/">Home</a> <a href="/x">News</a></nav>'
+
+
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        (f"<body><form id='aspnetForm'><input type='hidden' name='v'><div class='content'><p>{STORY}</p><p>{STORY}</p></div></form></body>", [STORY, STORY]),
+        (f"<body>{MENU}<article><p>{STORY}</p><p>We have <math><mi>x</mi><mo>=</mo><mn>42</mn><annotation>x=42</annotation></math> here</p></article></body>", [STORY, "We have x=42 here"]),
+        (f"<body><article><div class='hidden md:block'><p>{STORY}</p></div><p>{STORY}</p></article></body>", [STORY, STORY]),
+        (f"<body><article><p class='article-teaser'>{STORY}</p><p>{STORY}</p></article></body>", [STORY, STORY]),
+        (f"<body><article><section class='html-tags'><p>{STORY}</p></section><section id='menu'><p>{STORY}</p></section></article></body>", [STORY, STORY]),
+        (f"<body><article><div class='tags'><a href='/a'>one</a></div><p>{STORY}</p><div class='menu'><a href='/b'>two three</a></div></article></body>", [STORY]),
+        (f"<body><div><p>{STORY}</p><figure><img><figcaption>The river after the storm</figcaption></figure><p>{STORY}</p></div></body>", [STORY, "The river after the storm", STORY]),
+        (f"<body><article><p>{STORY}</p><div class='newsletter'><p>{STORY}</p></div><div class='hidden'><p>{STORY}</p></div></article><form><label>Your name and what you think of it</label><input><button>Send</button></form></body>", [STORY]),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, kept):
+    assert H.main_text(page) == "\n".join(" ".join(k.split()) for k in kept)
