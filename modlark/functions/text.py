@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,10 +45,30 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@lru_cache(maxsize=1)
+def composable() -> str:
+    """A pattern of what composition may change: any character but those of the
+    long runs, of Latin, Greek, Cyrillic and of signs, that stay as they are and
+    compose with none before them, by the Unicode data."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    seconds = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")}
+    stays = lambda c: unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in seconds and unicodedata.category(chr(c)) != "Cn"
+    ranges = []
+    for low, high, least in ((0, 0x530, 16), (0x2010, 0x2040, 3), (0x20A9, 0x20C0, 16), (0x2600, 0x2700, 16), (0x1F300, 0x1F650, 16)):
+        run = []
+        for c in range(low, high + 1):
+            if c < high and stays(c):
+                run.append(c)
+            else:
+                ranges += [rf"\x{{{run[0]:x}}}-\x{{{run[-1]:x}}}"] if len(run) >= least else []
+                run = []
+    return "[^" + "".join(ranges) + "]"
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility composition.  All rows cross to a Python worker, texts in
-    ASCII as nulls: only the others are sent and composed."""
-    return F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+    """Compatibility composition.  All rows cross to a Python worker, but those
+    without a `composable` character, as most Russian and English texts, as nulls."""
+    return F.coalesce(_nfkc(F.when(text.rlike(composable()), text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -61,6 +61,20 @@ def policy_row(effective_settings: DataFrame) -> DataFrame:
     return effective_settings.agg(*(value(k, "text" if isinstance(v, str) else "number") for k, v in SETTINGS.items()))
 
 
+def changes(asked: DataFrame, state: DataFrame, base: DataFrame) -> DataFrame:
+    """What becomes of asked settings (key, value): ``(key, outcome)``.
+
+    ``unknown``, ``undecodable`` or ``rejected``; ``unchanged`` if the value is in
+    force already, which writes nothing; ``removed`` if it is the default, which
+    takes an override away; else ``set``.  One value for each key is asked."""
+    told = checked(asked, base)
+    now = effective(state, base).select("key", F.col("text").alias("_text"), F.col("number").alias("_number"))
+    same = F.when(F.col("kind") == "mode", F.col("new_text") == F.col("_text")).otherwise(_close(F.col("new_number"), F.col("_number")))
+    outcome = F.when(F.col("verdict") != "ok", F.col("verdict")).when(same, "unchanged").when(is_default(told), "removed").otherwise("set")
+    known = told.join(F.broadcast(now), "key").select("key", outcome.alias("outcome"))  # a row for each setting
+    return asked.select("key").join(F.broadcast(known), "key", "left").select("key", F.coalesce("outcome", F.lit("unknown")).alias("outcome"))
+
+
 def threshold_view(effective_settings: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """``(name, value, overridden)``: mode, thresholds and weights in force,
     with those that can't be overridden."""

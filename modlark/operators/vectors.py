@@ -253,7 +253,7 @@ def model_info(centroids: DataFrame, prototypes: DataFrame, fitted_at: Column, f
     return row.select(F.lit(len(features)).alias("n_features"), fitted_at.alias("fitted_at"), "centroids", "prototypes", (F.col("centroids") == 2).alias("ready"))
 
 
-def kmeans_prototypes(df: DataFrame, families: tuple[str, ...], vec_col: str = "vec", seed: int = 42, starts: int = 3) -> DataFrame:
+def kmeans_prototypes(df: DataFrame, families: tuple[str, ...], vec_col: str = "vec", seed: int = 42, starts: int = 10) -> DataFrame:
     """``(family, vec)``: the centres of as many clusters as there are families,
     the best of some starts; too few rows give the mean for all of them."""
     rows = df.where(F.col(vec_col).isNotNull()).select(array_to_vector(F.col(vec_col)).alias("features")).persist()

@@ -14,7 +14,8 @@ from modlark.plans.message_queries import _HIST, _LADDER, _NORM, _ODD, _PATTERN_
 from modlark.plans.message_queries import _WORDS as _BODY_WORDS
 from modlark.plans.registry import query
 from modlark.sources import fixtures as fx
-from modlark.sources.shared import written
+from modlark.sources import models
+from modlark.sources.shared import job_folder, written
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,18 @@ def _fitted(spark, sf_dir):
     return docs, counts, written(terms, "terms"), priors
 
 
+def _loaded(spark, sf_dir):
+    """Terms and priors of that model, from where it was stored when it was last fitted to the same files."""
+
+    def fit(path: str) -> None:
+        _, _, terms, priors = _fitted(spark, sf_dir)
+        terms.write.parquet(f"{path}/terms")
+        priors.write.parquet(f"{path}/priors")
+
+    path = models.stored(fx.labelled(spark, sf_dir), "bayes", fit)
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors")
+
+
 @query(_base(4) + ", " + _score_sql("labelled", "labelled") + " SELECT id, round(p_spam, 6) AS p_spam, round(confidence, 6) AS confidence FROM judged")
 def q_nb_score(spark, sf_dir):
     docs, counts, terms, priors = _fitted(spark, sf_dir)
@@ -223,11 +236,12 @@ def _features(spark, sf_dir):
     rows = with_history(spark, sf_dir)
     has = {"msg": F.lit(True), "ctx": F.size(history.chat_context(F.col("chat_history"), F.col("user_id"))) > 0, "user": F.size(history.user_context(F.col("user_history"))) > 0}
     rows = rows.withColumns({f"has_{k}": cond for k, cond in has.items()}).drop("chat_history", "user_history")
+    n = max(1, v.count())
     for k, (a, b) in _VECTOR_OF.items():
         of = v.select(F.col("vec_id").alias("_id"), F.col("vec").alias(f"{k}_vec"))
-        rows = rows.join(of, (F.col("message_id") * a + b) % 500 == F.col("_id"), "left").drop("_id").withColumn(f"{k}_vec", F.when(F.col(f"has_{k}"), F.col(f"{k}_vec")))
+        rows = rows.join(of, (F.col("message_id") * a + b) % n == F.col("_id"), "left").drop("_id").withColumn(f"{k}_vec", F.when(F.col(f"has_{k}"), F.col(f"{k}_vec")))
     rows = keywords.keyword_filter(rows).withColumns(T.patterns(F.col("body"))).withColumn("kw_score", F.col("keyword_score"))
-    _, _, terms, priors = _fitted(spark, sf_dir)
+    terms, priors = _loaded(spark, sf_dir)
     told = gated(spark, sf_dir).select(F.col("message_id").alias("id"), F.col("body").alias("message"))
     judged = bayes.score(told.select("id"), written(bayes.term_counts(told, "id", "message"), "asked"), terms, priors)
     rows = rows.join(judged.select(F.col("id").alias("message_id"), F.col("p_spam").alias("tfidf_score")), "message_id", "left")
@@ -244,7 +258,7 @@ _FEATURE_SQL = (
 _FEATURES_SQL = (
     fx.with_tables("gated vectors labelled", "").rstrip() + f", {_NORM}, {_HIST}, {_SCORED}, {_CENT}, {_PROTO}, {_WIDE}, {_fit_sql('labelled')}, told AS (SELECT message_id AS id, body AS message FROM gated), {_score_sql('told', 'labelled')}, "
     + "joined AS (SELECT scored.*, p_spam, wide.*, m.vec AS msg_vec, CASE WHEN len(cc) > 0 THEN c.vec END AS ctx_vec, CASE WHEN len(uc) > 0 THEN u.vec END AS user_vec, len(cc) > 0 AS has_ctx, len(uc) > 0 AS has_user FROM scored JOIN ctx USING (message_id) JOIN judged ON judged.id = message_id CROSS JOIN wide "
-    + " ".join(f"LEFT JOIN vectors {x} ON {x}.vec_id = (message_id * {a} + {b}) % 500" for x, (a, b) in zip("mcu", _VECTOR_OF.values())) + "), "
+    + " ".join(f"LEFT JOIN vectors {x} ON {x}.vec_id = (message_id * {a} + {b}) % (SELECT count(*) FROM vectors)" for x, (a, b) in zip("mcu", _VECTOR_OF.values())) + "), "
     + "feats AS (SELECT *, " + ", ".join(f"coalesce(({_FEATURE_SQL[f]})::DOUBLE, 0) AS f_{f}" for f in (*vectors.FEATURES, "has_contact")) + " FROM joined), "
     + "rows AS (SELECT *, [" + ", ".join(f"f_{f}" for f in vectors.FEATURES) + "] AS f, " + str(_COEF) + "::DOUBLE[] AS k FROM feats), "
     + "parts AS (SELECT *, 1 / (1 + exp(-(list_dot_product(f, k) - 0.5))) AS p, list_sort([{'by': -round(abs(f[i] * k[i]), 9), 'name': " + fx._sql_list(vectors.FEATURES) + "[i]} FOR i IN range(1, len(k) + 1)]) AS led FROM rows) "
@@ -383,6 +397,23 @@ def q_encoder_run(spark, sf_dir):
     return run.stats().select("total", "successes", "failures", (F.col("elapsed_ms") >= 0).alias("timed"))
 
 
+_BY_FAMILY = f"{_VEC}, fam AS (SELECT unnest({fx._sql_list(SPAM_FAMILIES + LEGIT_FAMILIES)}) AS family)"
+
+
+@query(_BY_FAMILY + " SELECT family, true AS is_nearest, true AS of_its_cluster FROM fam")
+def q_kmeans_representatives(spark, sf_dir):
+    """What holds of each family's representative: it belongs to the cluster, and no other of its vectors is nearer to the centre."""
+    v, parts = vectors.with_vectors(fx.vectors(spark, sf_dir)), []
+    for label, families in ((1, SPAM_FAMILIES), (0, LEGIT_FAMILIES)):
+        mine = v.where(F.col("is_spam") == label).select("vec_id", "vec")
+        centres = written(vectors.kmeans_prototypes(mine, families), "centres")
+        near = written(vectors.assigned(mine, centres, "vec_id").select("vec_id", "family", "distance"), "assigned")
+        reps = vectors.representatives(mine, centres, "vec_id").select(F.col("family").alias("of"), F.col("vec_id").alias("chosen"))
+        met = near.join(F.broadcast(reps), near["family"] == F.col("of"))  # a row for each family
+        parts.append(met.groupBy("family").agg((F.min_by("distance", F.col("vec_id") != F.col("chosen")) == F.min("distance")).alias("is_nearest"), F.max(F.col("vec_id") == F.col("chosen")).alias("of_its_cluster")))
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def q_kmeans(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
@@ -412,6 +443,29 @@ def _calibrated(spark, sf_dir):
     return rows.select("id", "label", model.probability(F.col("features")).alias("p"))
 
 
+_SCORE_NAMES = ("kw_score", "tfidf_score", "meta_proba")
+
+
+@query(fx.with_tables("scores", "SELECT id, true AS as_before_storing, 0.0::DOUBLE AS p_without, 'model_not_ready' AS error_without, 0.0::DOUBLE AS p_of_others, 'features_differ' AS error_of_others FROM scores"))
+def q_meta_stored(spark, sf_dir):
+    """A calibrated model and the order of its features, stored and loaded; and what is said without a model, or with one of other features."""
+    rows = vectors.feature_row(fx.scores(spark, sf_dir), _SCORE_NAMES)
+    before, root = [], job_folder(spark, "meta")
+
+    def fit(path: str) -> None:
+        before.append(training.calibrate(rows, "id"))
+        models.save_meta(spark, models.Meta(before[0], _SCORE_NAMES), f"{path}/meta")
+
+    path = models.stored(fx.scores(spark, sf_dir), "meta", fit)
+    meta = models.load_meta(spark, f"{path}/meta")
+    out = models.score(rows, meta, _SCORE_NAMES)
+    expected = (before[0] if before else meta.calibrated).probability(F.col("features"))
+    out = out.withColumn("as_before_storing", F.col("error").isNull() & (F.abs(F.col("p_spam") - expected) < 1e-12)).drop("p_spam", "error")
+    out = models.score(out, models.load_meta(spark, f"{root}/none"), _SCORE_NAMES).withColumnsRenamed({"p_spam": "p_without", "error": "error_without"})
+    out = models.score(out, meta, _SCORE_NAMES[::-1]).withColumnsRenamed({"p_spam": "p_of_others", "error": "error_of_others"})
+    return out.select("id", "as_before_storing", "p_without", "error_without", "p_of_others", "error_of_others")
+
+
 @query()
 def q_calibrated(spark, sf_dir):
     return _calibrated(spark, sf_dir).select("id", "label", F.round("p", 6).alias("p_spam"))
@@ -450,10 +504,10 @@ def q_char_model(spark, sf_dir):
 
 @query()
 def q_pattern_trees(spark, sf_dir):
-    """Boosted trees on patterns of messages; a message is spam if the keyword filter finds two matches."""
-    rows = keywords.keyword_filter(gates.metadata_flags(gated(spark, sf_dir), fx.whitelist(spark))).withColumns(T.patterns(F.col("body")))
-    rows = rows.select(F.col("message_id").alias("id"), (F.col("keyword_score") >= 0.6).cast("int").alias("label"), F.length("body").alias("text_length"), *(c for c in training.PATTERN_FEATURES if c != "text_length"))
-    out = training.pattern_trees(rows, F.pmod(F.xxhash64("id"), F.lit(5)) > 0, rounds=20)
+    """A hundred boosted trees on patterns of labelled documents; what is known of messages alone is 0 for them."""
+    rows = fx.labelled(spark, sf_dir).where("message is not null").withColumns(T.patterns(F.col("message")))
+    rows = rows.select("id", "label", F.length("message").alias("text_length"), *(c for c in training.PATTERN_FEATURES if c in rows.columns))
+    out = training.pattern_trees(rows, F.pmod(F.xxhash64("id"), F.lit(5)) > 0)
     return out.select("id", "label", "fitted", F.round("p_spam", 6).alias("p_spam"))
 
 

@@ -62,10 +62,23 @@ def q_incident_report(spark, sf_dir):
     return tables.incident_report(rows)
 
 
-@query(_LOG + ", v AS (SELECT DISTINCT user_id FROM log WHERE action = 'kick') SELECT user_id, count(*) AS n FROM log SEMI JOIN v USING (user_id) GROUP BY user_id")
+@query(fx.with_tables("messages log", "").rstrip() + """, m AS (SELECT user_id, min(ts) AS a, max(ts) AS b, last(username ORDER BY ts, message_id) AS username FROM messages WHERE user_id IS NOT NULL GROUP BY user_id),
+    asked AS (SELECT DISTINCT 1000 + user_id % 60 AS user_id FROM log WHERE action = 'kick'), seen AS (SELECT 1000 + user_id % 60 AS user_id, max(created_at) AS c FROM log GROUP BY 1)
+    SELECT user_id, username, epoch_us(a) AS first_us, epoch_us(greatest(b, c)) AS last_us FROM m SEMI JOIN asked USING (user_id) LEFT JOIN seen USING (user_id)""")
 def q_user_lookup(spark, sf_dir):
-    e = fx.events(spark, sf_dir)
-    return tables.lookup(e, e.where("action = 'kick'")).groupBy("user_id").agg(F.count("*").alias("n"))
+    """Profiles of users that were kicked, their last time raised to that of the log; users without one are none."""
+    e = fx.events(spark, sf_dir).select((1000 + F.col("user_id") % 60).alias("user_id"), F.col("created_at").alias("ts"), "action")
+    profiles = tables.touch(tables.user_profiles(fx.messages(spark, sf_dir)), e)
+    return tables.lookup(profiles, e.where("action = 'kick'")).select("user_id", "username", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"))
+
+
+@query(fx.with_tables("messages", "SELECT message_id, chat_id, user_id, epoch_ms(ts) AS ms, sha256(coalesce(text, '')) AS text_hash FROM messages"))
+def q_topic_messages(spark, sf_dir):
+    """Messages from the values of a topic's records: binary JSON, among it tombstones and what is no message."""
+    m = fx.messages(spark, sf_dir)
+    values = m.select(F.to_json(F.struct(*(c.split()[0] for c in io.MESSAGE.split(", ")))).cast("binary").alias("value"))
+    noise = m.select(F.when(F.col("message_id") % 2 == 0, F.lit("no json")).cast("binary").alias("value"))
+    return io.decode_messages(values.unionByName(noise)).select("message_id", "chat_id", "user_id", F.unix_millis("ts").alias("ms"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
 
 
 @query(_ACT + "SELECT l.id, l.chat_id, l.message_id FROM log l ANTI JOIN actions a ON a.event_id = l.id WHERE action = 'notify' ORDER BY created_at DESC, l.id DESC LIMIT 200")
@@ -188,6 +201,17 @@ def q_settings_reset(spark, sf_dir):
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
 
 
+@query(_SET.rstrip() + _EFFECTIVE + """, early AS (SELECT key, value, CASE WHEN base.key IS NULL THEN 'unknown' END AS unknown FROM (SELECT key, arg_max(value, version) AS value FROM settings_log WHERE version % 5 = 0 AND value IS NOT NULL GROUP BY key) LEFT JOIN base USING (key)),
+    told AS (SELECT e.key, unknown, b.text AS bt, b.number AS bn, CASE WHEN b.text IS NOT NULL AND value LIKE '"%"' THEN replace(lower(trim(trim(value, '"'))), '_', '-') END AS t, CASE WHEN b.text IS NULL THEN TRY_CAST(value AS DOUBLE) END AS n FROM early e LEFT JOIN base b USING (key))
+    SELECT key, CASE WHEN unknown IS NOT NULL THEN unknown WHEN t IS NULL AND n IS NULL THEN 'undecodable' WHEN NOT coalesce(t IN ('manual', 'semi-auto', 'auto', 'legacy-manual'), n BETWEEN 0 AND 1) THEN 'rejected'
+        WHEN coalesce(t = eff.text, abs(n - eff.number) <= 1e-9) THEN 'unchanged' WHEN coalesce(t = bt, abs(n - bn) <= 1e-9) THEN 'removed' ELSE 'set' END AS outcome FROM told LEFT JOIN eff USING (key)""")
+def q_setting_changes(spark, sf_dir):
+    """What becomes of the last value of each setting among every fifth change, if it is asked for now."""
+    log = fx.settings_log(spark, sf_dir)
+    asked = log.where("version % 5 = 0 and value is not null").groupBy("key").agg(F.max_by("value", "version").alias("value"))
+    return settings.changes(asked, tables.settings_state(log), settings.defaults(spark))
+
+
 @query(_SET.rstrip() + _EFFECTIVE + """ SELECT key AS name, coalesce(text, printf('%.4f', number)) AS value, overridden FROM eff
     UNION ALL SELECT * FROM (VALUES ('meta_downweight_brand', '0.7000', false), ('degraded_step', '0.0500', false), ('legacy_keyword', '0.6000', false), ('legacy_tfidf', '0.6500', false))""")
 def q_thresholds(spark, sf_dir):

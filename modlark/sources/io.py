@@ -61,8 +61,14 @@ def message_stream(spark: SparkSession, path: str, source: str = "parquet", opti
     """An unbounded feed: files by default, or ``source="kafka"`` with JSON values."""
     if source != "kafka":
         return spark.readStream.format(source).schema(MESSAGE).options(**(options or {})).load(path)
-    raw = spark.readStream.format("kafka").options(**(options or {})).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), MESSAGE).alias("m")).select("m.*")
+    return decode_messages(spark.readStream.format("kafka").options(**(options or {})).load())
+
+
+def decode_messages(raw: DataFrame) -> DataFrame:
+    """Messages from the binary JSON ``value`` of a topic's records; tombstones
+    and records that are no JSON objects with an id of a message are left out."""
+    told = raw.where(F.col("value").isNotNull()).select(F.from_json(F.col("value").cast("string"), MESSAGE).alias("m"))
+    return told.select("m.*").where("message_id is not null")
 
 
 def append_events(events: DataFrame, path: str) -> None:

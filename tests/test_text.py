@@ -62,3 +62,15 @@ def test_patterns(spark):
 def test_links(spark):
     df = spark.createDataFrame([(None, -100, 5), ("name", 1, 6)], "u string, c long, m long")
     assert [r.x for r in df.select(T.message_link(F.col("u"), F.col("c"), F.col("m")).alias("x")).collect()] == ["https://t.me/c/100/5", "https://t.me/name/6"]
+
+
+def test_what_is_not_sent_is_not_composed():
+    """No text without a composable character changes: each character alone and after each other."""
+    import re
+    import unicodedata
+
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U" + m[1].zfill(8), T.composable()))
+    kept = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not pattern.search(chr(c))]
+    assert len(kept) > 900 and set("абвгдёжйяЯЁ«»—“”₽…é".replace("…", "")) <= set(kept) and "…" not in kept
+    assert all(unicodedata.normalize("NFKC", a + "".join(kept)) == a + "".join(kept) for a in kept)
+    assert all(unicodedata.normalize("NFKC", "".join(b + a for b in kept)) == "".join(b + a for b in kept) for a in kept)
