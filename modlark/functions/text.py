@@ -54,7 +54,7 @@ def composable() -> str:
     seconds = {int(p[1], 16) for p in parts if len(p) == 2 and not p[0].startswith("<")}
     stays = lambda c: unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in seconds and unicodedata.category(chr(c)) != "Cn"
     ranges = []
-    for low, high, least in ((0, 0x530, 16), (0x2010, 0x2040, 3), (0x20A9, 0x20C0, 16), (0x2600, 0x2700, 16), (0x1F300, 0x1F650, 16)):
+    for low, high, least in ((0, 0xA0, 16), (0xA0, 0xC0, 1), (0xC0, 0x530, 16), (0x2010, 0x2040, 3), (0x20A9, 0x20C0, 16), (0x2600, 0x2700, 16), (0x1F300, 0x1F650, 16)):
         run = []
         for c in range(low, high + 1):
             if c < high and stays(c):
