@@ -108,12 +108,22 @@ def calibrate(rows: DataFrame, id_col: str, folds: int = 3) -> Calibrated:
     return Calibrated(parts)
 
 
-def isotonic(fitted: DataFrame, score_col: str, applied: DataFrame, label_col: str = "label") -> DataFrame:
+def isotonic(fitted: DataFrame, score_col: str, applied: DataFrame, label_col: str = "label", points: int = 100_000) -> DataFrame:
     """Rows of ``applied`` with ``calibrated``, a monotone function of the score
-    that is fitted to the labels of ``fitted``, between its points linear."""
-    vector = lambda df: df.where(F.col(score_col).isNotNull()).withColumn("_f", array_to_vector(F.array(F.col(score_col).cast("double"))))
-    model = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol="calibrated").fit(vector(fitted).withColumn("_y", F.col(label_col).cast("double")))
-    return model.transform(vector(applied)).drop("_f")
+    that is fitted to the labels of ``fitted``, between its points linear.
+
+    Labels are averaged for each score before the fit, which gets a weighted
+    point for each; of more than ``points`` scores those in one of as many
+    equal ranges are one point, at their mean."""
+    vector = lambda df, c: df.withColumn("_f", array_to_vector(F.array(F.col(c).cast("double"))))
+    score, label = F.col(score_col).cast("double"), F.col(label_col).cast("double")
+    each = written(fitted.where(score.isNotNull()).groupBy(score.alias("_x")).agg(F.avg(label).alias("_y"), F.count(label).cast("double").alias("_w")), "isotonic")
+    n, low, high = each.agg(F.count("*"), F.min("_x"), F.max("_x")).first()
+    if n > points:
+        mean = lambda c: (F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(c)
+        each = written(each.groupBy(F.floor((F.col("_x") - low) * (points / (high - low))).alias("_bin")).agg(mean("_x"), mean("_y"), F.sum("_w").alias("_w")), "isotonic")
+    model = IsotonicRegression(featuresCol="_f", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(vector(each, "_x"))
+    return model.transform(vector(applied.where(score.isNotNull()), score_col)).drop("_f")
 
 
 def predict(rows: DataFrame, model: LogisticRegressionModel, features_col: str = "features") -> DataFrame:

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from modlark.operators import vectors
+from modlark.operators import training, vectors
 from modlark.operators.exact_split import exact_split
 from modlark.sources import io
 from modlark.streaming import jobs
@@ -141,3 +141,12 @@ def test_a_stream_counts_itself(spark, tmp_path):
     finally:
         spark.streams.removeListener(run)
     assert (run.total, run.successes) == (2, 1) and run.batches >= 1
+
+
+def test_isotonic_points_are_bounded(spark):
+    df = spark.range(4000).select(F.col("id"), (F.col("id") / 4000).alias("x"), (F.pmod(F.xxhash64("id"), F.lit(4000)) < F.col("id")).cast("int").alias("label"))
+    exact = {r.id: r.calibrated for r in training.isotonic(df, "x", df).collect()}
+    few = {r.id: r.calibrated for r in training.isotonic(df, "x", df, points=200).collect()}
+    assert len(exact) == len(few) == 4000 and max(abs(exact[i] - few[i]) for i in exact) < 0.1
+    steps = [few[i] for i in sorted(few)]
+    assert steps == sorted(steps)
