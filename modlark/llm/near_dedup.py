@@ -45,6 +45,8 @@ MISSED = 1e-6
 #: Rows of blocks that go to a task together.
 PACK_ROWS = 20_000
 PACK_TEXTS = 3_000
+#: Shingles of texts that go to a task together, about, and a block's at least.
+PACK_SHINGLES = 2_000_000
 #: Texts whose words are numbered together.
 GROUP = 2_000
 #: Blocks with more pairs than this for each of their texts are counted at once, so many shingles at a time.
@@ -267,19 +269,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     member = scratch.keep(member.select("key", "band", "node", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")), "member")
     scratch.drop("banded", "again")
 
-    def packed(df: DataFrame, rows: int, at_once: int):
-        n = max(1, -(-rows // at_once))
+    def packed(df: DataFrame, n: int):
         return df.withColumn("pack", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n))).groupBy("pack")
 
     cells = "key long, band int, i int, j int, chunk int, node long"
     sized = member.join(classes.select("node", "n_shingles", "registers"), "node")
-    met = scratch.keep(packed(sized, member.count(), PACK_ROWS).applyInArrow(_met(cut), cells), "met")
+    met = scratch.keep(packed(sized, 1 + member.count() // PACK_ROWS).applyInArrow(_met(cut), cells), "met")
     need = classes.join(met.select("node").distinct(), "node", "left_semi")
     shown = need.select("shown.*", "node", "n_shingles", "registers", "digest")
     named = given.withColumn("id_text", F.coalesce(F.col("id").cast("string"), F.lit(""))).select("id_text", "text_key", "text")
     texts = named.join(shown.select("id_text", "text_key"), ["id_text", "text_key"], "left_semi").groupBy("id_text", "text_key").agg(F.first("text").alias("text"))
     texts = shown.join(texts, ["id_text", "text_key"]).drop("id_text", "text_key")
-    links = packed(met.join(texts, "node"), met.count(), PACK_TEXTS).applyInArrow(_confirmed(size, percent, cut), "a long, b long")
+    rows, shingles = met.join(classes.select("node", "n_shingles"), "node").agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    links = packed(met.join(texts, "node"), 1 + max(rows // PACK_TEXTS, shingles // PACK_SHINGLES)).applyInArrow(_confirmed(size, percent, cut), "a long, b long")
     roots = scratch.keep(components(links, scratch), "roots")
     scratch.drop("member", "met")
 
