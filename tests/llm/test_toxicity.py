@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from modlark.llm import queries, toxicity
+from modlark.llm import queries, toxicity, words
 from tests.llm.conftest import prose
 
 
@@ -59,3 +62,41 @@ def test_held_out_labels_of_given_documents(spark):
     for rows in ([r for r in found if r.held_out], [r for r in found if not r.held_out]):
         toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
         assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.03 * len(clean) and len(toxic) >= 5
+
+
+def forward(texts, labels, table, soft, bias):
+    """The model read literally, text by text: its loss and scores."""
+    loss, scores = 0.0, []
+    for text, y in zip(texts, labels):
+        w, logits = words.split(text), []
+        for at in range(0, len(w), toxicity.SEGMENT):
+            part = [np.mean([table[g] for g in toxicity.subwords(x)], axis=0) for x in w[at : at + toxicity.SEGMENT]]
+            two = np.mean(part, axis=0) @ soft + bias
+            logits.append(two[1] - two[0])
+        z = np.log(np.mean(np.exp(logits))) if logits else None
+        scores.append(1 / (1 + math.exp(-(z if logits else bias[1] - bias[0]))))
+        if logits:
+            loss += math.log1p(math.exp(z)) - y * z
+    return loss / len(texts), scores
+
+
+def test_scores_and_gradients_equal_the_literal_model():
+    rng = np.random.default_rng(4)
+    texts, labels = ["you old blockhead and more words", "fine day", "a", "you you you", "one two three four"], np.array([1, 0, 1, 0, 1], np.float32)
+    table, soft, bias = rng.normal(0, 0.3, (toxicity.BUCKETS, toxicity.DIM)), rng.normal(0, 0.5, (toxicity.DIM, 2)), np.array([0.1, -0.2])
+    batch = toxicity._Batch(texts, labels, {})
+    found = batch.gradients(table, soft, bias)
+    step = 1e-5
+    used = sorted({g for t in texts for w in words.split(t) for g in toxicity.subwords(w)})
+    places = [(0, (g, k)) for g in used[::7] for k in (0, 5)] + [(1, (k, c)) for k in range(toxicity.DIM) for c in (0, 1)] + [(2, (c,)) for c in (0, 1)]
+    for which, at in places:
+        both = []
+        for sign in (1, -1):
+            theta = [table.copy(), soft.copy(), bias.copy()]
+            theta[which][at] += sign * step
+            both.append(forward(texts, labels, *theta)[0])
+        assert abs((both[0] - both[1]) / (2 * step) - found[which][at]) < 1e-4, (which, at)
+    assert not np.delete(found[0], used, axis=0).any()
+    model = toxicity.Model(table @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
+    scores = toxicity.score_texts([*texts, "", None], toxicity._Gains(model.gain), model.bias)
+    assert np.allclose(scores, forward([*texts, "", None], [0] * 7, table, soft, bias)[1], atol=1e-6)
