@@ -132,6 +132,20 @@ def search(index: VectorIndex, queries: DataFrame, k: int, id_col: str, vec_col:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("query", id_col)
 
 
+def probes_for(index: VectorIndex, queries: DataFrame, k: int, id_col: str, vec_col: str = "vec", share: float = 0.95, sample: int = 200) -> int:
+    """In how many cells ``share`` of the exact ``k`` neighbours are found.
+
+    Measured on about ``sample`` queries, chosen by a hash of their ids: where,
+    in the order of cells by their nearness to a query, its neighbours' cells are."""
+    n = queries.count()
+    some = written(queries.where(F.pmod(F.xxhash64(id_col, F.lit("probes")), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20)).select(id_col, vec_col), "index-sample")
+    exact = search(index, some, k, id_col, vec_col)
+    order = _whole(some, vec_col, index.dim).select(id_col, index.cells_of(F.col(vec_col), len(index.centres)).alias("_order"))
+    met = exact.join(index.vectors.select("item", "cell"), "item").join(F.broadcast(order), id_col)  # of a bounded sample
+    least = met.agg(F.percentile(F.array_position("_order", F.col("cell")), share)).first()[0]
+    return len(index.centres) if least is None else max(1, math.ceil(least))
+
+
 def recall(found: DataFrame, exact: DataFrame, id_col: str) -> DataFrame:
     """``queries, links`` and ``recall``: the share of exact neighbours that were found."""
     met = exact.select(id_col, "item").join(found.select(id_col, "item", F.lit(1).alias("_hit")), [id_col, "item"], "left")

@@ -14,9 +14,6 @@ from modlark.sources.shared import job_folder
 
 _NEAR = """WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id AS item, label, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
     near AS (SELECT vec_id, item, label, round(list_cosine_similarity(v, w), 9) AS similarity FROM q CROSS JOIN e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, item) <= 10)"""
-#: Cells looked into: of about the square root of the number of vectors.
-PROBES = 24
-
 
 def _vectors(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("vec"))
@@ -33,10 +30,11 @@ def q_neighbours(spark, sf_dir):
 
 @query(_NEAR + " SELECT count(DISTINCT vec_id) AS queries, count(*) AS links, true AS nine_tenths_found FROM near")
 def q_index_recall(spark, sf_dir):
-    """What the index finds in a few cells, against all exact neighbours."""
+    """What the index finds in some of its cells, as many as a sample of queries needs, against all exact neighbours."""
     items, asked = _vectors(spark, sf_dir)
     index = vector_index.build(items, "vec_id")
-    met = vector_index.recall(vector_index.search(index, asked, 10, "vec_id", probes=PROBES), vector_index.search(index, asked, 10, "vec_id"), "vec_id")
+    probes = vector_index.probes_for(index, asked, 10, "vec_id")
+    met = vector_index.recall(vector_index.search(index, asked, 10, "vec_id", probes=probes), vector_index.search(index, asked, 10, "vec_id"), "vec_id")
     return met.select("queries", "links", (F.col("recall") >= 0.9).alias("nine_tenths_found"))
 
 

@@ -55,6 +55,9 @@ def test_few_cells_find_most(spark):
     index = vector_index.build(df, "id", cells=20)
     exact = vector_index.search(index, df, 5, "id")
     assert vector_index.recall(vector_index.search(index, df, 5, "id", probes=8), exact, "id").first().recall >= 0.9
+    probes = vector_index.probes_for(index, df, 5, "id", share=0.9)
+    assert 1 <= probes < 20
+    assert vector_index.recall(vector_index.search(index, df, 5, "id", probes=probes), exact, "id").first().recall >= 0.85
     plan = vector_index.search(index, df, 5, "id", probes=8)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastExchange" not in plan
 
