@@ -7,15 +7,16 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from modlark.functions.text import strip
 from modlark.operators import bayes
-from modlark.sources.shared import written
+from modlark.sources.shared import job_folder, written
 
 
 def clean(samples: DataFrame) -> DataFrame:
@@ -132,9 +133,15 @@ def predict(rows: DataFrame, model: LogisticRegressionModel, features_col: str =
     return out.withColumn("p_spam", vector_to_array("probability")[1]).select(*rows.columns, "p_spam")
 
 
-@F.udf(VectorUDT())
-def _sparse(size, parts):
-    return SparseVector(size, sorted((p["at"], p["w"]) for p in parts or []))
+def _with_sparse(rows: DataFrame, size: int, parts: str) -> DataFrame:
+    """``rows`` with sparse ``features`` from an array of (at, w), written once: a
+    vector is stored as a struct of its size, places and values, and read as a vector."""
+    by_place = F.array_sort(F.coalesce(F.col(parts), F.array().cast("array<struct<at:int,w:double>>")))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform(by_place, lambda p: p["at"].cast("int")).alias("indices"), F.transform(by_place, lambda p: p["w"].cast("double")).alias("values"))
+    told, path = rows.withColumn("features", stored).drop(parts), f"{job_folder(rows.sparkSession, 'sparse')}/table"
+    told.write.parquet(path)
+    schema = StructType([f if f.name != "features" else StructField("features", VectorUDT()) for f in told.schema.fields])
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def char_model(docs: DataFrame, fitted_on: Column, terms: int = 10_000) -> DataFrame:
@@ -148,8 +155,7 @@ def char_model(docs: DataFrame, fitted_on: Column, terms: int = 10_000) -> DataF
     weights = written(weights.withColumn("at", at), "char-terms")
     weighted = bayes.tfidf(counts, weights, sublinear=True).join(F.broadcast(weights.select("term", "at")), "term")
     vectors = weighted.groupBy("id").agg(F.collect_list(F.struct("at", "w")).alias("parts"))  # `terms` parts
-    rows = docs.select("id", "label", fitted_on.alias("_train")).join(vectors, "id", "left").withColumn("features", _sparse(F.lit(terms), "parts"))
-    rows = written(rows.drop("parts"), "char-rows")
+    rows = _with_sparse(docs.select("id", "label", fitted_on.alias("_train")).join(vectors, "id", "left"), terms, "parts")
     data = balanced_weights(rows.where("_train")).withColumn("label", F.col("label").cast("double"))
     model = LogisticRegression(weightCol="weight", regParam=1.0 / max(1, data.count()), standardization=False, maxIter=100).fit(data)
     return model.transform(rows).select("id", "label", F.col("_train").alias("fitted"), vector_to_array("probability")[1].alias("p_spam"))
