@@ -22,6 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modlark.llm import trees
 from modlark.llm.scratch import Scratch
 
 # Names that secrets are assigned to, and heads of well-known kinds.
@@ -172,31 +173,8 @@ def fit(labelled: DataFrame, max_rows: int = 50_000) -> RandomForestClassificati
 
 
 def votes(model: RandomForestClassificationModel, f: Column) -> Column:
-    """The share of trees that take a struct of features for a secret, in SQL.
-
-    All trees' nodes are constant arrays, and a walk of `DEPTH` steps leads
-    from each root to a leaf, which leads to itself."""
-    feature, border, low, high, label, roots = [], [], [], [], [], []
-
-    def add(node) -> int:
-        at = len(feature)
-        for column, value in ((feature, 0), (border, 0.0), (low, at), (high, at), (label, float(node.prediction()))):
-            column.append(value)
-        if node.getClass().getSimpleName().startswith("Internal"):
-            feature[at], border[at] = node.split().featureIndex(), float(node.split().threshold())
-            low[at], high[at] = add(node.leftChild()), add(node.rightChild())
-        return at
-
-    for t in model.trees:
-        roots.append(add(t._call_java("rootNode")))
-    features_, borders, lows, highs, labels = (F.lit(x) for x in (feature, border, low, high, label))
-
-    def walk(values: Column, root: Column) -> Column:
-        step = lambda at, _: F.when(values[features_[at]] <= borders[at], lows[at]).otherwise(highs[at])
-        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), root, step)
-
-    once = F.array(F.array(*(f[name] for name in FEATURES)))  # an array of one entry: evaluated once
-    return F.transform(once, lambda values: F.aggregate(F.lit(roots), F.lit(0.0), lambda n, root: n + labels[walk(values, root)]))[0] / len(roots)
+    """The share of trees that take a struct of features for a secret, in SQL."""
+    return trees.total(model.trees, [1.0] * len(model.trees), FEATURES, DEPTH, f) / len(model.trees)
 
 
 def _judged(text: Column, model: RandomForestClassificationModel) -> Column:
