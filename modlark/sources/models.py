@@ -22,8 +22,9 @@ def stored(data: DataFrame, name: str, fit: Callable[[str], None]) -> str:
     Within an application it is fitted once for the same files of the same
     times; it is deleted when the application ends."""
     spark = data.sparkSession
-    times = [spark.read.format("binaryFile").load(f).select(F.unix_millis("modificationTime"), "length").first() for f in data.inputFiles()[:64]]
-    key = (spark.sparkContext.applicationId, name, tuple(sorted(data.inputFiles())), tuple(map(tuple, times)))
+    files = sorted(set(data.inputFiles()))
+    told = spark.read.format("binaryFile").load(files).agg(F.max("modificationTime"), F.sum("length"), F.count("*")).first() if files else ()
+    key = (spark.sparkContext.applicationId, name, tuple(files), tuple(told))
     if key not in _STORED:
         path = job_folder(spark, name)
         fit(path)

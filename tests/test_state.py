@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modlark.operators import training, vectors
 from modlark.operators.exact_split import exact_split
-from modlark.sources import io
+from modlark.sources import io, models
 from modlark.streaming import jobs
 from modlark.streaming.run import run_to_table, stored_state
 
@@ -150,3 +150,28 @@ def test_isotonic_points_are_bounded(spark):
     assert len(exact) == len(few) == 4000 and max(abs(exact[i] - few[i]) for i in exact) < 0.1
     steps = [few[i] for i in sorted(few)]
     assert steps == sorted(steps)
+
+
+def test_a_model_is_fitted_once_for_the_same_files(spark, tmp_path):
+    put(spark, [(1,), (2,)], f"{tmp_path}/data", "id long")
+    fits = []
+
+    def stored():
+        return models.stored(spark.read.parquet(f"{tmp_path}/data"), "test", fits.append)
+
+    assert stored() == stored() and len(fits) == 1
+    put(spark, [(3,)], f"{tmp_path}/data", "id long")
+    assert stored() == fits[1] != fits[0] and len(fits) == 2
+
+
+def test_a_model_that_is_not_ready(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.5, 1.0])], "id long, features array<double>")
+    meta = models.Meta(training.Calibrated([([1.0, -1.0], 0.5, 2.0, 0.1), ([0.0, 1.0], 0.0, 1.0, 0.0)]), ("a", "b"))
+    models.save_meta(spark, meta, f"{tmp_path}/meta")
+    loaded = models.load_meta(spark, f"{tmp_path}/meta")
+    assert loaded == meta and loaded.coefficients() == [0.5, 0.0]
+    row = models.score(df, loaded, ("a", "b")).first()
+    assert row.error is None and abs(row.p_spam - (1 / (1 + 2.718281828459045**-0.1) + 1 / (1 + 2.718281828459045**-1)) / 2) < 1e-9
+    for other, names, error in ((loaded, ("b", "a"), "features_differ"), (None, ("a", "b"), "model_not_ready"), (models.load_meta(spark, f"{tmp_path}/none"), ("a", "b"), "model_not_ready")):
+        row = models.score(df, other, names).first()
+        assert (row.p_spam, row.error) == (0.0, error)
