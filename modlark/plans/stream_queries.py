@@ -80,8 +80,8 @@ def q_stream_history_stats(spark, sf_dir):
     folder = job_folder(spark, "history")
     run_to_table(jobs.stream_history(_stream(spark, sf_dir, "conversations", _message_stream)), "update", f"{folder}/chats")
     run_to_table(jobs.stream_history(_stream(spark, sf_dir, "conversations", _user_stream), USER_HISTORY, key="user_id"), "update", f"{folder}/users")
-    chats = stored_state(spark, f"{folder}/chats", "texts").agg(F.countDistinct("key.chat_id").alias("chats"), F.count("*").alias("buffered"))
-    users = stored_state(spark, f"{folder}/users", "texts").agg(F.countDistinct("key.user_id").alias("users"), F.count("*").alias("user_texts"))
+    chats = stored_state(spark, f"{folder}/chats", "texts").agg(F.countDistinct("key.chat_id").alias("chats"), F.sum(F.lit(1)).alias("buffered"))
+    users = stored_state(spark, f"{folder}/users", "texts").agg(F.countDistinct("key.user_id").alias("users"), F.sum(F.lit(1)).alias("user_texts"))
     return chats.crossJoin(F.broadcast(users))  # one row each
 
 

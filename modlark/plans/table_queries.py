@@ -380,9 +380,11 @@ def q_score_cache(spark, sf_dir):
 # streams: the tables as files, read to their end
 def _stream(spark: SparkSession, sf_dir: str, table: str, derive) -> DataFrame:
     path = f"{sf_dir}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, name = path.rsplit("/", 1)
-    return derive(spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(folder if _is_file(spark, path) else path))
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "false")
+    if _is_file(spark, path):  # a stream reads folders: of this one, the table's file alone
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
+    return derive(reader.parquet(path))
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
