@@ -6,9 +6,11 @@ import random
 from collections import Counter, OrderedDict
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from modlark import catalog
 from modlark.operators import training, vectors
 from modlark.operators.exact_split import exact_split
 from modlark.sources import io, models
@@ -175,3 +177,24 @@ def test_a_model_that_is_not_ready(spark, tmp_path):
     for other, names, error in ((loaded, ("b", "a"), "features_differ"), (None, ("a", "b"), "model_not_ready"), (models.load_meta(spark, f"{tmp_path}/none"), ("a", "b"), "model_not_ready")):
         row = models.score(df, other, names).first()
         assert (row.p_spam, row.error) == (0.0, error)
+
+
+def told_by_sql(name, folder):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for p in Path(folder).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS FROM '{p}/*.parquet'")
+    found = con.execute(catalog.oracle_sql()[name])
+    return [d[0] for d in found.description], found.fetchall()
+
+
+@pytest.mark.parametrize("rows", (1.0, 0.0))
+@pytest.mark.parametrize("name", ("q_stream_history_stats", "q_stream_dedup", "q_stream_history", "q_stream_user_history", "q_stream_user_vectors", "q_stream_metrics", "q_stream_verdicts"))
+def test_streams_read_tables_of_several_files(spark, sf_dir, tmp_path, name, rows):
+    for table in ("conversations", "events"):
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        df.where(F.lit(rows > 0)).repartition(3 if rows else 1).write.parquet(f"{tmp_path}/{table}.parquet")
+    names, expected = told_by_sql(name, tmp_path)
+    found = catalog.queries()[name](spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+    assert expected or not rows
