@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from modlark.config import Policy
 from modlark.functions import policy as P
 from modlark.operators import bayes, evaluation, gates, history, keywords, review, settings, tables, training, vectors
+from modlark.plans import model_queries
 from modlark.sources import fixtures, io
 
 
@@ -85,6 +87,18 @@ def test_frequent_terms_meet_their_weights_like_others(spark, monkeypatch, share
     assert sorted((r.id, r.term, r.tf, r.df) for r in found.collect()) == sorted((r.id, r.term, r.tf, r.df) for r in counts.join(weights, "term").collect())
 
 
+def test_terms_are_counted_where_a_document_is(spark):
+    counts = bayes.term_counts(spark.createDataFrame([(1, "aa bb aa"), (1, "aa"), (2, None)], "id long, text string"))
+    assert sorted(map(tuple, counts.collect())) == [(1, "aa", 3), (1, "bb", 1)]
+    told = re.findall(r"hashpartitioning\(([^)]*)\)", counts._jdf.queryExecution().executedPlan().toString())
+    assert told and all(re.fullmatch(r"id#\d+L, \d+", x) for x in told)
+
+
+def test_feature_rows_carry_no_texts_of_the_history(spark, sf_dir):
+    plan = model_queries._features(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan  # nothing is normalised
+
+
 def test_character_runs_stay_within_words(spark):
     row = spark.createDataFrame([("Ab  c",), ("",), (None,)], "t string").select(bayes.char_tokens(F.col("t")).alias("r")).collect()
     assert row[0].r == [" ", "a", "b", " ", " a", "ab", "b ", " ab", "ab ", " ", "c", " ", " c", "c ", " c "] and row[1].r == [] == row[2].r
@@ -198,6 +212,16 @@ def test_kmeans_of_too_few_rows_is_the_mean(spark):
     assert {tuple(r.vec) for r in vectors.kmeans_prototypes(df, ("a", "b", "c")).collect()} == {(2.0, 1.0)}
 
 
+def test_nearest_prototypes_shuffle_nothing(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (2, [9.0, 9.0]), (3, None)], "id long, vec array<double>")
+    centres = spark.createDataFrame([("b", [0.0, 0.0]), ("a", [0.0, 0.0]), ("c", [9.0, 8.0])], "family string, vec array<double>")
+    found = vectors.assigned(rows, centres, "id")
+    assert sorted((r.id, r.vec, r.family, r.distance) for r in found.collect()) == [(1, [0.0, 0.0], "a", 0.0), (2, [3.0, 4.0], "a", 5.0), (2, [9.0, 9.0], "c", 1.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortAggregate" not in plan
+    assert vectors.assigned(rows, centres.limit(0), "id").count() == 0
+
+
 def test_profiles_keep_the_last_name_even_if_null(spark):
     m = spark.createDataFrame([(1, 10, "a", 1), (2, 10, None, 2)], "message_id long, user_id long, username string, s long").withColumn("ts", F.timestamp_seconds("s"))
     p = tables.user_profiles(m)
