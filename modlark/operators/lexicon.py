@@ -2,8 +2,9 @@
 
 One automaton finds all terms of a lexicon in a single pass over a text, so
 the work doesn't grow with their number.  Terms whose total size is below a
-bound are sent to the tasks; a larger lexicon is dealt into shards by a hash,
-and texts are read once for each.  No text is shuffled, and no text meets a
+bound are sent to the tasks; a larger lexicon loses the terms that no word of
+the texts can hold, is dealt into shards by a hash, and texts are read once for
+each.  No text is shuffled, and no text meets a
 term that it doesn't hold.
 """
 
@@ -16,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modlark.sources.shared import written
+
 #: Characters of the terms of a shard at most, about: an automaton takes some 100 bytes for each.
 SHARD = 4_000_000
+#: By so many of their first characters the terms are looked for among words.
+START = 16
 
 
 def terms_of(table: DataFrame, column: str = "term") -> DataFrame:
@@ -32,6 +37,19 @@ def _shards(keys: DataFrame, size: int) -> tuple[int, Column]:
     return n, F.pmod(F.xxhash64("key"), F.lit(n))
 
 
+def _possible(keys: DataFrame, words: DataFrame) -> DataFrame:
+    """``keys`` without those that can't occur: a key without a blank lies within
+    one of the distinct ``words``, and so do its first ``START`` characters.
+
+    A word meets the lexicon by the pieces of it that are as long, so this work
+    grows with the words and with the keys, not with their product."""
+    pieces = F.expr(f"flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({START}, length(word) - i + 1)), n -> substring(word, i, n))))")
+    starts = words.select(F.explode(F.array_distinct(pieces)).alias("_start")).distinct()
+    blank = F.col("key").rlike(r"[\x20\x09-\x0D]")
+    met = keys.where(~blank).withColumn("_start", F.substring("key", 1, START)).join(starts, "_start", "left_semi").select("key")
+    return met.unionByName(keys.where(blank))
+
+
 def term_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, size: int = SHARD) -> DataFrame:
     """``(id, term)`` for each text and each term of `terms_of` that occurs in
     it, in any case.
@@ -41,6 +59,10 @@ def term_hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, si
     keys = terms.select("key").distinct()
     n, shard = _shards(keys, size)
     given = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("text <> ''")
+    if n > 1:  # each shard reads all texts
+        words = given.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
+        keys = written(_possible(keys, words), "keys")
+        n, shard = _shards(keys, size)
     kind = given.schema["id"].dataType.simpleString()
     out = given.limit(0).select("id", F.lit("").alias("key"))
     for k in range(n):

@@ -83,6 +83,13 @@ def test_terms_in_texts(spark, size):
     assert counts == {x: sum(term == x for _, term in found) for _, x in found}
 
 
+def test_terms_of_no_word_are_in_no_shard(spark):
+    words = spark.createDataFrame([("zabcd" + "x" * 40,), ("q",), ("",)], "word string").where("word <> ''")
+    keys = ["abc", "x" * 30, "x" * 16 + "y", "no", "q", "qq", "a b", "zabcd" + "x" * 40]
+    left = lexicon._possible(spark.createDataFrame([(k,) for k in keys], "key string"), words)
+    assert sorted(r.key for r in left.collect()) == sorted(set(keys) - {"no", "qq"})
+
+
 def test_a_lexicon_has_no_nested_loop(spark):
     df = spark.createDataFrame([(1, "some text")], "id long, text string")
     terms = lexicon.terms_of(spark.range(100_000).selectExpr("concat('t', id) as term"))
