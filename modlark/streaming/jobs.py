@@ -17,6 +17,12 @@ from modlark.operators.review import exact_mean
 from modlark.operators.vectors import Encoder, hashed_encoder
 
 
+def _joined(texts: list[str | None]) -> str | None:
+    """As SQL joins an array: without nulls, and null if there is nothing else."""
+    some = [t for t in texts if t is not None]
+    return "|".join(some) if some or not texts else None
+
+
 class _History(StatefulProcessor):
     """The last texts of a chat or user, as a list state of bounded length."""
 
@@ -27,11 +33,11 @@ class _History(StatefulProcessor):
         self.texts = handle.getListState("texts", "text string", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([part[["ts", "message_id", "norm"]] for part in rows]).sort_values(["ts", "message_id"])
+        batch = pd.concat([part[["ts", "message_id", "norm"]] for part in rows]).sort_values(["ts", "message_id", "norm"])
         held = [t[0] for t in self.texts.get()]
         out = []
         for message_id, text in zip(batch["message_id"], batch["norm"]):
-            out.append((key[0], message_id, len(held), "|".join(held[::-1][: self.shown])))
+            out.append((key[0], message_id, len(held), _joined(held[::-1][: self.shown])))
             held = [*held, text][-self.rows :]
         self.texts.put([(t,) for t in held])
         yield pd.DataFrame(out, columns=[self.key, "message_id", "history_size", "last_texts"])
@@ -44,8 +50,9 @@ def stream_history(messages: DataFrame, rows: int = CHAT_HISTORY, idle_ms: int |
     """For each message, how much history its chat or user (``key``) has, and
     the newest ``shown`` texts of it.
 
-    Rows of a micro-batch are ordered by time, so one worker holds times, ids
-    and texts of a key's rows in one micro-batch, which the source's options
+    Rows of a micro-batch are ordered by time, id and text, so that the result
+    is one for any arrival, ids that come twice included.  One worker holds times,
+    ids and texts of a key's rows in one micro-batch, which the source's options
     (such as ``maxFilesPerTrigger``) bound.  With ``idle_ms`` the state of
     keys that are idle for so long expires, by the clock; such a stream never
     runs out of batches, so it is for continuous triggers.  Needs the RocksDB
@@ -64,7 +71,7 @@ class _UserVectors(StatefulProcessor):
         self.vectors = handle.getMapState("vectors", "user_id long", "since double, used long, vec array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([part[["ts", "message_id", "user_id", "norm"]] for part in rows]).sort_values(["ts", "message_id"])
+        batch = pd.concat([part[["ts", "message_id", "user_id", "norm"]] for part in rows]).sort_values(["ts", "message_id", "user_id", "norm"])
         held = OrderedDict(sorted(((k[0], v) for k, v in self.vectors.iterator()), key=lambda x: x[1][1]))
         before, turn, out = dict(held), max((v[1] for v in held.values()), default=0), []
         for ts, message_id, user, text in zip(batch["ts"], batch["message_id"], batch["user_id"].tolist(), batch["norm"]):

@@ -198,3 +198,26 @@ def test_streams_read_tables_of_several_files(spark, sf_dir, tmp_path, name, row
     found = catalog.queries()[name](spark, str(tmp_path)).select(names).collect()
     assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
     assert expected or not rows
+
+
+@pytest.mark.parametrize("name, key, rows, shown", (("q_stream_history", "conv_id % 25", 12, 4), ("q_stream_user_history", "1000 + (conv_id * 10 + turn) % 40", 10, 5)))
+def test_histories_are_one_for_any_arrival(spark, tmp_path, name, key, rows, shown):
+    """Turns over 9 repeat a message's id, which the query's SQL leaves open: the text decides."""
+    talk = [(c, t, f"{c} {t}") for c in (0, 25, 26, 50) for t in range(300)]
+    seen = []
+    for way in (1, -1):
+        folder = f"{tmp_path}/{way}"
+        spark.createDataFrame(talk[::way], "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+        seen.append(sorted(map(tuple, catalog.queries()[name](spark, folder).collect()), key=repr))
+    m = f"SELECT conv_id * 10 + turn AS message_id, {key} AS k, md5(text) AS norm FROM '{tmp_path}/1/conversations.parquet/*.parquet'"
+    expected = duckdb.sql(f"""SELECT k, message_id, len(held)::INTEGER, array_to_string(list_reverse(held)[1:{shown}], '|') FROM (SELECT *, coalesce(list(norm) OVER (
+        PARTITION BY k ORDER BY message_id, norm NULLS LAST ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING), []) AS held FROM ({m}))""").fetchall()
+    assert seen[0] == seen[1] == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("name", ("q_stream_history", "q_stream_user_history"))
+def test_histories_hold_null_texts(spark, tmp_path, name):
+    talk = [(c, t, f"{c} {t}" if c > 1 and t % 3 else None) for c in (0, 1, 25, 26) for t in range(8)]
+    spark.createDataFrame(talk, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names, expected = told_by_sql(name, tmp_path)
+    assert sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).select(names).collect()), key=repr) == sorted(expected, key=repr)
