@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,7 +15,6 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
-from pyspark.sql.window import Window
 
 from modlark.functions.text import strip
 from modlark.operators import bayes
@@ -133,29 +135,89 @@ def predict(rows: DataFrame, model: LogisticRegressionModel, features_col: str =
     return out.withColumn("p_spam", vector_to_array("probability")[1]).select(*rows.columns, "p_spam")
 
 
-def _with_sparse(rows: DataFrame, size: int, parts: str) -> DataFrame:
-    """``rows`` with sparse ``features`` from an array of (at, w), written once: a
-    vector is stored as a struct of its size, places and values, and read as a vector."""
-    by_place = F.array_sort(F.coalesce(F.col(parts), F.array().cast("array<struct<at:int,w:double>>")))
-    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform(by_place, lambda p: p["at"].cast("int")).alias("indices"), F.transform(by_place, lambda p: p["w"].cast("double")).alias("values"))
-    told, path = rows.withColumn("features", stored).drop(parts), f"{job_folder(rows.sparkSession, 'sparse')}/table"
+def _char_codes(text: str) -> np.ndarray:
+    """The runs of `bayes.char_tokens` in a lower-cased text, words parted by blanks,
+    as numbers: three code points of 21 bits each, that lie as the runs do in order."""
+    words = [w for w in text.split(" ") if w]
+    if not words:
+        return np.zeros(0, "int64")
+    s = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le"), "<u4").astype("int64") + 1  # 0: no character
+    between = (s[:-1] == 33) & (s[1:] == 33)  # two blanks: of two words
+    one, mid = s << 42, s << 21
+    return np.concatenate([one, (one[:-1] | mid[1:])[~between], (one[:-2] | mid[1:-1] | s[2:])[~(between[:-1] | between[1:])]])
+
+
+def _lists(lengths, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype("int32")), pa.array(flat))
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
+def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``terms`` and ``tfs`` in place of the text: its character runs,
+    as numbers, and how often each occurs.  Each text is cut in its own row; nothing
+    is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _in_parts(batches):
+            held = [np.unique(_char_codes(t), return_counts=True) for t in batch.column(text_col).to_pylist()]
+            lengths, (terms, tfs) = [len(t) for t, _ in held], map(np.concatenate, zip(*held))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), _lists(lengths, terms), _lists(lengths, tfs.astype("int32"))], names=[*others, "terms", "tfs"])
+
+    others = [c for c in docs.columns if c != text_col]
+    lowered = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"(?U)\s+", " ")
+    schema = StructType([*(docs.schema[c] for c in others), *StructType.fromDDL("terms array<long>, tfs array<int>")])
+    return docs.select(*others, lowered.alias(text_col)).mapInArrow(count, schema)
+
+
+def char_vectors(counted: DataFrame, weights: list[tuple[int, float]], size: int) -> DataFrame:
+    """Rows of `char_counts` with sparse ``features`` in place of their terms, of
+    length 1: (1 + ln tf) x idf of each (term, idf) in ``weights``, at its place there."""
+    order = np.argsort([t for t, _ in weights]) if weights else np.zeros(0, "int64")
+    vocabulary = np.array([t for t, _ in weights], "int64")[order]
+    idfs = np.array([idf for _, idf in weights], "float64")[order]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _in_parts(batches):
+            n, terms, tfs = batch.num_rows, batch.column("terms"), batch.column("tfs").flatten().to_numpy()
+            flat, row = terms.flatten().to_numpy(), np.repeat(np.arange(n), terms.value_lengths().to_numpy())
+            met = np.searchsorted(vocabulary, flat)
+            known = np.flatnonzero(vocabulary[np.minimum(met, len(vocabulary) - 1)] == flat) if len(vocabulary) else np.zeros(0, "int64")
+            met, row = met[known], row[known]
+            w, at = (1.0 + np.log(tfs[known])) * idfs[met], order[met]
+            w, by_place = w / np.sqrt(np.bincount(row, w * w, n))[row], np.lexsort((at, row))
+            lengths = np.bincount(row, minlength=n)
+            stored = [pa.array(np.zeros(n, "int8")), pa.array(np.full(n, size, "int32")), _lists(lengths, at[by_place].astype("int32")), _lists(lengths, w[by_place])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.StructArray.from_arrays(stored, names=["type", "size", "indices", "values"])], names=[*others, "features"])
+
+    others = [c for c in counted.columns if c not in ("terms", "tfs")]
+    schema = StructType([*(counted.schema[c] for c in others), *StructType.fromDDL("features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")])
+    return counted.mapInArrow(weigh, schema)
+
+
+def _as_vectors(told: DataFrame) -> DataFrame:
+    """``told``, written once: a sparse vector is stored as a struct of its size,
+    places and values, and read as a vector."""
+    path = f"{job_folder(told.sparkSession, 'sparse')}/table"
     told.write.parquet(path)
     schema = StructType([f if f.name != "features" else StructField("features", VectorUDT()) for f in told.schema.fields])
-    return rows.sparkSession.read.schema(schema).parquet(path)
+    return told.sparkSession.read.schema(schema).parquet(path)
 
 
 def char_model(docs: DataFrame, fitted_on: Column, terms: int = 10_000) -> DataFrame:
     """``(id, label, p_spam)`` of ``docs`` (id, text, label): TF-IDF of character
     runs within words (tf by its logarithm, the ``terms`` most frequent ones),
-    and a balanced logistic model of the rows where ``fitted_on`` holds."""
-    counts = written(bayes.term_counts(docs, split=bayes.char_tokens), "char-counts")
-    train = docs.where(fitted_on)
-    weights = bayes.idf(counts.join(train.select("id"), "id", "left_semi"), train.count()).orderBy(F.desc("df"), "term").limit(terms)
-    at = F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1  # `terms` rows
-    weights = written(weights.withColumn("at", at), "char-terms")
-    weighted = bayes.tfidf(counts, weights, sublinear=True).join(F.broadcast(weights.select("term", "at")), "term")
-    vectors = weighted.groupBy("id").agg(F.collect_list(F.struct("at", "w")).alias("parts"))  # `terms` parts
-    rows = _with_sparse(docs.select("id", "label", fitted_on.alias("_train")).join(vectors, "id", "left"), terms, "parts")
+    and a balanced logistic model of the rows where ``fitted_on`` holds.
+
+    Texts are cut once and counts are written, a row for each text; of those only
+    the numbers of texts by term are shuffled."""
+    counted = written(char_counts(docs.select("id", "label", fitted_on.alias("_train"), "text")), "char-counts")
+    train = counted.where("_train")
+    each = train.select(F.explode("terms").alias("term"))
+    top = bayes.idf(each, train.count()).orderBy(F.desc("df"), "term").limit(terms).collect()  # `terms` rows
+    rows = _as_vectors(char_vectors(counted, [(r["term"], r["idf"]) for r in top], terms))
     data = balanced_weights(rows.where("_train")).withColumn("label", F.col("label").cast("double"))
     model = LogisticRegression(weightCol="weight", regParam=1.0 / max(1, data.count()), standardization=False, maxIter=100).fit(data)
     return model.transform(rows).select("id", "label", F.col("_train").alias("fitted"), vector_to_array("probability")[1].alias("p_spam"))

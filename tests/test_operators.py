@@ -110,6 +110,26 @@ def test_character_model_tells_held_out_rows(spark):
     assert len(out) > 40 and sum((r.p_spam >= 0.5) == (r.label == 1) for r in out) >= 0.95 * len(out)
 
 
+def test_character_runs_are_counted_in_their_rows(spark):
+    """The same terms, counts and vectors as of exploded rows, without a shuffle."""
+    texts = ["Ab  c", "", None, " \t ", "a", "ababab ab\u00a0AB", "Ünï 😀😀 x😀y", "ΣΑΣ İ", "long " * 500 + "x" * 90]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    counted = training.char_counts(docs)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    said = lambda code: "".join(chr((code >> k & 0x1FFFFF) - 1) for k in (42, 21, 0) if code >> k & 0x1FFFFF)
+    found = {(r.id, said(t), n) for r in counted.collect() for t, n in zip(r.terms, r.tfs)}
+    counts = bayes.term_counts(docs, split=bayes.char_tokens)
+    assert found == {(r.id, r.term, r.tf) for r in counts.collect()}
+    top = bayes.idf(counts, 9).orderBy(F.desc("df"), "term").limit(40).collect()
+    coded = bayes.idf(counted.select(F.explode("terms").alias("term")), 9).orderBy(F.desc("df"), "term").limit(40).collect()
+    assert [(said(r.term), r.df) for r in coded] == [(r.term, r.df) for r in top]
+    expected = {(r.id, r.term): r.w for r in bayes.tfidf(counts, spark.createDataFrame(top), sublinear=True).collect()}
+    rows = training.char_vectors(counted, [(r.term, r.idf) for r in coded], 40).collect()
+    got = {(r.id, top[at].term): w for r in rows for at, w in zip(r.features["indices"], r.features["values"])}
+    assert len(rows) == 9 and got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-12 for k in got)
+
+
 def test_pattern_trees_tell_held_out_rows(spark):
     h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100))
     rows = spark.range(900).select("id", (h("m") % 4).alias("money_count"), (h("u") < 30).cast("int").alias("has_url"))
