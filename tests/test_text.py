@@ -74,3 +74,18 @@ def test_what_is_not_sent_is_not_composed():
     assert len(kept) > 900 and set("абвгдёжйяЯЁ«»—“”₽…é".replace("…", "")) <= set(kept) and "…" not in kept
     assert all(unicodedata.normalize("NFKC", a + "".join(kept)) == a + "".join(kept) for a in kept)
     assert all(unicodedata.normalize("NFKC", "".join(b + a for b in kept)) == "".join(b + a for b in kept) for a in kept)
+
+
+def test_pattern_features_lower_a_text_once_and_are_the_same(spark):
+    """Gated features equal the plain ones, and no text is lowered once for each term."""
+    texts = ["", "a1б слово Word", "cа1t мир", "x1y 22 z3", "e\u0301a\u0301 \u0301b a\u200db", "İ1b ٣a٤b a٣b", "me@site.org +7(912)345-67-89 магазин меню acmeshop", "нет_1да ёЁ", "日本 1a2b", "+79123456789", "a@b", "٠٩١٢٣٤٥٦٧٨٩", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    words = F.regexp_extract_all("t", F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    odd = F.filter(words, lambda w: (w.rlike("[а-яА-ЯёЁ]") & w.rlike("[a-zA-Z]")) | w.rlike(r"(?U)[а-яА-ЯёЁa-zA-Z]+\d+[а-яА-ЯёЁa-zA-Z]+"))
+    full = F.coalesce("t", F.lit(""))
+    plain = (F.size(odd) / F.greatest(F.size(words), F.lit(1)), full.rlike(f"(?U){T.PHONE}|{T.LONG_PHONE}"), full.rlike("(?i)" + T.EMAIL))
+    found = T.patterns(F.col("t"))
+    rows = df.select(T.obfuscation_ratio(F.col("t")), *plain, *(found[c] for c in ("has_phone", "has_email"))).collect()
+    assert all(r[0] == r[1] and r[2] == r[4] and r[3] == r[5] for r in rows) and sum(bool(r[0]) for r in rows) >= 4
+    hits = df.select(T.term_hits(F.lower("t"), ("магазин", "меню", "acme", "меню")).alias("n"))
+    assert hits.collect()[6].n == 3 and "aggregate(" not in hits._jdf.queryExecution().executedPlan().toString()
