@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,23 @@ def test_event_log_appends(spark, sf_dir, tmp_path):
     io.append_events(e.where("id % 2 = 0"), path)
     io.append_events(e.where("id % 2 = 1"), path)
     assert io.read_events(spark, path).count() == e.count()
+
+
+def test_few_vectors_are_held_at_a_time(spark):
+    """A batch of any length gets its vectors part by part, nulls and failures at their places."""
+    seen = []
+
+    def run(texts):
+        seen.extend(texts)
+        if len(texts) > 1 and "t900" in texts:
+            raise RuntimeError("refused")
+        return [[float(t[1:])] for t in texts]
+
+    texts = pd.Series([None if i % 50 == 7 else f"t{i}" for i in range(3000)], dtype=object)
+    parts = vectors._vectors(texts, run, 32)
+    first = next(parts)
+    assert len(seen) <= len(first) <= vectors.AT_HAND
+    rest = [first, *parts]
+    assert max(map(len, rest)) <= vectors.AT_HAND and [v for p in rest for v in p] == [None if t is None else [float(t[1:])] for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").coalesce(1)
+    assert all(r.vec == (None if r.t is None else [float(r.t[1:])]) for r in vectors.encode(df, "t", lambda ts: [[float(t[1:])] for t in ts]).collect())
