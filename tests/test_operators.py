@@ -301,3 +301,10 @@ def test_few_vectors_are_held_at_a_time(spark):
     assert max(map(len, rest)) <= vectors.AT_HAND and [v for p in rest for v in p] == [None if t is None else [float(t[1:])] for t in texts]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").coalesce(1)
     assert all(r.vec == (None if r.t is None else [float(r.t[1:])]) for r in vectors.encode(df, "t", lambda ts: [[float(t[1:])] for t in ts]).collect())
+
+
+def test_a_task_counts_the_terms_of_few_documents(spark):
+    docs = spark.range(4 * bayes.DEALT).select(F.col("id") % (4 * bayes.DEALT - 1), F.lit("aa bb aa").alias("text")).toDF("id", "text")
+    tasks = bayes.term_counts(docs).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("tf")).collect()
+    assert len(tasks) > 3 and max(r.n for r in tasks) < 1.5 * bayes.DEALT
+    assert sum(r.n for r in tasks) == 4 * bayes.DEALT - 1 and sum(r.tf for r in tasks) == 12 * bayes.DEALT  # an id that comes twice is one document
